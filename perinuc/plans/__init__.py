@@ -1,6 +1,6 @@
 """Registered queries, the views they run on, and their SQL twins."""
 
-from perinuc.plans import q_stability, q_summary  # noqa: F401
+from perinuc.plans import q_pairing, q_stability, q_summary  # noqa: F401
 from perinuc.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -267,5 +267,7 @@ def oracle(sql: str) -> str:
     if not parts:
         return body
     ctes = ",\n".join(f"{n} AS ({t.strip()})" for n, t in parts.items())
-    joint = ", " if body.upper().startswith("WITH ") else " "
-    return f"WITH {ctes}{joint}{body[5:] if joint == ', ' else body}"
+    head = re.match(r"WITH( RECURSIVE)?\s+", body, re.I)
+    if head:
+        return f"{head.group(0)}{ctes}, {body[head.end():]}"
+    return f"WITH {ctes} {body}"

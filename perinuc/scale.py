@@ -131,6 +131,7 @@ def positions(
     The sorted rows are checkpointed once; partition sizes and group starts are then
     small aggregates, and the position is plain arithmetic.
     """
+    added = [] if by else ["_all"]
     df, by = with_key(df, by)
     order = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(b) for b in by] + order
@@ -143,11 +144,11 @@ def positions(
     # one row per shuffle partition, so this window and the broadcast are bounded by the partition count
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    numbered = placed.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_off") + F.col("_row"))
+    numbered = placed.join(F.broadcast(offsets), "_part").withColumn("_abs", F.col("_off") + F.col("_row"))
     # partial minima per partition keep a large group out of any one task
-    starts = numbered.groupBy(*by).agg(F.min("_at").alias("_start"))
-    out = join_nulls(numbered, starts, by).withColumn(name, (F.col("_at") - F.col("_start")).cast("long"))
-    return out.drop("_mid", "_part", "_row", "_off", "_at", "_start", "_all")
+    starts = numbered.groupBy(*by).agg(F.min("_abs").alias("_start"))
+    out = join_nulls(numbered, starts, by).withColumn(name, (F.col("_abs") - F.col("_start")).cast("long"))
+    return out.drop("_mid", "_part", "_row", "_off", "_abs", "_start", *added)
 
 
 def quantiles(
@@ -165,6 +166,7 @@ def quantiles(
     counted, and just the rows inside the bracket are ordered.  Groups up to ``small``
     rows use their full range as bracket.
     """
+    given = list(by)
     df, by = with_key(df, by)
     key = [*by, "metric"]
     tall = df.select(
@@ -210,7 +212,7 @@ def quantiles(
         F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col("v"))).alias("_z"),
     )
     value = F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_z") - F.col("_a"))
-    return picked.select(*[b for b in by if b != "_all"], "metric", "p", value.alias("q"))
+    return picked.select(*given, "metric", "p", value.alias("q"))
 
 
 def quantile_columns(

@@ -56,34 +56,39 @@ def with_key(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
-def neighbours(
-    df: DataFrame,
-    keys: Sequence[str],
-    idx: str,
-    cols: Sequence[str],
-    tile: int = TILE,
-) -> DataFrame:
-    """Add ``{c}_prev`` and ``{c}_next`` for rows numbered 0, 1, 2, ... within ``keys``.
+def tiles(df: DataFrame, keys: Sequence[str], idx: str, halo: int = 1, tile: int = TILE) -> DataFrame:
+    """Cut rows numbered 0, 1, 2, ... within ``keys`` into tiles, with ``halo`` border rows of the next tiles.
 
-    Each key is cut into tiles of consecutive rows and the border rows are copied into
-    the adjacent tile, so the window runs per tile and a long curve spreads over tasks.
-    The tile number stays in ``_tile`` so that later per-tile steps need no new shuffle.
+    Windows over ``keys`` and ``_tile`` then see every neighbour of a tile's own rows (``_own``), and a long
+    curve spreads over tasks instead of being sorted in one.
     """
-    own = F.floor(F.col(idx) / tile).cast("long")
+    home = F.floor(F.col(idx) / tile).cast("long")
     pos = F.col(idx) % tile
-    tiles = F.array_compact(
-        F.array(own, F.when(pos == 0, own - 1), F.when(pos == tile - 1, own + 1))
-    )
-    w = W.partitionBy(*keys, "_tile").orderBy(idx)
-    return (
-        df.withColumn("_tile", F.explode(tiles))
-        .select(
-            "*",
-            *[F.lag(c).over(w).alias(f"{c}_prev") for c in cols],
-            *[F.lead(c).over(w).alias(f"{c}_next") for c in cols],
-        )
-        .filter(own == F.col("_tile"))
+    copies = F.array_compact(
+        F.array(home, F.when(pos < halo, home - 1), F.when(pos >= tile - halo, home + 1))
     )
+    return df.withColumn("_tile", F.explode(copies)).withColumn("_own", home == F.col("_tile"))
+
+
+def per_tile(keys: Sequence[str], idx: str):
+    return W.partitionBy(*keys, "_tile").orderBy(idx)
+
+
+def beside(keys: Sequence[str], idx: str, cols: Sequence[str]) -> list[Column]:
+    """``{c}_prev`` and ``{c}_next`` inside a tile."""
+    w = per_tile(keys, idx)
+    return [f(c).over(w).alias(f"{c}_{n}") for c in cols for f, n in ((F.lag, "prev"), (F.lead, "next"))]
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    return df.filter("_own").drop("_own")
+
+
+def neighbours(
+    df: DataFrame, keys: Sequence[str], idx: str, cols: Sequence[str], tile: int = TILE
+) -> DataFrame:
+    """Add ``{c}_prev`` and ``{c}_next``; ``_tile`` stays, so that later per-tile steps need no new shuffle."""
+    return own_rows(tiles(df, keys, idx, 1, tile).select("*", *beside(keys, idx, cols)))
 
 
 def running_sum(
@@ -97,19 +102,23 @@ def running_sum(
 ) -> DataFrame:
     """Inclusive running sum over densely numbered rows, added tile by tile.
 
-    Tile totals are summed first (they are far fewer rows) and joined back as offsets,
+    Rows that already carry ``_tile`` keep it, and with it their partitioning.  Tile totals are summed first (they are far fewer rows) and joined back as offsets,
     ``levels`` times over, so no task ever sorts a whole key.
     """
     value = F.col(value) if isinstance(value, str) else value
     if levels == 0:
         w = W.partitionBy(*keys).orderBy(idx).rowsBetween(W.unboundedPreceding, 0)
         return df.withColumn(name, F.sum(value).over(w))
-    tiled = df.withColumn("_tile", F.floor(F.col(idx) / tile).cast("long")).withColumn("_step", value)
+    if "_tile" not in df.columns:
+        df = df.withColumn("_tile", F.floor(F.col(idx) / tile).cast("long"))
+    tiled = df.withColumn("_step", value)
     totals = tiled.groupBy(*keys, "_tile").agg(F.sum("_step").alias("_total"))
-    upto = running_sum(totals, keys, "_tile", "_total", "_upto", tile, levels - 1)
+    upto = running_sum(
+        totals.withColumnRenamed("_tile", "_t"), keys, "_t", "_total", "_upto", tile, levels - 1
+    )
     offsets = upto.select(
         *[F.col(k).alias(f"_o_{k}") for k in keys],
-        F.col("_tile").alias("_o_tile"),
+        F.col("_t").alias("_o_tile"),
         (F.col("_upto") - F.col("_total")).alias("_before"),
     )
     w = W.partitionBy(*keys, "_tile").orderBy(idx).rowsBetween(W.unboundedPreceding, 0)

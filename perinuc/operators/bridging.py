@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import magnitude
 from perinuc.operators.curves import CURVE, SEGMENT, cumulative_length, largest_bend
-from perinuc.scale import neighbours, positions, running_sum
+from perinuc.scale import cut, neighbours, positions, running_sum
 
 # Trim factor, fallback noise, shortest useful length in trims, smallest gap, bridge shape.
 TRIM_SIGMAS = 2.0
@@ -63,14 +63,14 @@ def trim_ends(points: DataFrame, trims: DataFrame, keys: Sequence[str] = SEGMENT
     )
     # the edge on which the trimmed segment begins fixes the numbering, so no sort is needed
     rows = edges.filter(long_enough).select(
-        *keys, "idx", begins.alias("_begins"), cut_off.alias("_cut"), F.posexplode(kept).alias("_at", "p")
+        *keys, "idx", begins.alias("_begins"), cut_off.alias("_cut"), F.posexplode(kept).alias("_at", "_p")
     )
     first = rows.groupBy(*keys).agg(F.max(F.when(F.col("_begins"), F.col("idx"))).alias("_first"))
     base = F.coalesce(F.col("_first"), F.lit(0))
     is_begin = F.col("_begins") & (F.col("_at") == 0)
-    is_end = F.col("_cut") & (F.col("p.s") > F.lit(0)) & ~is_begin & (F.col("_at") > 0)
+    is_end = F.col("_cut") & (F.col("_p.s") > F.lit(0)) & ~is_begin & (F.col("_at") > 0)
     idx = F.when(is_begin, F.lit(0)).otherwise(F.col("idx") - base + F.when(is_end, 1).otherwise(0))
-    return rows.join(first, list(keys)).select(*keys, idx.cast("long").alias("idx"), "p.y", "p.x")
+    return rows.join(first, list(keys)).select(*keys, idx.cast("long").alias("idx"), "_p.y", "_p.x")
 
 
 def orientation(points: DataFrame, keys: Sequence[str] = SEGMENT, by: Sequence[str] = CURVE) -> DataFrame:
@@ -128,17 +128,16 @@ def segment_ends(points: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
     )
 
 
-def _ranked(ends: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Segments numbered within their nucleus by the number in their name."""
+def rank_segments(ends: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
+    """Segments numbered within their nucleus by the number in their name, with the segment count."""
     number = F.element_at(F.split("segment", "_"), -1).cast("int")
     ranked = positions(ends.withColumn("_no", number), by, ["_no", "segment"], "rank").drop("_no")
     sizes = ranked.groupBy(*by).agg(F.count("*").alias("n_segments"))
     return ranked.join(sizes, list(by))
 
 
-def gaps(ends: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
-    """Each segment with its successor in number order; the last is followed by the first."""
-    ranked = _ranked(ends, by)
+def gaps(ranked: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
+    """Each ranked segment with its successor in number order; the last is followed by the first."""
     before = F.pmod(F.col("rank") - 1, F.col("n_segments")).cast("long")
     following = ranked.select(
         *by, before.alias("rank"), F.col("segment").alias("next_segment"),
@@ -149,12 +148,12 @@ def gaps(ends: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
     return joined.withColumn("gap", gap)
 
 
-def bridge_gaps(ends: DataFrame, by: Sequence[str] = CURVE, max_deg: float = 1.0, min_gap: float = MIN_GAP_PX) -> DataFrame:
+def bridge_gaps(ranked: DataFrame, by: Sequence[str] = CURVE, max_deg: float = 1.0, min_gap: float = MIN_GAP_PX) -> DataFrame:
     """Points of the cubic bridge over every gap of at least ``min_gap``, with the verdict on its bend.
 
     A single segment is closed onto itself.
     """
-    wide = gaps(ends, by).filter(F.round("gap", 9) >= min_gap)
+    wide = gaps(ranked, by).filter(F.round("gap", 9) >= min_gap)
 
     def control(side: str, c: str, sign: float) -> Column:
         size = magnitude(f"{side}_ty", f"{side}_tx")
@@ -179,17 +178,17 @@ def bridge_gaps(ends: DataFrame, by: Sequence[str] = CURVE, max_deg: float = 1.0
     return drawn.join(verdict, keys)
 
 
-def parts_of_outline(ends: DataFrame, bridges: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
+def parts_of_outline(ranked: DataFrame, bridges: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
     """Data and accepted bridge stretches in order around the outline, with their lengths."""
     keys = [*by, "segment"]
     spans = cumulative_length(bridges.filter("is_valid").select(*keys, "idx", "y", "x"), keys)
     spans = spans.groupBy(*keys).agg(F.max("cum").alias("_bridge"))
-    both = _ranked(ends.select(*keys, "length"), by).join(spans, keys, "left")
+    both = ranked.select(*keys, "rank", "length").join(spans, keys, "left")
     parts = F.array(
         F.struct((F.col("rank") * 2).alias("idx"), F.lit("data").alias("kind"), F.col("length").alias("length")),
         F.struct((F.col("rank") * 2 + 1).alias("idx"), F.lit("bridge").alias("kind"), F.coalesce("_bridge", F.lit(0.0)).alias("length")),
     )
-    return both.select(*by, F.explode(parts).alias("p")).select(*by, "p.*")
+    return both.select(*by, F.explode(parts).alias("_p")).select(*by, "_p.*")
 
 
 def u_range_table(parts: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
@@ -205,8 +204,11 @@ def u_range_table(parts: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
 
 
 def bridge(points: DataFrame, trims: DataFrame, max_deg: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Trim, drop spokes, bridge: returns the accepted bridges and the table of stretches."""
-    kept = orientation_filter(trim_ends(points, trims))
-    ends = segment_ends(kept)
-    bridges = bridge_gaps(ends, max_deg=max_deg)
-    return bridges.filter("is_valid"), u_range_table(parts_of_outline(ends, bridges))
+    """Trim, drop spokes, bridge: returns the accepted bridges and the table of stretches.
+
+    The trimmed points and the segment table each feed several later steps, so both are materialised once.
+    """
+    kept = orientation_filter(cut(trim_ends(points, trims)))
+    ranked = cut(rank_segments(segment_ends(kept)))
+    bridges = cut(bridge_gaps(ranked, max_deg=max_deg).filter("is_valid"))
+    return bridges, u_range_table(parts_of_outline(ranked, bridges))

@@ -51,14 +51,14 @@ def iou_best_match(a: DataFrame, b: DataFrame, min_iou: float, cell: int = 75) -
     b_first = (
         b.select("fov_id", "ord", "ne_label", *_sides(b, "b_"))
         .groupBy("fov_id", *[f"b_{s}" for s in SIDES])
-        .agg(F.min(F.struct("ord", "ne_label")).alias("first"))
+        .agg(F.min(F.struct("ord", "ne_label")).alias("_first"))
     )
     met = _overlapping(a_side.select(*a_keys).distinct(), b_first, cell).filter(F.col("iou") >= min_iou)
     best = met.groupBy(*a_keys).agg(
-        F.min(F.struct((-F.col("iou")).alias("neg"), F.col("first.ord"), F.col("first.ne_label"))).alias("best")
+        F.min(F.struct((-F.col("iou")).alias("neg"), F.col("_first.ord"), F.col("_first.ne_label"))).alias("_best")
     )
     return a_side.join(best, a_keys).select(
-        "fov_id", "ch1_label", F.col("best.ne_label").alias("ch2_label"), (-F.col("best.neg")).alias("iou")
+        "fov_id", "ch1_label", F.col("_best.ne_label").alias("ch2_label"), (-F.col("_best.neg")).alias("iou")
     )
 
 
@@ -75,8 +75,8 @@ def _fold_small(candidates: DataFrame) -> DataFrame:
         pick = F.struct(c["ch1_label"].alias("ch1_label"), c["ch2_label"].alias("ch2_label"))
         return F.when(taken, done).otherwise(F.array_append(done, pick))
 
-    folded = ordered.select("fov_id", F.explode(F.aggregate("todo", none, step)).alias("p"))
-    return folded.select("fov_id", "p.ch1_label", "p.ch2_label")
+    folded = ordered.select("fov_id", F.explode(F.aggregate("todo", none, step)).alias("_p"))
+    return folded.select("fov_id", "_p.ch1_label", "_p.ch2_label")
 
 
 def _settle_rounds(candidates: DataFrame) -> DataFrame:
@@ -88,11 +88,11 @@ def _settle_rounds(candidates: DataFrame) -> DataFrame:
     open_, settled = candidates, None
     while not open_.isEmpty():
         best = open_.groupBy("fov_id", "ch1_label").agg(
-            F.min(F.struct((-F.col("score")).alias("neg"), "b_ord", "ch2_label", "a_ord")).alias("best")
+            F.min(F.struct((-F.col("score")).alias("neg"), "b_ord", "ch2_label", "a_ord")).alias("_best")
         )
         first = open_.groupBy("fov_id", "ch2_label").agg(F.min("a_ord").alias("first_a"))
         picks = cut(
-            best.select("fov_id", "ch1_label", F.col("best.ch2_label").alias("ch2_label"), F.col("best.a_ord").alias("a_ord"))
+            best.select("fov_id", "ch1_label", F.col("_best.ch2_label").alias("ch2_label"), F.col("_best.a_ord").alias("a_ord"))
             .join(first, ["fov_id", "ch2_label"])
             .filter(F.col("a_ord") == F.col("first_a"))
             .select("fov_id", "ch1_label", "ch2_label")

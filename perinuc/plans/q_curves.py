@@ -254,14 +254,14 @@ def _(v):
 
 @query(
     "p28_keep_segments",
-    f"""WITH p AS (SELECT {K}, segment, idx, y * 22e-1 - 25 AS y, x * 22e-1 - 25 AS x FROM {{segments}} s),
+    f"""WITH p AS (SELECT {K}, segment, idx, y * 2e0 - 25 AS y, x * 2e0 - 25 AS x FROM {{segments}} s),
         lg AS (SELECT fov_id, channel, ne_label, seg_label AS segment FROM {{profile_log}} q WHERE status = 'success'
                GROUP BY ALL HAVING count(*) >= 4),
         nr AS (SELECT {S} FROM p GROUP BY {S} HAVING min(least(y, x)) >= -20 AND max(greatest(y, x)) <= 95)
         SELECT {S}, idx, R(y) AS y, R(x) AS x FROM p JOIN nr USING ({S}) JOIN lg USING ({S})""",
 )
 def _(v):
-    points = _segments(v).withColumn("x", F.col("x") * 2.2 - 25).withColumn("y", F.col("y") * 2.2 - 25)
+    points = _segments(v).withColumn("x", F.col("x") * 2.0 - 25).withColumn("y", F.col("y") * 2.0 - 25)
     log = v("profile_log").withColumnRenamed("seg_label", "segment")
     return cv.keep_segments(points, log, cv.SEGMENT)
 
@@ -521,8 +521,8 @@ TIPS = f"""{SCUM}, tp AS (SELECT {S}, max(idx) AS last, max(cum) AS length, arg_
     vd AS (SELECT {S}, max(bend_next) AS max_bend, max(bend_next) <= 5 AS is_valid FROM bd GROUP BY {S})"""
 
 
-def _ends(v) -> DataFrame:
-    return br.segment_ends(_segments(v))
+def _ranked(v) -> DataFrame:
+    return cut(br.rank_segments(br.segment_ends(_segments(v))))
 
 
 @query(
@@ -530,7 +530,7 @@ def _ends(v) -> DataFrame:
     f"WITH {TIPS} SELECT {S}, next_segment, nseg AS n_segments, R(length) AS length, R(gap) AS gap FROM gp",
 )
 def _(v):
-    return br.gaps(_ends(v)).select(*cv.SEGMENT, "next_segment", "n_segments", "length", "gap")
+    return br.gaps(_ranked(v)).select(*cv.SEGMENT, "next_segment", "n_segments", "length", "gap")
 
 
 @query(
@@ -539,7 +539,7 @@ def _(v):
         FROM bz JOIN vd USING ({S})""",
 )
 def _(v):
-    return br.bridge_gaps(_ends(v), max_deg=5.0)
+    return br.bridge_gaps(_ranked(v), max_deg=5.0)
 
 
 @query(
@@ -552,8 +552,9 @@ def _(v):
         SELECT {K}, kind, R((upto - len) / total) AS u_start, R(upto / total) AS u_end FROM ru WHERE len > 0""",
 )
 def _(v):
-    ends = cut(_ends(v))
-    return br.u_range_table(br.parts_of_outline(ends, br.bridge_gaps(ends, max_deg=5.0)))
+    ranked = _ranked(v)
+    bridges = cut(br.bridge_gaps(ranked, max_deg=5.0).filter("is_valid"))
+    return br.u_range_table(br.parts_of_outline(ranked, bridges))
 
 
 @query("w10_bridged_outline")

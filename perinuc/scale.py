@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-TILE = 4096
+# Rows of one key that stay together in a window; larger keys spread over tasks.
+TILE = 65_536
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -98,7 +99,7 @@ def running_sum(
     value: Column | str,
     name: str,
     tile: int = TILE,
-    levels: int = 2,
+    levels: int = 1,
 ) -> DataFrame:
     """Inclusive running sum over densely numbered rows, added tile by tile.
 

@@ -45,13 +45,13 @@ def catalog(paths: DataFrame, strains: Sequence[str] | None = None, fov_prefix:
     roles = F.explode(
         F.array(*[F.struct(F.lit(r).alias("role"), F.lit(p).alias("prefix")) for r, p in ROLES.items()])
     )
-    return fields.select("*", roles.alias("r")).select(
+    return fields.select("*", roles.alias("_r")).select(
         "strain",
         F.concat_ws("_", "strain", "exp_dir").alias("experiment"),
         digits.alias("fov_id"),
         F.regexp_replace("path", "/[^/]*$", "").alias("collection_path"),
-        F.col("r.role").alias("role"),
-        F.concat("fov_dir", F.lit("/"), "r.prefix", digits, F.lit(".tiff")).alias("file"),
+        F.col("_r.role").alias("role"),
+        F.concat("fov_dir", F.lit("/"), "_r.prefix", digits, F.lit(".tiff")).alias("file"),
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from perinuc.operators.components import components
 from perinuc.operators.curves import islands
-from perinuc.scale import join_nulls, positions, running_sum, with_key
+from perinuc.scale import cut, join_nulls, positions, running_sum, with_key
 
 PIXEL = ["y", "x"]
 
@@ -132,7 +132,7 @@ def label_regions(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
 
     Pixels are first joined to runs along a row, so the component search works on far fewer nodes.
     """
-    set_ = pixels.select(*by, *PIXEL).distinct()
+    set_ = cut(pixels.select(*by, *PIXEL).distinct())
     rows = [*by, "y"]
     left = set_.select(*by, "y", (F.col("x") + 1).alias("x"), F.lit(True).alias("_joined"))
     marked = positions(set_.join(left, [*rows, "x"], "left"), rows, ["x"], "idx")
@@ -140,7 +140,7 @@ def label_regions(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
     numbered = running_sum(marked.withColumn("_open", opens), rows, "idx", "_open", "_run")
     starts = numbered.groupBy(*rows, "_run").agg(F.min("x").alias("_x0"))
     node = F.struct(F.col("y").alias("ny"), F.col("_x0").alias("nx"))
-    runs = numbered.join(starts, [*rows, "_run"]).select(*by, *PIXEL, node.alias("node"))
+    runs = cut(numbered.join(starts, [*rows, "_run"]).select(*by, *PIXEL, node.alias("node")))
     below = runs.select(
         *by, F.col("node").alias("u"), _offsets([(1, -1), (1, 0), (1, 1)]).alias("_o"), *PIXEL
     ).select(*by, "u", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"))

@@ -189,13 +189,21 @@ def _(v):
 @query(
     "j18_pad_crops",
     f"""WITH {BOXED}, gr AS (SELECT fov_id, ne_label, gy, unnest(generate_series(0, 79)) AS gx FROM
-                             (SELECT fov_id, ne_label, unnest(generate_series(0, 79)) AS gy FROM bx) q)
-        SELECT gr.fov_id, gr.ne_label, gy AS y, gx AS x, I(coalesce(value, 0)) AS value FROM gr LEFT JOIN cr
-        ON cr.fov_id = gr.fov_id AND cr.ne_label = gr.ne_label AND cr.y = gy - 2 AND cr.x = gx - 2""",
+                             (SELECT fov_id, ne_label, unnest(generate_series(0, 79)) AS gy FROM bx) q),
+        pd AS (SELECT gr.fov_id, gr.ne_label, gy, gx, I(coalesce(value, 0)) AS value FROM gr LEFT JOIN cr
+               ON cr.fov_id = gr.fov_id AND cr.ne_label = gr.ne_label AND cr.y = gy - 2 AND cr.x = gx - 2)
+        SELECT fov_id, ne_label, count(*) AS n_pixels, I(sum(value)) AS total, I(sum(value * gy)) AS by_row, I(sum(value * gx)) AS by_column
+        FROM pd GROUP BY fov_id, ne_label""",
 )
 def _(v):
     crops, boxes = _boxed(v)
-    return px.pad_crops(crops, boxes, FOV, 80, 80)
+    padded = px.pad_crops(crops, boxes, FOV, 80, 80)
+    return padded.groupBy("fov_id", "ne_label").agg(
+        F.count("*").alias("n_pixels"),
+        F.sum("value").alias("total"),
+        F.sum(F.col("value") * F.col("y")).alias("by_row"),
+        F.sum(F.col("value") * F.col("x")).alias("by_column"),
+    )
 
 
 SHIFTS = "(SELECT unnest(generate_series(-2, 2)) AS dy) gy, (SELECT unnest(generate_series(-2, 2)) AS dx) gx"

@@ -120,13 +120,11 @@ VIEWS["mask"] = """
 SELECT fov_id, channel, ne_label, CAST(20 + 40 * (k % 4) + oy0 AS BIGINT) AS y,
        CAST(20 + 50 * (k - k % 4) / 4 + ox0 AS BIGINT) AS x
 FROM (SELECT fov_id, channel, ne_label, k, rad, sy, sx, oy0, {SERIES:-9,9} AS ox0
-      FROM (SELECT lpad(CAST(CAST(floor(p_partkey / 12) AS BIGINT) AS STRING), 8, '0') AS fov_id, 'ch1' AS channel,
-                   p_partkey % 12 + 1 AS ne_label, p_partkey % 12 AS k, 3 + p_size % 4 AS rad, 0 AS sy, 0 AS sx,
-                   {SERIES:-9,9} AS oy0 FROM {part} p
-            UNION ALL
-            SELECT lpad(CAST(CAST(floor(p_partkey / 12) AS BIGINT) AS STRING), 8, '0'), 'ch2',
-                   p_partkey % 12 + 1, p_partkey % 12, 3 + p_size % 4, p_size % 3, p_size % 2,
-                   {SERIES:-9,9} FROM {part} q) r) s
+      FROM (SELECT lpad(CAST(CAST(floor(pk / 12) AS BIGINT) AS STRING), 8, '0') AS fov_id,
+                   CASE WHEN ch = 1 THEN 'ch1' ELSE 'ch2' END AS channel, pk % 12 + 1 AS ne_label, pk % 12 AS k,
+                   3 + size % 4 AS rad, CASE WHEN ch = 1 THEN 0 ELSE size % 3 END AS sy,
+                   CASE WHEN ch = 1 THEN 0 ELSE size % 2 END AS sx, {SERIES:-9,9} AS oy0
+            FROM (SELECT p_partkey AS pk, p_size AS size, {SERIES:1,2} AS ch FROM {part} p) q) r) s
 WHERE (oy0 - sy) * (oy0 - sy) + (ox0 - sx) * (ox0 - sx) <= rad * rad
 """
 

@@ -17,6 +17,11 @@ def _state(edges: DataFrame, keys: Sequence[str]) -> tuple:
     return tuple(edges.agg(F.count("*"), mark).first())
 
 
+def _ends(*pairs: tuple[str, str]) -> Column:
+    """One row per pair of columns, as ``_e.u`` and ``_e.v``."""
+    return F.explode(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])).alias("_e")
+
+
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Smallest node of each node's component, within ``keys``.
 
@@ -32,15 +37,14 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
     while (now := _state(stars, keys)) != before:
         before = now
         # every larger neighbour is hung under the smallest neighbour
-        both = stars.unionByName(stars.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        both = stars.select(*keys, _ends(("u", "v"), ("v", "u"))).select(*keys, "_e.*")
         low = both.groupBy(*keys, "u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "u"))
         large = both.join(low, [*keys, "u"]).filter("v > u").select(*keys, F.col("v").alias("u"), F.col("_m").alias("v"))
         large = cut(large.filter("u <> v").distinct())
         # every smaller neighbour, and the node itself, is hung under the smallest one
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("_m"))
-        down = large.join(least, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("_m").alias("v"))
-        own = least.select(*keys, "u", F.col("_m").alias("v"))
-        stars = cut(down.unionByName(own).filter("u <> v").distinct())
+        small = large.join(least, [*keys, "u"]).select(*keys, _ends(("v", "_m"), ("u", "_m"))).select(*keys, "_e.*")
+        stars = cut(small.filter("u <> v").distinct())
     found = stars.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.select(*keys, "node").distinct().join(found, [*keys, "node"], "left").select(
         *keys, "node", F.coalesce("component", "node").alias("component")

@@ -139,7 +139,8 @@ def label_regions(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
     opens = F.col("_joined").isNull().cast("long")
     numbered = running_sum(marked.withColumn("_open", opens), rows, "idx", "_open", "_run")
     starts = numbered.groupBy(*rows, "_run").agg(F.min("x").alias("_x0"))
-    node = F.struct(F.col("y").alias("ny"), F.col("_x0").alias("nx"))
+    # row and first column in one number: it keeps reading order and stays in hash aggregation
+    node = F.shiftleft(F.col("y").cast("long"), 32) + F.col("_x0")
     runs = cut(numbered.join(starts, [*rows, "_run"]).select(*by, *PIXEL, node.alias("node")))
     below = runs.select(
         *by, F.col("node").alias("u"), _offsets([(1, -1), (1, 0), (1, 1)]).alias("_o"), *PIXEL

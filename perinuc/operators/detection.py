@@ -30,11 +30,12 @@ def sliding_rois(stack: DataFrame, by: Sequence[str], t: int, size: int) -> Data
 
     sent = (
         stack.select(*by, "frame", "y", "x", "value")
+        # before the pixels multiply
+        .join(dims, list(by))
         .withColumn("f0", starts("frame", t))
         .withColumn("y0", starts("y", size))
         .withColumn("x0", starts("x", size))
         .filter("f0 >= 0 AND y0 >= 0 AND x0 >= 0")
-        .join(dims, list(by))
         .filter((F.col("f0") + t <= F.col("_f")) & (F.col("y0") + size <= F.col("_h")) & (F.col("x0") + size <= F.col("_w")))
     )
     place = ((F.col("frame") - F.col("f0")) * size + (F.col("y") - F.col("y0"))) * size + (F.col("x") - F.col("x0"))

@@ -114,7 +114,7 @@ def _(v):
     folder = _scratch(docs)
     # one text file per document, as an experiment folder would hold them
     docs.hint("rebalance", "source_file").write.partitionBy("source_file").text(folder)
-    read = docs.sparkSession.read.option("wholetext", "true").option("basePath", folder).text(folder)
+    read = docs.sparkSession.read.option("basePath", folder).text(folder, wholetext=True)
     return nj.import_reg(read.select("source_file", F.col("value").alias("doc")), "label", two_modes=True)
 
 
@@ -251,15 +251,19 @@ def _(v):
 
 @query(
     "s6_read_json_dir",
-    """SELECT 'fields' AS source_file, count(*) AS documents FROM (SELECT DISTINCT fov_id FROM {reg_fov} r) t""",
+    """SELECT strain, count(*) AS documents, R(sum(scale)) AS scale FROM {fov_results} r WHERE mode = 'mode1' GROUP BY strain""",
 )
 def _(v):
-    fields = v("reg_fov").select("fov_id").distinct().select(F.to_json(F.struct("fov_id")).alias("doc"))
+    """One document per field in its own file, read back as a folder tree."""
+    fields = v("fov_results").filter("mode = 'mode1'").select("strain", "fov_id", "scale")
     folder = _scratch(fields)
-    fields.write.json(folder)
+    fields.select(F.col("fov_id").alias("field"), "strain", "scale").hint("rebalance", "field").write.partitionBy("field").json(folder)
     docs = nj.read_json_dir(fields.sparkSession, folder)
-    lines = docs.select(F.explode(F.split("doc", "\n(?=.)")).alias("line"))
-    return lines.agg(F.count("*").alias("documents")).select(F.lit("fields").alias("source_file"), "documents")
+    node = F.try_parse_json("doc")
+    parsed = docs.select(
+        F.try_variant_get(node, "$.strain", "string").alias("strain"), F.try_variant_get(node, "$.scale", "double").alias("scale")
+    )
+    return parsed.groupBy("strain").agg(F.count("*").alias("documents"), F.sum("scale").alias("scale"))
 
 
 @query(

@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from perinuc.scale import positions
 
 TABLES = {"supplier", "customer", "part", "lineitem", "orders", "events", "embeddings"}
 
@@ -89,30 +92,42 @@ FROM (SELECT 'ch1' AS channel, p_partkey AS pk, p_size AS size,
       FROM {part} b) t
 """
 
+VIEWS["event_order"] = """
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS idx,
+       count(*) OVER (PARTITION BY user_id) AS n
+FROM {events} e
+"""
+
 VIEWS["curve"] = """
 SELECT fov_id, ne_label, channel, idx, n,
        round(375e-1 + (r + dr) * sin(6283185307179586e-15 * idx / n), 6) AS y,
        round(375e-1 + (r + dr) * cos(6283185307179586e-15 * idx / n), 6) AS x
 FROM (SELECT lpad(CAST(CAST(floor(user_id / 4) AS BIGINT) AS STRING), 8, '0') AS fov_id,
-             lpad(CAST(user_id % 4 AS STRING), 2, '0') AS ne_label,
-             CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS idx,
-             count(*) OVER (PARTITION BY user_id) AS n, 20 + user_id % 5 AS r
-      FROM {events} e) c
+             lpad(CAST(user_id % 4 AS STRING), 2, '0') AS ne_label, idx, n, 20 + user_id % 5 AS r
+      FROM {event_order} e) c
 JOIN (SELECT 'ch1' AS channel, 0e0 AS dr UNION ALL SELECT 'ch2' AS channel, 8e-1 AS dr) d ON TRUE
 """
 
+VIEWS["segment_events"] = """
+SELECT lpad(CAST(CAST(floor(user_id / 4) AS BIGINT) AS STRING), 8, '0') AS fov_id,
+       lpad(CAST(user_id % 4 AS STRING), 2, '0') AS ne_label, event_id,
+       CASE WHEN event_type IN ('view', 'click', 'error') THEN 'ch1' ELSE 'ch2' END AS channel,
+       event_id % 3 AS seg, 20 + user_id % 5 AS r, event_id % 5 - 2 AS wob
+FROM {events} e
+"""
+
+VIEWS["segment_order"] = """
+SELECT fov_id, ne_label, channel, seg, r, wob,
+       CAST(row_number() OVER (PARTITION BY fov_id, ne_label, channel, seg ORDER BY event_id) - 1 AS BIGINT) AS idx,
+       count(*) OVER (PARTITION BY fov_id, ne_label, channel, seg) AS m
+FROM {segment_events} t
+"""
+
 VIEWS["segments"] = """
 SELECT fov_id, ne_label, channel, concat('segment_0', CAST(seg AS STRING)) AS segment, idx, m,
        round(375e-1 + r * sin(20943951023931953e-16 * (seg + 85e-2 * idx / (m - 1))) + 1e-2 * wob, 6) AS y,
        round(375e-1 + r * cos(20943951023931953e-16 * (seg + 85e-2 * idx / (m - 1))) + 1e-2 * wob, 6) AS x
-FROM (SELECT fov_id, ne_label, channel, seg, r, wob,
-             CAST(row_number() OVER (PARTITION BY fov_id, ne_label, channel, seg ORDER BY event_id) - 1 AS BIGINT) AS idx,
-             count(*) OVER (PARTITION BY fov_id, ne_label, channel, seg) AS m
-      FROM (SELECT lpad(CAST(CAST(floor(user_id / 4) AS BIGINT) AS STRING), 8, '0') AS fov_id,
-                   lpad(CAST(user_id % 4 AS STRING), 2, '0') AS ne_label, event_id,
-                   CASE WHEN event_type IN ('view', 'click', 'error') THEN 'ch1' ELSE 'ch2' END AS channel,
-                   event_id % 3 AS seg, 20 + user_id % 5 AS r, event_id % 5 - 2 AS wob
-            FROM {events} e) t) u
+FROM {segment_order} u
 WHERE m > 1
 """
 
@@ -219,10 +234,26 @@ def _spell(text: str, engine: str) -> str:
     return re.sub(r"\{POSITIONS:(\w+)\}", r"unnest(range(len(\1))) AS i, unnest(\1) AS e", text)
 
 
+# Views that number the rows of a key: source, key, order, name of the number, name of the size.
+NUMBERED = {
+    "event_order": ("events", ["user_id"], ["ts", "event_id"], "idx", "n"),
+    "segment_order": ("segment_events", ["fov_id", "ne_label", "channel", "seg"], ["event_id"], "idx", "m"),
+}
+
+
+def _numbered(rows: DataFrame, by: list[str], order: list[str], idx: str, size: str) -> DataFrame:
+    """Same rows as the window form of the text, without sorting a whole key in one task."""
+    sizes = rows.groupBy(*by).agg(F.count("*").alias(size))
+    return positions(rows, by, order, idx).join(sizes, by)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or a plain table, as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in NUMBERED:
+        source, *how = NUMBERED[name]
+        return _numbered(view(spark, sf_dir, source), *how)
     text = _spell(VIEWS[name], "spark")
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
 

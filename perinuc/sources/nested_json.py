@@ -45,7 +45,7 @@ def _sql(docs: DataFrame, text: str) -> DataFrame:
 def read_json_dir(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.json`` files of a folder, one row each, keyed by file stem; unreadable ones are skipped."""
     try:
-        files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.json").text(folder)
+        files = spark.read.option("pathGlobFilter", "*.json").text(folder, wholetext=True)
         found = files.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("doc"))
         empty = found.isEmpty()
     except AnalysisException as e:

@@ -17,7 +17,14 @@ def read_events(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def write_state(events: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Keep the state of all nuclei in a named in-memory table until the available events are used up."""
-    writer = ledger_state(events).writeStream.outputMode("complete").format("memory").queryName(name)
+def write_state(events: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
+    """Write the state of all nuclei after each batch of events to ``folder/batch=<number>``.
+
+    A batch that is repeated after a failure overwrites its own folder only.
+    """
+
+    def save(state: DataFrame, batch: int) -> None:
+        state.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    writer = ledger_state(events).writeStream.outputMode("complete").foreachBatch(save)
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -222,7 +222,7 @@ def nearest_on_curve(a: DataFrame, b: DataFrame, keys: Sequence[str], closed: Da
     """Closest place on curve B for every point of curve A, exactly, by rounds of growing grids.
 
     Edges are entered in their own and the surrounding cells, a point looks only into its own cell.  A best
-    distance up to the cell size is final (nine digits, first edge on ties); the few points left go on with cells of twice the size.
+    distance up to the cell size is final (the first edge wins ties to nine digits); the few points left go on with cells of twice the size.
     """
     edges = closed_edges(b, keys) if closed is None else closed
     edges = cut(edges.join(_edge_scale(edges, keys), list(keys)))
@@ -251,16 +251,15 @@ def nearest_on_curve(a: DataFrame, b: DataFrame, keys: Sequence[str], closed: Da
         ny, nx = F.col("y") + F.col("t") * dy, F.col("x") + F.col("t") * dx
         dist = magnitude(F.col("py") - ny, F.col("px") - nx)
         best = met.groupBy(*keys, "idx").agg(
-            F.min(
-                F.struct(F.round(dist, 9).alias("about"), "edge", dist.alias("dist"), "t", ny.alias("near_y"), nx.alias("near_x"))
-            ).alias("_best")
+            F.min(dist).alias("dist"),
+            F.min(F.struct(F.round(dist, 9).alias("about"), "edge", "t", ny.alias("near_y"), nx.alias("near_x"))).alias("_best"),
         )
-        seen = cut(todo.join(best, [*keys, "idx"], "left").withColumn("_final", F.coalesce(F.col("_best.dist") <= grid, F.lit(False))))
+        seen = cut(todo.join(best, [*keys, "idx"], "left").withColumn("_final", F.coalesce(F.col("dist") <= grid, F.lit(False))))
         final = seen.filter("_final").select(
-            *keys, "idx", "py", "px", *[f"_best.{c}" for c in ("dist", "edge", "t", "near_y", "near_x")]
+            *keys, "idx", "py", "px", "dist", *[f"_best.{c}" for c in ("edge", "t", "near_y", "near_x")]
         )
         done = final if done is None else done.unionByName(final)
-        todo = seen.filter("NOT _final").drop("_best", "_final")
+        todo = seen.filter("NOT _final").drop("dist", "_best", "_final")
         level += 1
     if done is None:
         schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in todo.drop("_size").schema]])

@@ -128,10 +128,11 @@ def _llr(v) -> DataFrame:
 
 @query(
     "a40_roi_llr",
-    f"WITH RECURSIVE {EM} SELECT fov_id, frame, y0, x0, R(photons) AS photons, R(level) AS level, R(lr) AS lr FROM ll",
+    f"WITH RECURSIVE {EM} SELECT fov_id, frame, y0, x0, R(round(photons, 4)) AS photons, R(round(level, 4)) AS level, R(round(lr, 4)) AS lr FROM ll",
 )
 def _(v):
-    return _llr(v)
+    # sums of logarithms of large counts: engines agree to about nine digits
+    return _llr(v).select("fov_id", "frame", "y0", "x0", *[F.round(c, 4).alias(c) for c in ("photons", "level", "lr")])
 
 
 CENTRE = f"CAST(least(greatest(y0 + {SIZE // 2}, 0), 7) AS BIGINT) AS y, CAST(least(greatest(x0 + {SIZE // 2}, 0), 7) AS BIGINT) AS x"

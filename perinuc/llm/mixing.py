@@ -8,9 +8,10 @@ over Spark tasks, until one document per source is left, which is rounded alone.
 by less than one document.
 
 Groups and random numbers depend on hashes of the ids and a seed, never on the layout, so reruns agree.  Null texts have
-size 0.  A null source is a source of its own, last in order.  Documents of size 0 carry no words and are taken as often
+size 0.  Only rows without an id are told apart by their place in the table, so with them a rerun agrees if the layout
+does.  A null source is a source of its own, last in order.  Documents of size 0 carry no words and are taken as often
 as the whole part says, at least once where the source is taken at all.  Repeated rows are mixed as separate documents;
-they get different random numbers through a fixed row number.  An empty table gives an empty result.
+they get different random numbers by their place among the repeats.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,8 +116,8 @@ def pivot(size: Sequence[int], part: Sequence[float], chance: Sequence[float]) -
 
 def _rounded(rows: pa.Table, seed: int) -> pa.Table:
     """One group with its fractions rounded; ``open`` marks the one that is left."""
-    turn, row = (rows.column(c).to_numpy() for c in ("turn", "row"))
-    order = np.lexsort((row, turn))
+    turn, row, size = (rows.column(c).to_numpy() for c in ("turn", "row", "size"))
+    order = np.lexsort((row, size, turn))
     rows, turn = rows.take(pa.array(order)), turn[order]
     # rows that repeat an id share its hash; their place among the repeats tells them apart, whatever the layout
     first = np.r_[True, turn[1:] != turn[:-1]]

@@ -106,6 +106,7 @@ def train(texts: Sequence[bytes], labels: Sequence[int], prior: float, seed: int
             data, first = _laid_out([texts[i] for i in picked])
             act = _activations(data, _pair_tables(net)).reshape(-1, STEP, FILTERS)
             place = act.argmax(axis=1)
+            place[first[1:] - 1] = 0  # the step behind a text holds padding only; its end would see the next text
             raw = np.take_along_axis(act, place[:, None], axis=1)[:, 0] + net.bias
             pooled = np.maximum(raw, 0)
             described = _described(pooled, first)
@@ -151,12 +152,14 @@ class Scorer:
     def __init__(self, net: Network):
         self.net, self.pairs = net, _pair_tables(net)
 
-    def _pooled(self, data: np.ndarray) -> np.ndarray:
+    def _pooled(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
         parts = []
         for at in range(0, len(data) - 2 * PAIRS, BLOCK):
             act = _activations(data[at : min(at + BLOCK, len(data) - 2 * PAIRS) + 2 * PAIRS], self.pairs)
             parts.append(act.reshape(-1, STEP, FILTERS).max(axis=1))
-        return np.maximum(np.concatenate(parts) + self.net.bias, 0)
+        act = np.concatenate(parts)
+        act[first[1:] - 1] = self.pairs[:, 0].sum(axis=0)  # the step behind a text holds padding only
+        return np.maximum(act + self.net.bias, 0)
 
     def scores(self, texts: Sequence[bytes]) -> np.ndarray:
         out, at = np.zeros(len(texts)), 0
@@ -166,7 +169,7 @@ class Scorer:
                 size += len(texts[end])
                 end += 1
             data, first = _laid_out(texts[at:end])
-            logit = _dense(self.net, _described(self._pooled(data), first))[1] + self.net.prior
+            logit = _dense(self.net, _described(self._pooled(data, first), first))[1] + self.net.prior
             out[at:end] = 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -500, 500)))
             at = end
         return out

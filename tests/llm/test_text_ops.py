@@ -263,7 +263,7 @@ def test_quality_is_one_network_over_whole_texts():
     alone = np.concatenate([scorer.scores([t]) for t in texts])
     assert scorer.scores(texts) == pytest.approx(alone, abs=1e-4)
     # a mark anywhere in a text reaches the pool, also across the border of two chunks
-    pooled = [scorer._pooled(quality._laid_out([b"a" * k + b"###" + b"a" * (400 - k)])[0]).max(axis=0) for k in range(120, 300)]
+    pooled = [scorer._pooled(*quality._laid_out([b"a" * k + b"###" + b"a" * (400 - k)])).max(axis=0) for k in range(120, 300)]
     assert np.ptp(np.stack(pooled), axis=0) == pytest.approx(0, abs=1e-5)
 
 

@@ -31,7 +31,7 @@ from perinuc.llm.common import WORD, own, spare
 from perinuc.scale import cut, positions
 
 # documents of one group, and residuals paired by one task of the tree
-GROUP = 4096
+GROUP = 1024
 # sources whose targets may be broadcast
 FEW_SOURCES = 10_000
 
@@ -49,15 +49,15 @@ def sized(docs: DataFrame, text: str, source: str, doc_id: str) -> DataFrame:
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2) -> DataFrame:
-    """One row per source: source, source_size, target.
+    """One row per source: source, source_size, docs, target.
 
     Sources are weighed in code point order, null last.  A target is ``min(most * size, level * weight)``; the level
     rises until the targets add up to ``share`` of all words.  Each step is one aggregate over the sources.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     ranked = positions(per.withColumn("no_source", F.col("source").isNull()), [], ["no_source", "source"], "pos")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("pos") % len(weights) + 1).cast("int"))
-    weighed = cut(ranked.select("source", "source_size", weight.cast("long").alias("weight")))
+    weighed = cut(ranked.select("source", "source_size", "docs", weight.cast("long").alias("weight")))
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     wanted = Fraction(total) * share
     level, cap = Fraction(0), F.col("source_size") * most
@@ -79,6 +79,7 @@ def targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: Fractio
     return weighed.select(
         "source",
         "source_size",
+        "docs",
         F.when(cap.cast("double") <= filled, cap.cast("double")).otherwise(filled).alias("target"),
     )
 
@@ -146,11 +147,12 @@ def mix(
     """One row per document: doc_id, size, source_size, target of its source, copies, taken, row."""
     sizes = sized(docs, text, source, doc_id)
     goals = cut(targets(sizes, weights, share, most))
-    n_rows, n_sources = sizes.count(), goals.count()
+    n_sources, most_docs = goals.agg(F.count("*"), F.max("docs")).first()
     side = goals.withColumnRenamed("source", "goal_source")
     side = F.broadcast(side) if n_sources <= FEW_SOURCES else side
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    n_groups = max(1, math.ceil(n_rows / group))
+    # groups follow the source, so a hot source has many and a small one is not cut up
+    n_groups = max(1, math.ceil((most_docs or 0) / group))
     base = (
         sizes.join(side, F.col("source").eqNullSafe(F.col("goal_source")))
         .drop("goal_source")
@@ -165,8 +167,8 @@ def mix(
         )
         # rows without an id are told apart by their number
         .withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("row"))))
-        .withColumn("grp", F.pmod(F.xxhash64("turn"), F.lit(n_groups)))
-        .drop("ratio")
+        .withColumn("grp", F.pmod(F.xxhash64("turn"), F.ceil(F.col("docs") / group)))
+        .drop("ratio", "docs")
     )
     kinds = {f.name: f.dataType for f in base.schema}
     schema = StructType([StructField(c, kinds[c]) for c in base.columns] + [StructField("open", BooleanType())])

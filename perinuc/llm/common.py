@@ -52,3 +52,12 @@ def joined_with_hot(rows: DataFrame, lookup: DataFrame, key: str, size: str, tot
         *rows.columns,
         *[F.when(F.col("_hot_key").isNotNull(), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in extra],
     )
+
+
+def thinned(turn: Column, wanted: int, among: Column) -> Column:
+    """Rows to draw ``wanted`` from: with four times as many or fewer all of ``among``, else about that many.
+
+    ``turn`` is a hash, so a share of its values is a share of the rows; no task then gets more than it can rank.
+    """
+    steps = 1 << 30
+    return F.pmod(turn, F.lit(steps)) / F.lit(float(steps)) * among < F.lit(4.0 * wanted)

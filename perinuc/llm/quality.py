@@ -20,9 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from perinuc.llm.common import held_out, own
+from perinuc.llm.common import held_out, own, thinned
 
 # bound on the fit: rows per label, characters of a row that may be taken
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8192
@@ -198,17 +199,15 @@ def learn(
     share = count.get(1, 0) / sum(count.values()) if count else 1.0
     if len(count) < 2:
         return Model(None, share)
-    # ids only: at most 4 * rows per label, since long texts are passed over below
-    ids = None
-    for kind in (0, 1):
-        some = marked.filter(F.col("label") == kind).orderBy("turn", "doc_id").limit(4 * rows)
-        ids = some if ids is None else ids.union(some)
+    # ids only, a few times `rows` per label, since long texts are passed over below
+    of_label = F.when(F.col("label") == 1, F.lit(count[1])).otherwise(F.lit(count[0]))
+    by_turn = W.partitionBy("label").orderBy("turn", "doc_id")
+    some = marked.filter(thinned(F.col("turn"), 2 * rows, of_label)).withColumn("place", F.row_number().over(by_turn))
+    ids = some.filter(F.col("place") <= 4 * rows).select("doc_id", "label", "turn")
     texts = docs.select(own(docs, doc_id).alias("doc_id"), F.coalesce(own(docs, text), F.lit("")).alias("text"))
     met = texts.filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
-    some = None
-    for kind in (0, 1):
-        part = met.filter(F.col("label") == kind).orderBy("turn", "doc_id", "text").limit(rows)
-        some = part if some is None else some.union(part)
+    place = F.row_number().over(W.partitionBy("label").orderBy("turn", "doc_id", "text"))
+    some = met.withColumn("place", place).filter(F.col("place") <= rows)
     sample = sorted((r.turn, r.text, r.label) for r in some.collect())
     kinds = [r[2] for r in sample]
     if len(set(kinds)) < 2:

@@ -6,11 +6,14 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from perinuc.llm import exact_dedup, language_id, mixing, simhash, top_k
+from perinuc.llm.common import joined_with_hot
 
 CLASH = "doc_id long, text string, lang string, source string, size string, taken string, copies string, `row` int"
 
@@ -169,11 +172,11 @@ def test_top_k_of_nothing(spark):
 # pipeline
 
 
-def test_pipeline_stages(spark, tmp_path):
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    seen = {}
+    rows = {r.doc_id: r for r in docs.collect()}
+    columns, seen = docs.columns, {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, sf)
         if k < 4:
@@ -181,17 +184,51 @@ def test_pipeline_stages(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{k}")
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         seen[name] = Counter(r.doc_id for r in docs.select("doc_id").collect())
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    assert set(seen["language"]) == {i for i, t in texts.items() if t and any(c.isalpha() for c in t)}
-    groups = defaultdict(list)
-    for i in seen["language"]:
-        groups[re.sub(r"[\x20\x09-\x0D]+", " ", texts[i])].append(i)
-    assert set(seen["exact_dedup"]) == {min(g) for g in groups.values()}
-    assert set(seen["near_dedup"]) <= set(seen["exact_dedup"]) and seen["tokens"] == seen["mix"]
+        if k < 4:
+            assert all(tuple(r) == tuple(rows[r.doc_id]) for r in docs.collect())
+    # language: texts with a letter
+    left = [i for i, r in sorted(rows.items()) if r.text and any(c.isalpha() for c in r.text)]
+    assert seen["language"] == Counter(left)
+    # exact copies: the smallest id per normalised text
+    first = {}
+    for i in left:
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", rows[i].text), i)
+    left = sorted(first.values())
+    assert seen["exact_dedup"] == Counter(left)
+    # near copies: the smallest id per component of fingerprints
+    fps, label = [simhash.fingerprint(rows[i].text) for i in left], {i: i for i in left}
+    for a, i in enumerate(left):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2 and label[i] != label[left[b]]:
+                old, new = sorted((label[i], label[left[b]]), reverse=True)
+                label = {j: new if c == old else c for j, c in label.items()}
+    left = sorted(i for i in left if label[i] == i)
+    assert seen["near_dedup"] == Counter(left)
+    # mix: every source's words are within one document of its target
+    sizes = defaultdict(int)
+    for i in left:
+        sizes[rows[i].source] += len(rows[i].text.split())
+    for s, goal in plain_targets(sizes).items():
+        own = [i for i in left if rows[i].source == s]
+        words = {i: len(rows[i].text.split()) for i in own}
+        assert abs(sum(words[i] * seen["mix"][i] for i in own) - goal) <= max(words.values())
+        assert all(0 <= seen["mix"][i] <= 2 for i in own)
+    # tokens: those of the library, once per copy
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {i: len(library.encode(rows[i].text, add_special_tokens=False).ids) for i in seen["mix"]}
+    assert seen["tokens"] == seen["mix"] and all(r.n_tokens == want[r.doc_id] for r in docs.collect())
     whole = Counter(r.doc_id for r in entry.queries()["pipeline"](spark, sf).select("doc_id").collect())
     assert whole == seen["tokens"]
 
 
+def test_hot_keys_are_joined_like_others(spark):
+    rows = spark.createDataFrame([(k, "hot" if k % 2 else f"k{k % 20}") for k in range(1000)] + [(-1, None)], "n int, key string")
+    lookup = spark.createDataFrame([("hot", 500, "a"), ("k0", 50, "b"), ("k2", 50, None), ("x", 1, "c")], "key string, size long, v string")
+    got = {r.n: (r.key, r.v) for r in joined_with_hot(rows, lookup, "key", "size", 1001, most=4).collect()}
+    known = {"hot": "a", "k0": "b"}
+    assert len(got) == 1001 and all(v == known.get(key) for key, v in got.values())
+
+
 def test_stages_of_empty_and_odd_documents(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(1, None, None, None, None), (None, "ein wort", "de", None, 8), (2, "ein wort", "de", "s", 8), (2, "ein  wort", "de", "s", 8)]

@@ -52,7 +52,7 @@ def stem(path: Column | str) -> Column:
 def parse_run_name(path: Column | str, prefix: str) -> Column:
     """Struct of strain, date, acquisition settings and batch, NULL when the name has fewer than seven parts."""
     name = stem(path)
-    bare = F.when(name.startswith(prefix), F.substring(name, len(prefix) + 1, 10_000)).otherwise(name)
+    bare = F.when(name.startswith(prefix), F.substr(name, F.lit(len(prefix) + 1))).otherwise(name)
     p = F.split(bare, "_")
     return F.when(
         F.size(p) >= 7,

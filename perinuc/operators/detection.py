@@ -115,17 +115,19 @@ def roi_llr(
 def fdr(tests: DataFrame, by: Sequence[str], alpha: float, ids: Sequence[str], lr: str = "lr", step_up: bool = False) -> DataFrame:
     """p-values, ranks and significance within each batch of tests.
 
-    By default each p is held against the threshold of its own rank; ``step_up`` accepts everything up to the
+    Tests are ranked by falling ratio, then by id.  By default each p is held against the threshold of its own rank; ``step_up`` accepts everything up to the
     last rank that passes.  Ranks come from a range shuffle, so a large batch is not sorted in one task.
     """
     given = list(by)
     tests, by = with_key(tests, by)
-    scored = tests.withColumn("p", two_sided_p(lr)).withColumn("_order", F.round("p", 12))
-    ranked = positions(scored, by, ["_order", *ids], "_pos").withColumn("rank", F.col("_pos") + 1).drop("_order", "_pos")
+    # the p-value falls strictly with the ratio above zero, and is not rounded to zero in it
+    strength = F.greatest(F.col(lr), F.lit(0.0)).desc_nulls_last()
+    ranked = positions(tests.withColumn("p", two_sided_p(lr)), by, [strength, *ids], "_pos")
+    ranked = ranked.withColumn("rank", F.col("_pos") + 1).drop("_pos")
     sizes = ranked.groupBy(*by).agg(F.count("*").alias("m"))
     threshold = F.col("rank") / (F.col("m") * harmonic("m")) * alpha
     judged = join_nulls(ranked, sizes, by).withColumn("threshold", threshold)
-    own = F.round("p", 12) <= F.round("threshold", 12)
+    own = F.col("p") <= F.col("threshold")
     if not step_up:
         return judged.withColumn("significant", own).drop(*[b for b in by if b not in given])
     last = judged.filter(own).groupBy(*by).agg(F.max("rank").alias("_last"))

@@ -172,10 +172,13 @@ def profile_edge(
     fits = sums.withColumn("_d", _det(m)).filter("_d <> 0")
     fits = fits.select("*", solved(0).alias("slope"), solved(1).alias("_i"), solved(2).alias("amplitude"))
     sse = c["syy"] - F.col("slope") * c["sty"] - F.col("_i") * c["sy"] - F.col("amplitude") * c["sgy"]
+    # cells are compared by their error relative to the profile's own spread, so its scale does not matter
+    share = F.when(c["syy"] > 0, F.round(sse / c["syy"], 9)).otherwise(F.lit(0.0))
     best = fits.groupBy(*keys).agg(
         F.min(
             F.struct(
-                F.round(sse, 6).alias("sse"), "mu", "sigma", "slope", (F.col("_i") + F.col("_mean")).alias("intercept"), "amplitude"
+                share.alias("share"), "mu", "sigma", "slope", (F.col("_i") + F.col("_mean")).alias("intercept"), "amplitude",
+                sse.alias("sse"),
             )
         ).alias("_best")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -557,7 +559,28 @@ def _(v):
     return br.u_range_table(br.parts_of_outline(ranked, bridges))
 
 
-@query("w10_bridged_outline")
+def _renamed(text: str, tag: str, source: str) -> str:
+    """The steps of ``text`` under names of their own, over another table of segments."""
+    steps = set(re.findall(r"(?:^|,)\s*(\w+) AS \(SELECT", text))
+    for step in sorted(steps):
+        text = re.sub(rf"\b{step}\b(?!\()", f"{step}_{tag}", text)
+    return text.replace("{segments}", source)
+
+
+# the same steps as above, each over what the one before it left
+CHAIN = f"""{TRIM}, kp AS (SELECT *, count(*) OVER (PARTITION BY {S}) AS m FROM tm), {_renamed(ORIENT, 'or', 'kp')},
+    fs AS (SELECT kp.* FROM kp JOIN al_or USING ({S}) WHERE round(alignment, 9) < 6e-1), {_renamed(TIPS, 'br', 'fs')}"""
+
+
+@query(
+    "w10_bridged_outline",
+    f"""WITH {CHAIN}, bl AS (SELECT {S}, sum(st) AS blen FROM (SELECT {S}, {_step()} AS st FROM bz_br JOIN vd_br USING ({S}) WHERE is_valid
+                             WINDOW {_w(S)}) q GROUP BY {S}),
+        pa AS (SELECT {K}, rk * 2 AS o, 'data' AS kind, length AS len FROM en_br
+               UNION ALL SELECT {K}, rk * 2 + 1, 'bridge', coalesce(blen, 0) FROM en_br LEFT JOIN bl USING ({S})),
+        ru AS (SELECT *, sum(len) OVER (PARTITION BY {K} ORDER BY o) AS upto, sum(len) OVER (PARTITION BY {K}) AS total FROM pa)
+        SELECT {K}, kind, R((upto - len) / total) AS u_start, R(upto / total) AS u_end FROM ru WHERE len > 0""",
+)
 def _(v):
     """Trim, orientation, bridges and ranges in one chain."""
     return br.bridge(_segments(v), _trims(v), max_deg=5.0)[1]

@@ -58,9 +58,9 @@ def _(v):
 
 
 FDR = f"""sp AS (SELECT roi_id, batch, lr, 1 - {_erf('sqrt(greatest(lr, 0) / 2)')} AS p FROM {{lr}} t),
-    rk AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY lr DESC, roi_id) AS rank, count(*) OVER (PARTITION BY batch) AS m FROM sp),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY greatest(lr, 0) DESC, roi_id) AS rank, count(*) OVER (PARTITION BY batch) AS m FROM sp),
     th AS (SELECT *, rank / (m * (57721566490153286e-17 + ln(m) + 5e-1 / m - 1e0 / (12 * m * m) + 1e0 / (120 * pow(m, 4)))) * 5e-1 AS threshold FROM rk),
-    ok AS (SELECT *, round(p, 9) <= round(threshold, 9) AS own FROM th)"""
+    ok AS (SELECT *, p <= threshold AS own FROM th)"""
 
 
 @query("w11_fdr", f"WITH {FDR} SELECT roi_id, batch, R(lr) AS lr, R(p) AS p, rank, m, R(threshold) AS threshold, own AS significant FROM ok")
@@ -143,7 +143,13 @@ def _(v):
     return dt.mask_from_rois(_llr(v).filter("lr > 40"), ["fov_id"], SIZE, 8, 8)
 
 
-@query("d3_detected_spots")
+FOUND = f"""{EM}, sp AS (SELECT *, 1 - {_erf('sqrt(greatest(lr, 0) / 2)')} AS p FROM ll),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY fov_id ORDER BY greatest(lr, 0) DESC, frame, y0, x0) AS rank,
+                  count(*) OVER (PARTITION BY fov_id) AS m FROM sp),
+    hi AS (SELECT * FROM rk WHERE p <= rank / (m * (57721566490153286e-17 + ln(m) + 5e-1 / m - 1e0 / (12 * m * m) + 1e0 / (120 * pow(m, 4)))) * 5e-2)"""
+
+
+@query("d3_detected_spots", f"WITH RECURSIVE {FOUND} SELECT DISTINCT fov_id, frame, {CENTRE} FROM hi")
 def _(v):
     """Detection chain: regions, likelihood ratios, false discovery rate per field, mask."""
     tested = cut(dt.fdr(_llr(v), ["fov_id"], 0.05, ["frame", "y0", "x0"]))

@@ -115,8 +115,8 @@ def _(v):
 
 @query(
     "a9_clear_border",
-    f"""SELECT {M}, ne_label, y, x FROM {{mask}} m WHERE ({M}, ne_label) NOT IN
-        (SELECT ({M}, ne_label) FROM {{mask}} q WHERE y <= 0 OR x <= 0 OR y >= 105 OR x >= 126)""",
+    f"""SELECT {M}, ne_label, y, x FROM {{mask}} m ANTI JOIN
+        (SELECT {M}, ne_label FROM {{mask}} q WHERE y <= 0 OR x <= 0 OR y >= 105 OR x >= 126) b USING ({M}, ne_label)""",
 )
 def _(v):
     return px.clear_border(v("mask"), px.MASK, 106, 127)

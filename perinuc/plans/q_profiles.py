@@ -102,8 +102,8 @@ FIT = f"""ml AS (SELECT profile_index, avg(intensity) AS mean FROM {{profiles}}
     so AS (SELECT *, (sty * (n * sgg - sg * sg) - st * (sy * sgg - sg * sgy) + sgt * (sy * sg - n * sgy)) / d AS slope,
                   (stt * (sy * sgg - sg * sgy) - sty * (st * sgg - sg * sgt) + sgt * (st * sgy - sy * sgt)) / d AS i0,
                   (stt * (n * sgy - sy * sg) - st * (st * sgy - sy * sgt) + sty * (st * sg - n * sgt)) / d AS amplitude FROM dt WHERE d <> 0),
-    se AS (SELECT *, round(syy - slope * sty - i0 * sy - amplitude * sgy, 6) AS sse FROM so),
-    bs AS (SELECT *, row_number() OVER (PARTITION BY profile_index ORDER BY sse, mu, sigma) AS rn FROM se)"""
+    se AS (SELECT *, syy - slope * sty - i0 * sy - amplitude * sgy AS sse FROM so),
+    bs AS (SELECT *, row_number() OVER (PARTITION BY profile_index ORDER BY CASE WHEN syy > 0 THEN round(sse / syy, 9) ELSE 0e0 END, mu, sigma) AS rn FROM se)"""
 
 
 @query(

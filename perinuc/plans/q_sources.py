@@ -185,7 +185,7 @@ def _(v):
        FROM {reg_slice} s WHERE mode = 1""",
 )
 def _(v):
-    rows = _slices(v).withColumn("slice", F.substring("slice_id", 7, 10))
+    rows = _slices(v).withColumn("slice", F.substr("slice_id", F.lit(7)))
     values = [F.col(c) for c in ("angle_delta", "scale_delta", "rdif_y", "rdif_x", "kept")]
     nested = rows.filter(F.col("fov_id") % 2 == 0)
     labels = nested.groupBy("fov_id", "ne_label").agg(

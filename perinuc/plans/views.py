@@ -27,7 +27,7 @@ SELECT mode, fov_id, ne_label, slice_id,
        (s_disc * 1e0 / n - 5) / 10 + CASE WHEN mode = 2 AND moved = 0 THEN 6e-1 ELSE 0e0 END AS shift_y,
        (s_tax * 1e0 / n - 4) / 10 AS shift_x
 FROM (SELECT CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS mode,
-             lpad(CAST(l_suppkey AS STRING), 8, '0') AS fov_id,
+             PAD(CAST(l_suppkey AS STRING)) AS fov_id,
              lpad(CAST(l_partkey % 100 AS STRING), 4, '0') AS ne_label,
              concat('slice_', CAST(l_linenumber AS STRING)) AS slice_id,
              sum(CAST(l_quantity AS BIGINT)) AS s_qty, sum(CAST(round(l_discount * 100) AS BIGINT)) AS s_disc,
@@ -58,7 +58,7 @@ VIEWS["experiment_key"] = """
 SELECT concat('BMY14', lpad(CAST(s_nationkey % 7 AS STRING), 2, '0')) AS strain,
        concat('2024010', CAST(s_suppkey % 2 + 1 AS STRING)) AS date,
        CASE WHEN s_acctbal > 5000 THEN 'batch 2' ELSE NULL END AS addl_info,
-       lpad(CAST(s_suppkey AS STRING), 8, '0') AS fov_id
+       PAD(CAST(s_suppkey AS STRING)) AS fov_id
 FROM {supplier} s
 """
 
@@ -77,7 +77,7 @@ FROM {reg_label} r JOIN {experiment_key} k ON r.fov_id = k.fov_id
 """
 
 VIEWS["boxes"] = """
-SELECT channel, lpad(CAST(CAST(floor(pk / 12) AS BIGINT) AS STRING), 8, '0') AS fov_id, pk AS ord,
+SELECT channel, PAD(CAST(CAST(floor(pk / 12) AS BIGINT) AS STRING)) AS fov_id, pk AS ord,
        lpad(CAST(pk % 12 AS STRING), 2, '0') AS ne_label, 75 AS height, 75 AS width,
        l AS final_left, t AS final_top, l + 75 AS final_right, t + 75 AS final_bottom,
        CASE WHEN size = 50 THEN NULL ELSE t + 37 + size % 4 * 5e-1 END AS cy,
@@ -102,14 +102,14 @@ VIEWS["curve"] = """
 SELECT fov_id, ne_label, channel, idx, n,
        round(375e-1 + (r + dr) * sin(6283185307179586e-15 * idx / n), 6) AS y,
        round(375e-1 + (r + dr) * cos(6283185307179586e-15 * idx / n), 6) AS x
-FROM (SELECT lpad(CAST(CAST(floor(user_id / 4) AS BIGINT) AS STRING), 8, '0') AS fov_id,
+FROM (SELECT PAD(CAST(CAST(floor(user_id / 4) AS BIGINT) AS STRING)) AS fov_id,
              lpad(CAST(user_id % 4 AS STRING), 2, '0') AS ne_label, idx, n, 20 + user_id % 5 AS r
       FROM {event_order} e) c
 JOIN (SELECT 'ch1' AS channel, 0e0 AS dr UNION ALL SELECT 'ch2' AS channel, 8e-1 AS dr) d ON TRUE
 """
 
 VIEWS["segment_events"] = """
-SELECT lpad(CAST(CAST(floor(user_id / 4) AS BIGINT) AS STRING), 8, '0') AS fov_id,
+SELECT PAD(CAST(CAST(floor(user_id / 4) AS BIGINT) AS STRING)) AS fov_id,
        lpad(CAST(user_id % 4 AS STRING), 2, '0') AS ne_label, event_id,
        CASE WHEN event_type IN ('view', 'click', 'error') THEN 'ch1' ELSE 'ch2' END AS channel,
        event_id % 3 AS seg, 20 + user_id % 5 AS r, event_id % 5 - 2 AS wob
@@ -135,7 +135,7 @@ VIEWS["mask"] = """
 SELECT fov_id, channel, ne_label, CAST(20 + 40 * (k % 4) + oy0 AS BIGINT) AS y,
        CAST(20 + 50 * (k - k % 4) / 4 + ox0 AS BIGINT) AS x
 FROM (SELECT fov_id, channel, ne_label, k, rad, sy, sx, oy0, {SERIES:-9,9} AS ox0
-      FROM (SELECT lpad(CAST(CAST(floor(pk / 12) AS BIGINT) AS STRING), 8, '0') AS fov_id,
+      FROM (SELECT PAD(CAST(CAST(floor(pk / 12) AS BIGINT) AS STRING)) AS fov_id,
                    CASE WHEN ch = 1 THEN 'ch1' ELSE 'ch2' END AS channel, pk % 12 + 1 AS ne_label, pk % 12 AS k,
                    3 + size % 4 AS rad, CASE WHEN ch = 1 THEN 0 ELSE size % 3 END AS sy,
                    CASE WHEN ch = 1 THEN 0 ELSE size % 2 END AS sx, {SERIES:-9,9} AS oy0
@@ -144,13 +144,13 @@ WHERE (oy0 - sy) * (oy0 - sy) + (ox0 - sx) * (ox0 - sx) <= rad * rad
 """
 
 VIEWS["pixels"] = """
-SELECT lpad(CAST(l_suppkey AS STRING), 8, '0') AS fov_id, CAST(l_quantity AS BIGINT) - 1 AS frame,
+SELECT PAD(CAST(l_suppkey AS STRING)) AS fov_id, CAST(l_quantity AS BIGINT) - 1 AS frame,
        l_partkey % 75 AS y, l_orderkey % 75 AS x, sum(CAST(round(l_extendedprice) AS BIGINT)) AS value
 FROM {lineitem} l GROUP BY 1, 2, 3, 4
 """
 
 VIEWS["stack"] = """
-SELECT lpad(CAST(CAST(floor(vec_id / 50) AS BIGINT) AS STRING), 8, '0') AS fov_id, vec_id % 50 AS frame,
+SELECT PAD(CAST(CAST(floor(vec_id / 50) AS BIGINT) AS STRING)) AS fov_id, vec_id % 50 AS frame,
        CAST(floor(i / 8) AS BIGINT) AS y, CAST(i % 8 AS BIGINT) AS x, CAST(e AS DOUBLE) AS e,
        CAST(round(1000 + 1000 * CAST(e AS DOUBLE)) AS BIGINT) AS value
 FROM (SELECT vec_id, {POSITIONS:embedding} FROM {embeddings} v) t
@@ -171,12 +171,15 @@ SELECT profile_index, k, k * 12 / 49e0 AS dist,
 FROM (SELECT p_partkey AS profile_index, p_size AS size, {SERIES:0,49} AS k FROM {part} p) t
 """
 
+# likelihood ratios up to several hundred, below zero, and in ties
 VIEWS["lr"] = """
-SELECT o_orderkey AS roi_id, o_orderpriority AS batch, o_totalprice / 20000 AS lr FROM {orders} o
+SELECT o_orderkey AS roi_id, o_orderpriority AS batch,
+       CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice / 1000 WHEN o_orderkey % 11 = 0 THEN floor(o_totalprice / 20000) * 1e0
+            WHEN o_orderkey % 13 = 0 THEN -o_totalprice / 20000 ELSE o_totalprice / 20000 END AS lr FROM {orders} o
 """
 
 VIEWS["distances"] = """
-SELECT lpad(CAST(l_suppkey AS STRING), 8, '0') AS fov_id, lpad(CAST(l_partkey % 12 AS STRING), 2, '0') AS ch1_label,
+SELECT PAD(CAST(l_suppkey AS STRING)) AS fov_id, lpad(CAST(l_partkey % 12 AS STRING), 2, '0') AS ch1_label,
        lpad(CAST((l_partkey + 3) % 12 AS STRING), 2, '0') AS ch2_label, l_orderkey AS okey, l_linenumber AS lnum,
        l_partkey AS pkey,
        (l_extendedprice - 50000) / 200 + (l_partkey % 12 - 6) * 120 AS dist_nm,
@@ -186,7 +189,7 @@ FROM {lineitem} l
 """
 
 VIEWS["profile_log"] = """
-SELECT lpad(CAST(l_suppkey AS STRING), 8, '0') AS fov_id, CASE WHEN l_linestatus = 'F' THEN 'ch1' ELSE 'ch2' END AS channel,
+SELECT PAD(CAST(l_suppkey AS STRING)) AS fov_id, CASE WHEN l_linestatus = 'F' THEN 'ch1' ELSE 'ch2' END AS channel,
        lpad(CAST(l_partkey % 12 AS STRING), 2, '0') AS ne_label, concat('segment_0', CAST(l_linenumber % 3 AS STRING)) AS seg_label,
        CASE WHEN l_quantity > 15 THEN 'success' WHEN l_quantity > 10 THEN 'fail:likelihood_ratio'
             WHEN l_quantity > 6 THEN 'fail:all_step_sizes' WHEN l_quantity > 3 THEN 'skip:low_contrast'
@@ -204,7 +207,7 @@ SELECT user_id AS curve_id, event_id, ((event_id * 7919) % 10000) / 10000e0 AS u
 
 VIEWS["ledger"] = """
 SELECT event_id, ts, concat('ch', CAST(user_id % 2 + 1 AS STRING)) AS channel,
-       lpad(CAST(CAST(floor(user_id / 12) AS BIGINT) AS STRING), 8, '0') AS fov_id,
+       PAD(CAST(CAST(floor(user_id / 12) AS BIGINT) AS STRING)) AS fov_id,
        lpad(CAST(user_id % 12 AS STRING), 2, '0') AS ne_label,
        concat('Reg Filter: ', event_type) AS event,
        CASE event_type WHEN 'error' THEN 'registration' WHEN 'signup' THEN 'paired' WHEN 'view' THEN 'refined_fit'
@@ -217,7 +220,7 @@ VIEWS["paths"] = """
 SELECT concat('/img/BMY', CAST(800 + o_custkey % 5 AS STRING), '/2024-01-', lpad(CAST(o_orderkey % 28 + 1 AS STRING), 2, '0'),
               CASE WHEN o_orderstatus = 'P' THEN '' ELSE concat(' batch ', o_orderstatus) END,
               CASE o_orderpriority WHEN '5-LOW' THEN '/notes' WHEN '1-URGENT' THEN '/FoV_none'
-                   ELSE concat('/FoV_', lpad(CAST(o_orderkey AS STRING), 8, '0')) END) AS path
+                   ELSE concat('/FoV_', PAD(CAST(o_orderkey AS STRING))) END) AS path
 FROM {orders} o
 """
 
@@ -227,6 +230,8 @@ def _needs(text: str) -> list[str]:
 
 
 def _spell(text: str, engine: str) -> str:
+    # ids of eight digits or more, never cut
+    text = _macro(text, "PAD", "lpad({0}, CAST(greatest(8, length({0})) AS INT), '0')")
     if engine == "spark":
         text = re.sub(r"\{SERIES:(-?\d+),(-?\d+)\}", r"explode(sequence(\1, \2))", text)
         return re.sub(r"\{POSITIONS:(\w+)\}", r"posexplode(\1) AS (i, e)", text)
@@ -258,8 +263,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
 
 
-def _macro(sql: str, name: str, before: str, after: str) -> str:
-    """Replace ``NAME(expr)`` by ``before expr after``, honouring nested parentheses."""
+def _macro(sql: str, name: str, form: str) -> str:
+    """Replace ``NAME(expr)`` by ``form`` with ``{0}`` for the expression, honouring nested parentheses."""
     out, at = "", 0
     for hit in re.finditer(rf"\b{name}\(", sql):
         if hit.start() < at:
@@ -268,7 +273,7 @@ def _macro(sql: str, name: str, before: str, after: str) -> str:
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[end], 0)
             end += 1
-        out += sql[at : hit.start()] + before + sql[hit.end() : end - 1] + after
+        out += sql[at : hit.start()] + form.replace("{0}", sql[hit.end() : end - 1])
         at = end
     return out + sql[at:]
 
@@ -278,8 +283,8 @@ def oracle(sql: str) -> str:
 
     ``R(x)`` rounds a double the way the queries do, ``I(x)`` casts to a 64-bit integer.
     """
-    sql = _macro(sql, "R", "(round(CAST(", f" AS DOUBLE) + {NUDGE}, 6) + 0e0)")
-    sql = _macro(sql, "I", "CAST(", " AS BIGINT)")
+    sql = _macro(sql, "R", f"(round(CAST({{0}} AS DOUBLE) + {NUDGE}, 6) + 0e0)")
+    sql = _macro(sql, "I", "CAST({0} AS BIGINT)")
     parts: dict[str, str] = {}
 
     def add(name: str) -> None:

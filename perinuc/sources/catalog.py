@@ -66,7 +66,7 @@ def dirs_at_depth(paths: DataFrame, root: str, names: Sequence[str], depth: int
     depth = depth or len(names)
     start = root.rstrip("/") + "/"
     below = paths.filter(F.col("path").startswith(start) & (F.length("path") > len(start)))
-    parts = F.split(F.substring("path", len(start) + 1, 100_000), "/")
+    parts = F.split(F.substr("path", F.lit(len(start) + 1)), "/")
     return below.filter(F.size(parts) == depth).select(*[parts[i].alias(n) for i, n in enumerate(names)])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import PIXEL_NM, stem
@@ -34,12 +34,20 @@ def _reg(v: str, prefix: str = "") -> str:
     )
 
 
-def _parsed(docs: DataFrame) -> DataFrame:
-    return docs.select("source_file", F.try_parse_json("doc").alias("v")).filter("v IS NOT NULL")
+def _variant(text: str) -> Column:
+    """JSON text as VARIANT; an object or list that does not fit raises, a bare word is NULL."""
+    nested = F.col(text).startswith("{") | F.col(text).startswith("[")
+    return F.when(nested, F.parse_json(text)).otherwise(F.try_parse_json(text))
+
+
+def _members(docs: DataFrame) -> DataFrame:
+    """One row per top-level member, so that a document may be larger than one VARIANT; unreadable text has none."""
+    split = F.explode(F.from_json("doc", "map<string,string>")).alias("key", "text")
+    return docs.select("source_file", split).select("source_file", "key", _variant("text").alias("value"))
 
 
 def _sql(docs: DataFrame, text: str) -> DataFrame:
-    return docs.sparkSession.sql(text, docs=_parsed(docs))
+    return docs.sparkSession.sql(text, docs=_members(docs))
 
 
 def read_json_dir(spark: SparkSession, folder: str) -> DataFrame:
@@ -52,17 +60,18 @@ def read_json_dir(spark: SparkSession, folder: str) -> DataFrame:
         raise ValueError(f"no JSON files in {folder}") from e
     if empty:
         raise ValueError(f"no JSON files in {folder}")
-    return found.filter(F.try_parse_json("doc").isNotNull()).select(stem("name").alias("source_file"), "doc")
+    readable = F.from_json("doc", "map<string,string>").isNotNull() | F.from_json("doc", "array<string>").isNotNull()
+    return found.filter(readable).select(stem("name").alias("source_file"), "doc")
 
 
 def unpack_reg_fov(docs: DataFrame) -> DataFrame:
     """One row per field."""
     return _sql(
-        docs, f"SELECT source_file, f.key AS fov_id, {_reg('f.value')} FROM {{docs}}, LATERAL variant_explode(v) f"
+        docs, f"SELECT source_file, f.key AS fov_id, {_reg('f.value')} FROM {{docs}} f"
     )
 
 
-_LABELS = "{docs}, LATERAL variant_explode(v) f, LATERAL variant_explode(f.value) l"
+_LABELS = "{docs} f, LATERAL variant_explode(f.value) l"
 
 
 def unpack_reg_label(docs: DataFrame) -> DataFrame:
@@ -158,7 +167,7 @@ def flatten_fov_stability(docs: DataFrame, px_nm: float = PIXEL_NM) -> DataFrame
         docs,
         "SELECT source_file, f.key AS fov_id, try_variant_get(f.value, '$.status', 'string') AS status, "
         + ", ".join(_num("f.value", m, f"{m}_px") for m in ("drift", "drift_dx", "drift_dy"))
-        + " FROM {docs}, LATERAL variant_explode(v) f",
+        + " FROM {docs} f",
     )
     return rows.select("*", *[(F.col(f"{n}_px") * px_nm).alias(f"{n}_nm") for n in ("drift", "drift_dx", "drift_dy")])
 
@@ -186,15 +195,15 @@ def _kept(v: str) -> str:
 
 def flatten_kept(docs: DataFrame) -> DataFrame:
     """Slice report with the ``kept`` flag, from a flat list or from nested objects; missing numbers are 0."""
-    parsed = _parsed(docs)
-    flat = parsed.filter("schema_of_variant(v) LIKE 'ARRAY%'")
-    nested = parsed.filter(IS_OBJECT.format("v"))
+    entries = F.explode(F.from_json("doc", "array<string>")).alias("text")
+    flat = docs.select("source_file", entries).select("source_file", _variant("text").alias("value"))
+    nested = _members(docs)
     spark = docs.sparkSession
     listed = spark.sql(
         "SELECT source_file, coalesce(try_variant_get(e.value, '$.fov', 'string'), 'unknown') AS fov_id, "
         "coalesce(try_variant_get(e.value, '$.ne_label', 'string'), 'unknown') AS ne_label, "
         f"coalesce(try_variant_get(e.value, '$.slice', 'int'), 0) AS slice, {_kept('e.value')} "
-        "FROM {flat}, LATERAL variant_explode(v) e WHERE variant_get(e.value, '$.kept') IS NOT NULL",
+        "FROM {flat} e WHERE variant_get(e.value, '$.kept') IS NOT NULL",
         flat=flat,
     )
     objects = spark.sql(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import PIXEL_NM, clip, magnitude, move_along_normal, wrap_angle
-from perinuc.scale import TILE, beside, cut, neighbours, own_rows, positions, running_sum, tiles
+from perinuc.scale import TILE, beside, neighbours, own_rows, positions, running_sum, tiles
 
 CURVE = ["fov_id", "channel", "ne_label"]
 SEGMENT = [*CURVE, "segment"]
@@ -212,91 +212,131 @@ def closed_edges(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     return sized.join(after, [*keys, "idx"]).select(*keys, F.col("idx").alias("edge"), "y", "x", "y2", "x2")
 
 
-def _edge_scale(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean edge length per curve, the natural grid size for it."""
-    size = magnitude(F.col("y2") - F.col("y"), F.col("x2") - F.col("x"))
-    return edges.groupBy(*keys).agg(F.greatest(F.avg(size), F.lit(1e-6)).alias("_size"))
+# Edges of one stretch, and stretches of one stretch on the next level.
+FAN = 8
+
+
+def _levels(edges: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
+    """Stretches of a closed curve from the whole (``block`` 0) to FAN single edges, each with its ``kids``.
+
+    A stretch knows its bounding box, its first place and the height where it ends.  The number of levels follows the
+    longest curve, so a curve of a million edges has seven.
+    """
+    box = ("y_lo", "y_hi", "x_lo", "x_hi", "y_in", "x_in", "y_out")
+    kid = F.struct("edge", "y", "x", "y2", "x2")
+    parts = edges.select(
+        *keys, F.col("edge").alias("block"), kid.alias("kid"),
+        F.least("y", "y2").alias("y_lo"), F.greatest("y", "y2").alias("y_hi"),
+        F.least("x", "x2").alias("x_lo"), F.greatest("x", "x2").alias("x_hi"),
+        F.col("y").alias("y_in"), F.col("x").alias("x_in"), F.col("y2").alias("y_out"),
+    )
+    most, out = edges.agg(F.max("edge")).first()[0] or 0, []
+    while not out or most > 0:
+        most //= FAN
+        nodes = parts.groupBy(*keys, F.floor(F.col("block") / FAN).cast("long").alias("_up")).agg(
+            F.collect_list("kid").alias("kids"),
+            *[F.min(c).alias(c) for c in ("y_lo", "x_lo")],
+            *[F.max(c).alias(c) for c in ("y_hi", "x_hi")],
+            *[F.min_by(c, "block").alias(c) for c in ("y_in", "x_in")],
+            F.max_by("y_out", "block").alias("y_out"),
+        ).withColumnRenamed("_up", "block")
+        out.append(nodes.select(*keys, "block", "kids"))
+        parts = nodes.select(*keys, "block", F.struct("block", *box).alias("kid"), *box)
+    return out[::-1]
 
 
 def nearest_on_curve(a: DataFrame, b: DataFrame, keys: Sequence[str], closed: DataFrame | None = None) -> DataFrame:
-    """Closest place on curve B for every point of curve A, exactly, by rounds of growing grids.
+    """Closest place on curve B for every point of curve A, exactly, from coarse stretches to single edges.
 
-    Edges are entered in their own and the surrounding cells, a point looks only into its own cell.  A best
-    distance up to the cell size is final (the first edge wins ties to nine digits); the few points left go on with cells of twice the size.
+    A stretch of edges is at least as far as its bounding box and at most as far as its first place.  A point opens only
+    the stretches whose box is not beyond the smallest such upper bound it has seen, so its work grows with the logarithm
+    of the curve.  The first edge wins ties to nine digits.
     """
     edges = closed_edges(b, keys) if closed is None else closed
-    edges = cut(edges.join(_edge_scale(edges, keys), list(keys)))
-    scale = edges.select(*keys, "_size").distinct()
-    todo = cut(
-        a.select(*keys, "idx", F.col("y").alias("py"), F.col("x").alias("px")).join(scale, list(keys))
+    point = [*keys, "idx", "py", "px"]
+    py, px = F.col("py"), F.col("px")
+    rows = a.select(
+        *keys, "idx", F.col("y").alias("py"), F.col("x").alias("px"), F.lit(0).cast("long").alias("block"), F.lit(float("inf")).alias("most")
+    )
+    *upper, leaves = _levels(edges, keys)
+    for nodes in upper:
+        def least(k: Column) -> Column:
+            return magnitude(
+                F.greatest(k["y_lo"] - py, py - k["y_hi"], F.lit(0.0)), F.greatest(k["x_lo"] - px, px - k["x_hi"], F.lit(0.0))
+            )
+
+        first = F.array_min(F.transform("kids", lambda k: magnitude(py - k["y_in"], px - k["x_in"])))
+        met = rows.join(nodes, [*keys, "block"]).withColumn("most", F.least("most", first))
+        # a hair of slack keeps edges that tie to nine digits
+        opened = F.filter("kids", lambda k: least(k) <= F.col("most") + 1e-8)
+        rows = met.select(*point, "most", F.explode(F.transform(opened, lambda k: k["block"])).alias("block"))
+
+    edge = rows.join(leaves, [*keys, "block"]).select(*point, F.inline("kids"))
+    dy, dx = F.col("y2") - F.col("y"), F.col("x2") - F.col("x")
+    len2 = dy * dy + dx * dx
+    t = F.when(len2 > 0, clip(((py - F.col("y")) * dy + (px - F.col("x")) * dx) / len2, 0.0, 1.0)).otherwise(F.lit(0.0))
+    placed = edge.withColumn("t", t).withColumn("near_y", F.col("y") + F.col("t") * dy).withColumn("near_x", F.col("x") + F.col("t") * dx)
+    dist = magnitude(py - F.col("near_y"), px - F.col("near_x"))
+    found = placed.select(*point, "edge", "t", "near_y", "near_x", dist.alias("dist"))
+    best = found.groupBy(*point).agg(
+        F.min("dist").alias("dist"), F.min(F.struct(F.round("dist", 9).alias("about"), "edge", "t", "near_y", "near_x")).alias("_best")
     )
-    done, level = None, 1
-    while not todo.isEmpty():
-        grid = F.col("_size") * F.lit(float(2**level))
-
-        def cell(c: Column, g: Column = grid) -> Column:
-            return F.floor(c / g).cast("long")
-
-        def around(p: str, q: str) -> Column:
-            return F.explode(F.sequence(cell(F.least(p, q)) - 1, cell(F.greatest(p, q)) + 1))
-
-        active = edges.join(todo.select(*keys).distinct(), list(keys), "left_semi")
-        placed = active.withColumn("_cy", around("y", "y2")).withColumn("_cx", around("x", "x2")).drop("_size")
-        looking = todo.withColumn("_cy", cell(F.col("py"))).withColumn("_cx", cell(F.col("px")))
-        dy, dx = F.col("y2") - F.col("y"), F.col("x2") - F.col("x")
-        len2 = dy * dy + dx * dx
-        along = (F.col("py") - F.col("y")) * dy + (F.col("px") - F.col("x")) * dx
-        t = F.when(len2 > 0, clip(along / len2, 0.0, 1.0)).otherwise(F.lit(0.0))
-        met = looking.join(placed, [*keys, "_cy", "_cx"]).withColumn("t", t)
-        ny, nx = F.col("y") + F.col("t") * dy, F.col("x") + F.col("t") * dx
-        dist = magnitude(F.col("py") - ny, F.col("px") - nx)
-        best = met.groupBy(*keys, "idx").agg(
-            F.min(dist).alias("dist"),
-            F.min(F.struct(F.round(dist, 9).alias("about"), "edge", "t", ny.alias("near_y"), nx.alias("near_x"))).alias("_best"),
-        )
-        seen = cut(todo.join(best, [*keys, "idx"], "left").withColumn("_final", F.coalesce(F.col("dist") <= grid, F.lit(False))))
-        final = seen.filter("_final").select(
-            *keys, "idx", "py", "px", "dist", *[f"_best.{c}" for c in ("edge", "t", "near_y", "near_x")]
-        )
-        done = final if done is None else done.unionByName(final)
-        todo = seen.filter("NOT _final").drop("dist", "_best", "_final")
-        level += 1
-    if done is None:
-        schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in todo.drop("_size").schema]])
-        return a.sparkSession.createDataFrame([], f"{schema}, dist double, edge bigint, t double, near_y double, near_x double")
-    return done
+    return best.select(*point, "dist", *[f"_best.{c}" for c in ("edge", "t", "near_y", "near_x")])
 
 
 def point_in_polygon(points: DataFrame, polygon: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Even-odd test; points meet only the edges of their own horizontal strip.
+    """Even-odd test by the crossings of a ray in x, from coarse stretches of the polygon to single edges.
 
+    A stretch whose box lies beyond the point in x crosses the ray an odd number of times exactly if its ends lie on
+    different sides of it, and one whose box misses the ray never does, so only stretches around the point are opened.
     ``points`` has ``idx, py, px``; ``polygon`` is a closed curve.
     """
-    edges = closed_edges(polygon, keys)
-    scale = _edge_scale(edges, keys)
+    py, px = F.col("py"), F.col("px")
+    # what is settled goes on in a row of its own, which keeps each point to the end; its number meets no stretch
+    settled = (F.lit(-1) - F.pmod(F.xxhash64("idx", "py", "px"), F.lit(4096))).cast("long")
+    rows = points.select(*points.columns, F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("odd"))
+    *upper, leaves = _levels(closed_edges(polygon, keys), keys)
+
+    def count(test) -> Column:
+        return F.coalesce(F.size(F.filter("kids", test)).cast("long"), F.lit(0).cast("long"))
 
-    def strip(c: Column) -> Column:
-        return F.floor(c / F.col("_size")).cast("long")
+    for nodes in upper:
+        def around(k: Column) -> Column:
+            return (k["y_lo"] <= py) & (py <= k["y_hi"])
 
-    bands = edges.join(scale, list(keys)).withColumn(
-        "_strip", F.explode(F.sequence(strip(F.least("y", "y2")), strip(F.greatest("y", "y2"))))
-    ).drop("_size")
-    placed = points.join(scale, list(keys), "left").withColumn("_strip", strip(F.col("py"))).drop("_size")
-    met = placed.join(bands, [*keys, "_strip"], "left")
-    spans = (F.col("y") > F.col("py")) != (F.col("y2") > F.col("py"))
-    at = (F.col("x2") - F.col("x")) * (F.col("py") - F.col("y")) / (F.col("y2") - F.col("y")) + F.col("x")
-    crossings = F.count_if(spans & (F.col("px") < at))
-    return met.groupBy(*points.columns).agg((crossings % 2 == 1).alias("inside"))
+        def crossed(k: Column) -> Column:
+            return around(k) & (k["x_lo"] > px) & ((k["y_in"] > py) != (k["y_out"] > py))
 
+        def inside(k: Column) -> Column:
+            return around(k) & (k["x_lo"] <= px) & (px <= k["x_hi"])
 
-def signed_distance(a: DataFrame, b: DataFrame, keys: Sequence[str], polygon: DataFrame | None = None, px_nm: float = PIXEL_NM) -> DataFrame:
-    """Distance from every point of A to curve B in nm, positive where B's nearest place lies inside A.
+        odd = F.col("odd") + count(crossed)
+        opened = F.transform(F.filter("kids", inside), lambda k: F.struct(k["block"].alias("block"), F.lit(0).cast("long").alias("odd")))
+        rest = F.array(F.struct(settled.alias("block"), odd.alias("odd")))
+        met = rows.join(nodes, [*keys, "block"], "left")
+        rows = met.select(*points.columns, F.explode(F.concat(F.coalesce(opened, F.array()), rest)).alias("_r")).select(*points.columns, "_r.*")
+
+    def cut_by_ray(e: Column) -> Column:
+        at = (e["x2"] - e["x"]) * (py - e["y"]) / (e["y2"] - e["y"]) + e["x"]
+        return ((e["y"] > py) != (e["y2"] > py)) & (px < at)
+
+    last = rows.join(leaves, [*keys, "block"], "left").select(*points.columns, (F.col("odd") + count(cut_by_ray)).alias("odd"))
+    return last.groupBy(*points.columns).agg((F.sum("odd") % 2 == 1).alias("inside"))
+
+
+def signed_distance(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], polygon: DataFrame | None = None, px_nm: float = PIXEL_NM, n: int | None = None
+) -> DataFrame:
+    """Distance from curve A to curve B in nm, positive where B's nearest place lies inside A.
 
-    ``polygon`` is curve A where ``a`` holds only samples of it.
+    Measured from every point of A, or from ``n`` places at equal arc lengths that include both ends.  ``polygon`` is
+    curve A where ``a`` holds only samples of it.
     """
-    near = nearest_on_curve(a, b, keys)
+    polygon = a if polygon is None else polygon
+    places = a if n is None else resample(a, keys, n=n)
+    near = nearest_on_curve(places, b, keys)
     spots = near.select(*keys, "idx", "dist", F.col("near_y").alias("py"), F.col("near_x").alias("px"))
-    sided = point_in_polygon(spots, a if polygon is None else polygon, keys)
+    sided = point_in_polygon(spots, polygon, keys)
     sign = F.when(F.col("inside"), F.lit(1.0)).otherwise(F.lit(-1.0))
     return sided.select(*keys, "idx", (F.col("dist") * sign * px_nm).alias("dist_nm"))
 

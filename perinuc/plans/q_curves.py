@@ -317,6 +317,19 @@ def _(v):
     return cv.signed_distance(_side(v, "ch1"), _side(v, "ch2"), NUC)
 
 
+# places at equal arc lengths of the open outline, both ends included
+SAMPLES = 40
+SAMPLED = SIGNED.replace(
+    "ap AS (SELECT fov_id, ne_label, idx, n, y AS py, x AS px FROM {curve} c WHERE channel = 'ch1')",
+    f"sa AS ({_resampled(str(SAMPLES)).replace('R(arg_min', '(arg_min')}), ap AS (SELECT fov_id, ne_label, idx, 0 AS n, y AS py, x AS px FROM sa WHERE channel = 'ch1')",
+)
+
+
+@query("j17_sampled_distance", f"WITH {SAMPLED} SELECT fov_id, ne_label, idx, R(dist_nm) AS dist_nm FROM sd")
+def _(v):
+    return cv.signed_distance(_side(v, "ch1"), _side(v, "ch2"), NUC, n=SAMPLES)
+
+
 # ---- stretches ----------------------------------------------------------------------------
 
 RANGES = """ra AS (SELECT fov_id, ne_label, channel, kind, u_start, u_end FROM

@@ -128,3 +128,39 @@ def test_drift_interpolation_goes_beyond_the_outer_bins(spark):
     got = {(r.g, r.frame): r.dy for r in cv.interp_drift(bins, K, size).collect()}
     assert [got["a", f] for f in range(8)] == pytest.approx([f - 2.0 for f in range(8)])
     assert [got["b", f] for f in range(2)] == [7.0, 7.0]
+
+
+def test_nearest_places_need_few_candidates_whatever_the_length(spark):
+    """Two outlines side by side: candidates per point grow with the levels, not with the points."""
+    per_point = []
+    for n in (1000, 8000):
+        turn = F.col("id") * (2 * math.pi / n)
+        ring = spark.range(n).select(F.lit("f").alias("fov_id"), F.lit("ch1").alias("channel"), F.lit("n").alias("ne_label"), F.col("id").alias("idx"), (F.sin(turn) * 20).alias("y"), (F.cos(turn) * 20).alias("x"))
+        outer = ring.withColumn("y", F.col("y") * 1.04).withColumn("x", F.col("x") * 1.04)
+        *upper, leaves = cv._levels(cv.closed_edges(outer, cv.CURVE), cv.CURVE)
+        tables = [{r.block: r.kids for r in t.collect()} for t in upper]
+        seen = 0
+        for i in range(0, n, n // 50):
+            p = (20 * math.sin(i * 2 * math.pi / n), 20 * math.cos(i * 2 * math.pi / n))
+            opened = [(0, math.inf)]
+            for table in tables:
+                after = []
+                for block, most in opened:
+                    most = min([most, *(math.dist(p, (k.y_in, k.x_in)) for k in table[block])])
+                    beside = [(math.hypot(max(k.y_lo - p[0], p[0] - k.y_hi, 0), max(k.x_lo - p[1], p[1] - k.x_hi, 0)), k.block) for k in table[block]]
+                    after += [(b, most) for d, b in beside if d <= most + 1e-8]
+                opened = after
+                seen += cv.FAN * len(opened)
+        per_point.append(seen / 50)
+    assert per_point[1] < 2.5 * per_point[0] and per_point[1] < 400
+
+
+def test_points_in_a_flat_outline(spark):
+    """All edges in one horizontal strip."""
+    n = 600
+    flat = [(k * 0.01, 1e-3 * math.sin(k)) for k in range(n)] + [(k * 0.01, 0.1) for k in range(n - 1, -1, -1)]
+    ring = spark.createDataFrame([("f", "ch1", "n", k, y, x) for k, (x, y) in enumerate(flat)], "fov_id string, channel string, ne_label string, idx long, y double, x double")
+    spots = [(k, 0.05 if k % 2 else 0.2, 0.005 + 0.013 * k) for k in range(450)]
+    places = spark.createDataFrame([("f", "ch1", "n", *s) for s in spots], "fov_id string, channel string, ne_label string, idx long, py double, px double")
+    got = {r.idx: r.inside for r in cv.point_in_polygon(places, ring, cv.CURVE).collect()}
+    assert got == {k: bool(k % 2 and x < (n - 1) * 0.01) for k, _, x in spots}

@@ -121,11 +121,11 @@ def scott_width(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
 
 
 def histogram_by_width(
-    df: DataFrame, column: str, by: Sequence[str], limits: str = "minmax"
+    df: DataFrame, column: str, by: Sequence[str], limits: str = "minmax", own_width: bool = False
 ) -> DataFrame:
-    """Counts per group in right-closed bins of one common width that start at 0.
+    """Counts per group in right-closed bins that start at 0, of one common width or of each group's own.
 
-    Carries the axis limits (range, or mean +- 3 sd) and the largest count.
+    Carries the axis limits of all groups (range, or mean +- 3 sd) and the largest count.
     """
     v = F.col(column)
     frame = df.agg(
@@ -143,6 +143,9 @@ def histogram_by_width(
     # a single row of global limits
     frame = frame.select(F.lit(0).alias("_all"), "width", "_lo", lo.alias("x_min"), hi.alias("x_max"))
     rows = df.filter(v.isNotNull()).withColumn("_all", F.lit(0)).join(F.broadcast(frame), "_all")
+    if own_width:
+        group = df.groupBy(*by).agg(_scott(column, F.count("*")).alias("width"), F.min(v).alias("_lo"))
+        rows = join_nulls(rows.drop("width", "_lo"), group, by)
     raw = F.ceil(v / F.col("width")) - 1
     first = F.floor(F.col("_lo") / F.col("width"))
     counts = rows.groupBy(

@@ -178,17 +178,17 @@ def _(v):
 
 @query(
     "p11_similarity_transform",
-    f"""SELECT {K}, idx,
+    f"""SELECT {K}, mode, idx,
                R((dy * cos(a) - dx * sin(a)) * s + 375e-1 + shy) AS y, R((dy * sin(a) + dx * cos(a)) * s + 375e-1 + shx) AS x
-        FROM (SELECT {K}, idx, y - 375e-1 AS dy, x - 375e-1 AS dx, CASE WHEN r.scale IS NULL THEN 1e0 ELSE r.scale END AS s,
+        FROM (SELECT {K}, r.mode, idx, y - 375e-1 AS dy, x - 375e-1 AS dx, CASE WHEN r.scale IS NULL THEN 1e0 ELSE r.scale END AS s,
                      coalesce(r.angle, 0e0) AS a, coalesce(r.shift_y, 0e0) AS shy, coalesce(r.shift_x, 0e0) AS shx
-              FROM {{curve}} c LEFT JOIN (SELECT * FROM {{reg_fov}} q WHERE mode = 1) r USING (fov_id)) t""",
+              FROM {{curve}} c LEFT JOIN {{reg_fov}} r USING (fov_id)) t""",
 )
 def _(v):
-    reg = v("reg_fov").filter("mode = 1").select("fov_id", *st.PARTS)
+    reg = v("reg_fov").select("fov_id", "mode", *st.PARTS)
     joined = _points(v).join(reg, "fov_id", "left").fillna({"scale": 1.0, "angle": 0.0, "shift_y": 0.0, "shift_x": 0.0})
     y, x = sc.similarity("y", "x", "scale", "angle", "shift_y", "shift_x", F.lit(37.5), F.lit(37.5))
-    return joined.select(*cv.CURVE, "idx", y.alias("y"), x.alias("x"))
+    return joined.select(*cv.CURVE, "mode", "idx", y.alias("y"), x.alias("x"))
 
 
 @query(
@@ -483,17 +483,20 @@ def _(v):
 
 @query(
     "w7_trim_length",
-    """WITH s AS (SELECT fov_id, ne_label, count(*) AS n, sqrt(pow(stddev_pop(shift_y), 2) + pow(stddev_pop(shift_x), 2)) AS own
-                  FROM {reg_slice} r WHERE mode = 1 GROUP BY ALL)
-       SELECT l.fov_id, l.ne_label, R(2 * coalesce(CASE WHEN s.n > 1 THEN own ELSE f.ch_reg_prec END, f.ch_reg_prec, 5e-1)) AS trim
-       FROM (SELECT DISTINCT fov_id, ne_label FROM {reg_label} q) l LEFT JOIN s USING (fov_id, ne_label)
-       LEFT JOIN (SELECT * FROM {reg_fov} q WHERE mode = 1) f USING (fov_id)""",
+    """WITH s AS (SELECT mode, fov_id, ne_label, count(*) AS n, sqrt(pow(stddev_pop(shift_y), 2) + pow(stddev_pop(shift_x), 2)) AS own
+                  FROM {reg_slice} r GROUP BY ALL)
+       SELECT l.mode, l.fov_id, l.ne_label, R(2 * coalesce(CASE WHEN s.n > 1 THEN own ELSE f.ch_reg_prec END, f.ch_reg_prec, 5e-1)) AS trim
+       FROM (SELECT DISTINCT fov_id, ne_label, mode FROM (SELECT fov_id, ne_label FROM {reg_label} q) a, (VALUES (1), (2)) b(mode)) l
+       LEFT JOIN s USING (mode, fov_id, ne_label) LEFT JOIN {reg_fov} f USING (mode, fov_id)""",
 )
 def _(v):
     nuclei = v("reg_label").select(*NUC).distinct()
-    own = st.slice_sigma_shift_only(v("reg_slice"), v("reg_fov")).filter("mode = 1")
-    field = v("reg_fov").filter("mode = 1").withColumnRenamed("ch_reg_prec", "sigma_reg")
-    return br.trim_length(nuclei, own, field)
+    own = st.slice_sigma_shift_only(v("reg_slice"), v("reg_fov"))
+    field = v("reg_fov").withColumnRenamed("ch_reg_prec", "sigma_reg")
+    one, two = (
+        br.trim_length(nuclei, own.filter(F.col("mode") == m), field.filter(F.col("mode") == m)).withColumn("mode", F.lit(m)) for m in (1, 2)
+    )
+    return one.unionByName(two)
 
 
 ORIENT = f"""ce AS (SELECT {K}, avg(y) AS gy, avg(x) AS gx FROM {{segments}} s GROUP BY {K}),

@@ -169,7 +169,8 @@ def _(v):
     return px.on_mask_segments(points, v("mask"), cv.CURVE, ["fov_id", "channel"], 150, 130, least=2)
 
 
-BOXED = """bx AS (SELECT fov_id, ne_label, final_top, final_left, final_bottom, final_right FROM {boxes} b WHERE channel = 'ch1'),
+# boxes of one field and label exist per channel, so the channel is part of the label here
+BOXED = """bx AS (SELECT fov_id, channel || '/' || ne_label AS ne_label, final_top, final_left, final_bottom, final_right FROM {boxes} b),
     im AS (SELECT fov_id, y, x, sum(value) AS value FROM {pixels} p GROUP BY fov_id, y, x),
     cr AS (SELECT im.fov_id, ne_label, y - final_top AS y, x - final_left AS x, I(value) AS value FROM im JOIN bx ON im.fov_id = bx.fov_id
            AND y >= final_top AND y < final_bottom AND x >= final_left AND x < final_right)"""
@@ -177,7 +178,8 @@ BOXED = """bx AS (SELECT fov_id, ne_label, final_top, final_left, final_bottom,
 
 def _boxed(v) -> tuple[DataFrame, DataFrame]:
     image = v("pixels").groupBy("fov_id", "y", "x").agg(F.sum("value").alias("value"))
-    boxes = v("boxes").filter("channel = 'ch1'").select("fov_id", "ne_label", "final_top", "final_left", "final_bottom", "final_right")
+    label = F.concat_ws("/", "channel", "ne_label").alias("ne_label")
+    boxes = v("boxes").select("fov_id", label, "final_top", "final_left", "final_bottom", "final_right")
     return px.crop(image, boxes, FOV), boxes
 
 

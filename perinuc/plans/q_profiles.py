@@ -150,34 +150,35 @@ def _(v):
     return pf.poisson_outliers(_predicted(v), KEY, gain=20.0)
 
 
-LINES = """nl AS (SELECT fov_id, ne_label, idx, y - 6 * ux AS y0, x + 6 * uy AS x0, y + 6 * ux AS y1, x - 6 * uy AS x1 FROM
+CURVE = cv.CURVE
+LINES = """nl AS (SELECT fov_id, channel, ne_label, idx, y - 6 * ux AS y0, x + 6 * uy AS x0, y + 6 * ux AS y1, x - 6 * uy AS x1 FROM
     (SELECT *, ty / (sqrt(ty * ty + tx * tx) + 1e-9) AS uy, tx / (sqrt(ty * ty + tx * tx) + 1e-9) AS ux FROM
-     (SELECT fov_id, ne_label, idx, y, x,
+     (SELECT fov_id, channel, ne_label, idx, y, x,
              CASE WHEN lag(y) OVER w IS NULL THEN lead(y) OVER w - y WHEN lead(y) OVER w IS NULL THEN y - lag(y) OVER w ELSE (lead(y) OVER w - lag(y) OVER w) / 2 END AS ty,
              CASE WHEN lag(x) OVER w IS NULL THEN lead(x) OVER w - x WHEN lead(x) OVER w IS NULL THEN x - lag(x) OVER w ELSE (lead(x) OVER w - lag(x) OVER w) / 2 END AS tx
-      FROM {curve} c WHERE channel = 'ch1' WINDOW w AS (PARTITION BY fov_id, ne_label ORDER BY idx)) a) b),
+      FROM {curve} c WINDOW w AS (PARTITION BY fov_id, channel, ne_label ORDER BY idx)) a) b),
     im AS (SELECT fov_id, y, x, sum(value) / 5e1 AS value FROM {pixels} q GROUP BY fov_id, y, x),
     nk AS (SELECT *, round_even(x0, 0) BETWEEN 0 AND 68 AND round_even(y0, 0) BETWEEN 0 AND 68
                   AND round_even(x1, 0) BETWEEN 0 AND 68 AND round_even(y1, 0) BETWEEN 0 AND 68 AS valid
            FROM nl WHERE fov_id IN (SELECT fov_id FROM im)),
-    sp AS (SELECT fov_id, ne_label, idx, k, sqrt((y1 - y0) * (y1 - y0) + (x1 - x0) * (x1 - x0)) * (k / 19e0) AS dist,
+    sp AS (SELECT fov_id, channel, ne_label, idx, k, sqrt((y1 - y0) * (y1 - y0) + (x1 - x0) * (x1 - x0)) * (k / 19e0) AS dist,
                   least(greatest(y0 + k / 19e0 * (y1 - y0), 0), 70) AS y, least(greatest(x0 + k / 19e0 * (x1 - x0), 0), 70) AS x
            FROM (SELECT *, unnest(generate_series(0, 19)) AS k FROM nk WHERE valid) q),
-    cr AS (SELECT fov_id, ne_label, idx, k, dist, CAST(floor(y) AS BIGINT) + oy AS py, CAST(floor(x) AS BIGINT) + ox AS px,
+    cr AS (SELECT fov_id, channel, ne_label, idx, k, dist, CAST(floor(y) AS BIGINT) + oy AS py, CAST(floor(x) AS BIGINT) + ox AS px,
                   CASE WHEN oy = 0 THEN 1 - (y - floor(y)) ELSE y - floor(y) END * CASE WHEN ox = 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END AS w
            FROM sp, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(oy, ox))"""
 
 
 @query(
     "j19_sample_along_normals",
-    f"""WITH {LINES} SELECT cr.fov_id, ne_label, idx, k, R(any_value(dist)) AS dist, R(sum(w * coalesce(value, 0))) AS intensity, true AS valid
-        FROM cr LEFT JOIN im ON im.fov_id = cr.fov_id AND im.y = py AND im.x = px GROUP BY cr.fov_id, ne_label, idx, k
-        UNION ALL SELECT fov_id, ne_label, idx, NULL, NULL, NULL, false FROM nk WHERE NOT valid""",
+    f"""WITH {LINES} SELECT cr.fov_id, channel, ne_label, idx, k, R(any_value(dist)) AS dist, R(sum(w * coalesce(value, 0))) AS intensity, true AS valid
+        FROM cr LEFT JOIN im ON im.fov_id = cr.fov_id AND im.y = py AND im.x = px GROUP BY cr.fov_id, channel, ne_label, idx, k
+        UNION ALL SELECT fov_id, channel, ne_label, idx, NULL, NULL, NULL, false FROM nk WHERE NOT valid""",
 )
 def _(v):
-    curve = v("curve").filter("channel = 'ch1'").select("fov_id", "ne_label", "idx", "y", "x")
+    curve = v("curve").select(*CURVE, "idx", "y", "x")
     ends = sc.normal_ends("y", "x", "ty", "tx", LENGTH)
-    keys = ["fov_id", "ne_label", "idx"]
-    normals = cv.tangents(curve, ["fov_id", "ne_label"]).select(*keys, *[c.alias(n) for n, c in ends.items()])
+    keys = [*CURVE, "idx"]
+    normals = cv.tangents(curve, CURVE).select(*keys, *[c.alias(n) for n, c in ends.items()])
     image = v("pixels").groupBy("fov_id", "y", "x").agg((F.sum("value") / 50.0).alias("value"))
     return pf.sample_along_normals(image, normals, keys, 20, 71, 71)

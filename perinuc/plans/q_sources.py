@@ -180,20 +180,21 @@ def _(v):
 
 @query(
     "s18_flatten_kept",
-    """SELECT 'report' AS source_file, fov_id, ne_label, CAST(substr(slice_id, 7) AS INT) AS slice, R(angle * 57) AS angle_delta,
+    """SELECT 'report' AS source_file, s.mode || '-' || fov_id AS fov_id, ne_label, CAST(substr(slice_id, 7) AS INT) AS slice, R(angle * 57) AS angle_delta,
               R(scale - 1) AS scale_delta, R(s.shift_y) AS rdif_y, R(s.shift_x) AS rdif_x, abs(s.shift_y) <= 2e-1 AS kept
-       FROM {reg_slice} s WHERE mode = 1""",
+       FROM {reg_slice} s""",
 )
 def _(v):
-    rows = _slices(v).withColumn("slice", F.substr("slice_id", F.lit(7)))
+    rows = _slices(v).withColumn("slice", F.substr("slice_id", F.lit(7))).withColumn("nested", F.col("fov_id") % 2 == 0)
+    rows = rows.withColumn("fov_id", F.concat_ws("-", "mode", "fov_id"))
     values = [F.col(c) for c in ("angle_delta", "scale_delta", "rdif_y", "rdif_x", "kept")]
-    nested = rows.filter(F.col("fov_id") % 2 == 0)
+    nested = rows.filter("nested")
     labels = nested.groupBy("fov_id", "ne_label").agg(
         F.concat_ws(",", F.collect_list(_member(F.col("slice"), _node(*values)))).alias("i")
     )
     objects = _by_field(labels, _member(F.col("ne_label"), F.concat(F.lit("{"), "i", F.lit("}"))))
     entry = _node(F.col("fov_id").alias("fov"), F.col("ne_label"), F.col("slice").cast("int").alias("slice"), *values)
-    lists = rows.filter(F.col("fov_id") % 2 != 0).groupBy("fov_id").agg(
+    lists = rows.filter("NOT nested").groupBy("fov_id").agg(
         F.concat(F.lit("["), F.concat_ws(",", F.collect_list(entry)), F.lit("]")).alias("doc")
     )
     return nj.flatten_kept(objects.unionByName(lists.select(F.lit("report").alias("source_file"), "doc")))
@@ -251,11 +252,11 @@ def _(v):
 
 @query(
     "s6_read_json_dir",
-    """SELECT strain, count(*) AS documents, R(sum(scale)) AS scale FROM {fov_results} r WHERE mode = 'mode1' GROUP BY strain""",
+    """SELECT strain, count(*) AS documents, R(sum(scale)) AS scale FROM {fov_results} r GROUP BY strain""",
 )
 def _(v):
-    """One document per field in its own file, read back as a folder tree."""
-    fields = v("fov_results").filter("mode = 'mode1'").select("strain", "fov_id", "scale")
+    """One document per mode and field in its own file, read back as a folder tree."""
+    fields = v("fov_results").select("strain", F.concat_ws("-", "mode", "fov_id").alias("fov_id"), "scale")
     folder = _scratch(fields)
     fields.select(F.col("fov_id").alias("field"), "strain", "scale").hint("rebalance", "field").write.partitionBy("field").json(folder)
     docs = nj.read_json_dir(fields.sparkSession, folder)

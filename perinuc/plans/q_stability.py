@@ -230,12 +230,12 @@ def _(v):
 @query(
     "j11_effective_registration",
     """WITH c2 AS (SELECT DISTINCT fov_id, ne_label FROM {reg_label} l),
-       j AS (SELECT c2.fov_id, c2.ne_label, p.ch1_label, r.scale AS ls, r.angle AS la, r.shift_y AS ly, r.shift_x AS lx,
+       j AS (SELECT b.mode, c2.fov_id, c2.ne_label, p.ch1_label, r.scale AS ls, r.angle AS la, r.shift_y AS ly, r.shift_x AS lx,
                     f.scale AS fs, f.angle AS fa, f.shift_y AS fy, f.shift_x AS fx
-             FROM c2 LEFT JOIN {reg_pairs} p ON p.fov_id = c2.fov_id AND p.ch2_label = c2.ne_label
-             LEFT JOIN {reg_label} r ON r.mode = 2 AND r.fov_id = c2.fov_id AND r.ne_label = p.ch1_label
-             LEFT JOIN {reg_fov} f ON f.mode = 2 AND f.fov_id = c2.fov_id)
-       SELECT fov_id, ne_label, ch1_label,
+             FROM c2 CROSS JOIN (VALUES (1), (2)) b(mode) LEFT JOIN {reg_pairs} p ON p.fov_id = c2.fov_id AND p.ch2_label = c2.ne_label
+             LEFT JOIN {reg_label} r ON r.mode = b.mode AND r.fov_id = c2.fov_id AND r.ne_label = p.ch1_label
+             LEFT JOIN {reg_fov} f ON f.mode = b.mode AND f.fov_id = c2.fov_id)
+       SELECT mode, fov_id, ne_label, ch1_label,
               CASE WHEN ch1_label IS NULL THEN 'identity' WHEN ls IS NOT NULL THEN 'label'
                    WHEN fs IS NOT NULL THEN 'fov' ELSE 'identity' END AS source,
               R(CASE WHEN ch1_label IS NULL THEN 1e0 ELSE coalesce(ls, fs, 1e0) END) AS scale,
@@ -246,9 +246,14 @@ def _(v):
 )
 def _(v):
     nuclei = v("reg_label").select("fov_id", "ne_label").distinct()
-    return st.effective_registration(
-        nuclei, v("reg_pairs"), v("reg_label").filter("mode = 2"), v("reg_fov").filter("mode = 2")
+    label, field = v("reg_label"), v("reg_fov")
+    one, two = (
+        st.effective_registration(
+            nuclei, v("reg_pairs"), label.filter(F.col("mode") == m), field.filter(F.col("mode") == m)
+        ).withColumn("mode", F.lit(m))
+        for m in (1, 2)
     )
+    return one.unionByName(two)
 
 
 @query(

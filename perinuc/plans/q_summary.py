@@ -199,6 +199,20 @@ def _(v):
     return sm.histogram_by_width(v("distances"), "dist_nm", ["pair_type"], limits="3sd")
 
 
+@query(
+    "a15_histogram_own_width",
+    """WITH g AS (SELECT pair_type, 349e-2 * stddev_samp(dist_nm) * pow(count(*), -1e0 / 3) AS width, min(dist_nm) AS lo
+                  FROM {distances} d GROUP BY pair_type),
+       f AS (SELECT min(dist_nm) AS x_min, max(dist_nm) AS x_max FROM {distances} d),
+       c AS (SELECT pair_type, I(greatest(ceil(dist_nm / width) - 1, floor(lo / width))) AS bin, width, x_min, x_max,
+                    count(*) AS n FROM {distances} d JOIN g USING (pair_type), f GROUP BY ALL)
+       SELECT pair_type, bin, R(bin * width) AS lower, R((bin + 1) * width) AS upper, n, R(x_min) AS x_min,
+              R(x_max) AS x_max, (SELECT max(n) FROM c) AS y_max FROM c""",
+)
+def _(v):
+    return sm.histogram_by_width(v("distances"), "dist_nm", ["pair_type"], own_width=True)
+
+
 @query(
     "a16_histogram_n",
     """WITH f AS (SELECT min(dist_nm) AS lo, (max(dist_nm) - min(dist_nm)) / 5e1 AS w, count(*) AS t FROM {distances} d)
@@ -468,11 +482,12 @@ def _(v):
 
 METRICS = ["angle_delta", "scale_delta", "rdif_y", "rdif_x"]
 SLICES = """k AS (SELECT fov_id, ne_label, slice_id, angle * 57 AS angle_delta, scale - 1 AS scale_delta, shift_y AS rdif_y,
-    shift_x AS rdif_x, abs(shift_y) <= 2e-1 AS kept FROM {reg_slice} s WHERE mode = 1)"""
+    shift_x AS rdif_x, abs(shift_y) <= 2e-1 AS kept FROM {reg_slice} s)"""
 
 
 def _slices(v):
-    return v("reg_slice").filter("mode = 1").select(
+    return v("reg_slice").select(
+        "mode",
         "fov_id",
         "ne_label",
         "slice_id",

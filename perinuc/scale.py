@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+# Bins that a quantile's bracket is cut into.
+BINS = 1024
+
 # Rows of one key that stay together in a window; larger keys spread over tasks.
 TILE = 65_536
 
@@ -173,7 +176,7 @@ def quantiles(
 
     The built-in exact percentile keeps every distinct value of a group in one buffer.
     Here a mergeable sketch brackets each wanted rank, values below the bracket are only
-    counted, and just the rows inside the bracket are ordered.  Groups up to ``small``
+    counted, the bracket is narrowed by a histogram, and just the values of the bins that hold the rank are ordered.  Groups up to ``small``
     rows use their full range as bracket.
     """
     given = list(by)
@@ -212,11 +215,23 @@ def quantiles(
         ).alias("_b"),
     ).select(*key, "_b.*")
     inside = join_nulls(tall, brackets, key).filter(F.col("v") <= F.col("_to"))
-    counted = inside.groupBy(
-        *key, "p", "_h", F.when(F.col("v") >= F.col("_from"), F.col("v")).alias("v")
-    ).agg(F.count("*").alias("_c"))
-    w = W.partitionBy(*key, "p").orderBy(F.col("v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.withColumn("_cum", F.sum("_c").over(w))
+    # the bracket is cut into bins of equal width; what lies below it is bin -1
+    width = F.col("_to") - F.col("_from")
+    part = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("_from")) / width * BINS), F.lit(BINS - 1)))
+    bin_ = F.when(F.col("v") < F.col("_from"), F.lit(-1)).otherwise(F.coalesce(part, F.lit(0))).cast("int")
+    in_bin = F.when(F.col("v") >= F.col("_from"), F.col("v"))
+    counted = inside.groupBy(*key, "p", "_h", bin_.alias("_bin"), in_bin.alias("v")).agg(F.count("*").alias("_c"))
+    # at most BINS + 1 rows per group and rank: how many values come before each bin
+    bins = counted.groupBy(*key, "p", "_bin").agg(F.sum("_c").alias("_in"), F.max("_h").alias("_rank"))
+    upto = F.sum("_in").over(W.partitionBy(*key, "p").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
+    reached = bins.withColumn("_upto", upto).filter(
+        (F.col("_upto") > F.floor("_rank")) & (F.col("_upto") - F.col("_in") <= F.ceil("_rank"))
+    )
+    reached = reached.select(*key, "p", "_bin", (F.col("_upto") - F.col("_in")).alias("_before"))
+    # only the bins that hold the two wanted ranks are put in order
+    w = W.partitionBy(*key, "p", "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    wanted = join_nulls(counted, reached.filter("_bin >= 0"), [*key, "p", "_bin"])
+    ranked = wanted.withColumn("_cum", F.col("_before") + F.sum("_c").over(w))
     picked = ranked.groupBy(*key, "p", "_h").agg(
         F.min(F.when(F.col("_cum") > F.floor("_h"), F.col("v"))).alias("_a"),
         F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col("v"))).alias("_z"),

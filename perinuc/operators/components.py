@@ -40,7 +40,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
         both = stars.select(*keys, _ends(("u", "v"), ("v", "u"))).select(*keys, "_e.*")
         low = both.groupBy(*keys, "u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("_m", "u"))
         large = both.join(low, [*keys, "u"]).filter("v > u").select(*keys, F.col("v").alias("u"), F.col("_m").alias("v"))
-        large = cut(large.filter("u <> v").distinct())
+        large = large.filter("u <> v").distinct()
         # every smaller neighbour, and the node itself, is hung under the smallest one
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("_m"))
         small = large.join(least, [*keys, "u"]).select(*keys, _ends(("v", "_m"), ("u", "_m"))).select(*keys, "_e.*")

@@ -6,10 +6,13 @@ on (field, cell) and never from all pairs of a field.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import box_iou, magnitude, pair_score
+from perinuc.operators.components import components
 from perinuc.scale import cut
 
 SIDES = ["left", "top", "right", "bottom"]
@@ -62,62 +65,35 @@ def iou_best_match(a: DataFrame, b: DataFrame, min_iou: float, cell: int = 75) -
     )
 
 
-def _fold_small(candidates: DataFrame) -> DataFrame:
-    """Walk the ordered candidates of each field once and keep those whose two ends are both free."""
-    entry = F.struct("a_ord", (-F.col("score")).alias("neg"), "b_ord", "ch1_label", "ch2_label")
-    ordered = candidates.groupBy("fov_id").agg(F.sort_array(F.collect_list(entry)).alias("todo"))
-    none = F.array().cast("array<struct<ch1_label:string,ch2_label:string>>")
+def _fold(rows: pa.Table) -> pa.Table:
+    """Walk the ordered candidates of one cluster once and keep those whose two ends are both free."""
+    a_ord, b_ord, score = (rows.column(c).to_numpy() for c in ("a_ord", "b_ord", "score"))
+    ends = list(zip(rows.column("ch1_label").to_pylist(), rows.column("ch2_label").to_pylist()))
+    ones, twos, kept = set(), set(), []
+    for i in np.lexsort((b_ord, -score, a_ord)).tolist():
+        one, two = ends[i]
+        if one not in ones and two not in twos:
+            ones.add(one)
+            twos.add(two)
+            kept.append(i)
+    return rows.select(["fov_id", "ch1_label", "ch2_label"]).take(pa.array(kept, pa.int64()))
 
-    def step(done: Column, c: Column) -> Column:
-        taken = F.exists(
-            done, lambda p: (p["ch1_label"] == c["ch1_label"]) | (p["ch2_label"] == c["ch2_label"])
-        )
-        pick = F.struct(c["ch1_label"].alias("ch1_label"), c["ch2_label"].alias("ch2_label"))
-        return F.when(taken, done).otherwise(F.array_append(done, pick))
-
-    folded = ordered.select("fov_id", F.explode(F.aggregate("todo", none, step)).alias("_p"))
-    return folded.select("fov_id", "_p.ch1_label", "_p.ch2_label")
-
-
-def _settle_rounds(candidates: DataFrame) -> DataFrame:
-    """Same result by rounds of plain aggregates, for fields with very many candidates.
 
-    A channel-1 nucleus may take its best free partner as soon as no earlier open nucleus
-    could still want that partner.  The earliest open nucleus always can, so rounds end.
-    """
-    open_, settled = candidates, None
-    while not open_.isEmpty():
-        best = open_.groupBy("fov_id", "ch1_label").agg(
-            F.min(F.struct((-F.col("score")).alias("neg"), "b_ord", "ch2_label", "a_ord")).alias("_best")
-        )
-        first = open_.groupBy("fov_id", "ch2_label").agg(F.min("a_ord").alias("first_a"))
-        picks = cut(
-            best.select("fov_id", "ch1_label", F.col("_best.ch2_label").alias("ch2_label"), F.col("_best.a_ord").alias("a_ord"))
-            .join(first, ["fov_id", "ch2_label"])
-            .filter(F.col("a_ord") == F.col("first_a"))
-            .select("fov_id", "ch1_label", "ch2_label")
-        )
-        settled = picks if settled is None else settled.unionByName(picks)
-        open_ = cut(
-            open_.join(picks.select("fov_id", "ch1_label"), ["fov_id", "ch1_label"], "left_anti").join(
-                picks.select("fov_id", "ch2_label"), ["fov_id", "ch2_label"], "left_anti"
-            )
-        )
-    return candidates.select("fov_id", "ch1_label", "ch2_label").limit(0) if settled is None else settled
-
-
-def settle_greedily(candidates: DataFrame, small: int = 1000) -> DataFrame:
+def settle_greedily(candidates: DataFrame) -> DataFrame:
     """One-to-one pairs from scored candidates: channel-1 nuclei in order, each takes its best free partner.
 
-    Candidates: ``fov_id, ch1_label, a_ord, ch2_label, b_ord, score``.  Fields with up to ``small``
-    candidates are folded in one row; larger ones go through rounds with the same outcome.
+    Candidates: ``fov_id, ch1_label, a_ord, ch2_label, b_ord, score``.  Nuclei compete only through chains of
+    candidates, so a field is split into its connected clusters and each of them is walked on its own.
     """
-    kept = cut(candidates.filter("score > 0"))
-    sizes = kept.groupBy("fov_id").agg(F.count("*").alias("_n"))
-    sized = kept.join(sizes, "fov_id")
-    folded = _fold_small(sized.filter(F.col("_n") <= small).drop("_n"))
-    large = sized.filter(F.col("_n") > small).drop("_n")
-    return folded.unionByName(_settle_rounds(large)) if not large.isEmpty() else folded
+    kept = cut(
+        candidates.filter("score > 0").withColumn("_a", F.concat(F.lit("1"), "ch1_label")).withColumn("_b", F.concat(F.lit("2"), "ch2_label"))
+    )
+    nodes = kept.select("fov_id", F.col("_a").alias("node"))
+    cluster = components(nodes, kept.select("fov_id", F.col("_a").alias("u"), F.col("_b").alias("v")), ["fov_id"])
+    placed = kept.join(cluster.withColumnRenamed("node", "_a"), ["fov_id", "_a"])
+    kinds = dict(kept.dtypes)
+    schema = f"fov_id {kinds['fov_id']}, ch1_label {kinds['ch1_label']}, ch2_label {kinds['ch2_label']}"
+    return placed.drop("_a", "_b").groupBy("fov_id", "component").applyInArrow(_fold, schema)
 
 
 def box_candidates(
@@ -144,11 +120,9 @@ def box_candidates(
     )
 
 
-def greedy_pair(
-    a: DataFrame, b: DataFrame, min_iou: float = 0.7, max_dist: float = 10.0, small: int = 1000
-) -> DataFrame:
+def greedy_pair(a: DataFrame, b: DataFrame, min_iou: float = 0.7, max_dist: float = 10.0) -> DataFrame:
     """One-to-one pairing of boxes by overlap and centroid distance."""
-    return settle_greedily(box_candidates(a, b, min_iou, max_dist), small)
+    return settle_greedily(box_candidates(a, b, min_iou, max_dist))
 
 
 def mask_candidates(a: DataFrame, b: DataFrame, min_iou: float = 0.7, max_dist: float = 10.0) -> DataFrame:
@@ -184,11 +158,9 @@ def mask_candidates(a: DataFrame, b: DataFrame, min_iou: float = 0.7, max_dist:
     )
 
 
-def mask_pair(
-    a: DataFrame, b: DataFrame, min_iou: float = 0.7, max_dist: float = 10.0, small: int = 1000
-) -> DataFrame:
+def mask_pair(a: DataFrame, b: DataFrame, min_iou: float = 0.7, max_dist: float = 10.0) -> DataFrame:
     """One-to-one pairing of labelled regions."""
-    return settle_greedily(mask_candidates(a, b, min_iou, max_dist), small)
+    return settle_greedily(mask_candidates(a, b, min_iou, max_dist))
 
 
 def filter_by_pairs(ch1: DataFrame, ch2: DataFrame, pairs: DataFrame) -> DataFrame:

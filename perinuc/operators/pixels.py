@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,21 +228,56 @@ def pad_crops(crops: DataFrame, boxes: DataFrame, by: Sequence[str], height: int
 # ---- shifts -------------------------------------------------------------------------------
 
 
+# Side of the square tiles in which two images are compared.
+SHIFT_TILE = 64
+
+
+def _tile_products(pixels: pa.Table, keys: list[str], reach: int) -> pa.Table:
+    """Product sums of one tile of the first image with the second one at every shift."""
+    top, left = (pixels.column(c)[0].as_py() * SHIFT_TILE for c in ("_ty", "_tx"))
+    side, y, x, value = (pixels.column(c).to_numpy() for c in ("_side", "y", "x", "value"))
+    first = np.zeros((2, SHIFT_TILE, SHIFT_TILE))
+    second = np.zeros((2, SHIFT_TILE + 2 * reach, SHIFT_TILE + 2 * reach))
+    for image, number, border in ((first, 0, 0), (second, 1, reach)):
+        at = side == number
+        image[0, y[at] - top + border, x[at] - left + border] = value[at]
+        image[1, y[at] - top + border, x[at] - left + border] = 1.0  # where there is a pixel
+    found = []
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            there = second[:, reach - dy : reach - dy + SHIFT_TILE, reach - dx : reach - dx + SHIFT_TILE]
+            if (first[1] * there[1]).any():
+                found.append((dy, dx, float((first[0] * there[0]).sum())))
+    out = pixels.select(keys).take(pa.array(np.zeros(len(found), np.int64)))
+    for name, kind, values in zip(("dy", "dx", "score"), (pa.int64(), pa.int64(), pa.float64()), zip(*found) if found else ([], [], [])):
+        out = out.append_column(name, pa.array(values, kind))
+    return out
+
+
 def shift_scores(a: DataFrame, b: DataFrame, keys: Sequence[str], reach: int = 5) -> DataFrame:
-    """Normalised product sum of two images for every shift of the second, means removed."""
+    """Normalised product sum of two images for every shift of the second, means removed.
+
+    The images are cut into tiles, the second one with a border as wide as the reach, so little more than the pixels
+    themselves is shuffled; all shifts of a tile are summed inside it.
+    """
+    keys = list(keys)
 
-    def centred(image: DataFrame, name: str) -> DataFrame:
+    def centred(image: DataFrame, side: int) -> DataFrame:
         level = image.groupBy(*keys).agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"), F.count("*").alias("_n"))
         norm = (F.col("value") - F.col("_m")) / (F.col("_s") * F.sqrt("_n"))
-        return image.join(level, list(keys)).filter("_s > 0").select(*keys, *PIXEL, norm.alias(name))
-
-    grid = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
-    moved = centred(b, "_b").select(*keys, *PIXEL, "_b", _offsets(grid).alias("_o")).select(
-        *keys, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"), "_b", "_o.dy", "_o.dx"
-    )
-    return moved.join(centred(a, "_a"), [*keys, *PIXEL]).groupBy(*keys, "dy", "dx").agg(
-        F.sum(F.col("_a") * F.col("_b")).alias("score")
-    )
+        place = [F.col(c).cast("long").alias(c) for c in PIXEL]
+        return image.join(level, keys).filter("_s > 0").select(*keys, *place, norm.alias("value"), F.lit(side).alias("_side"))
+
+    def tile(c: str, border: int) -> Column:
+        low, high = F.floor((F.col(c) - border) / SHIFT_TILE), F.floor((F.col(c) + border) / SHIFT_TILE)
+        return F.explode(F.sequence(low.cast("long"), high.cast("long")))
+
+    one = centred(a, 0).withColumn("_ty", tile("y", 0)).withColumn("_tx", tile("x", 0))
+    two = centred(b, 1).withColumn("_ty", tile("y", reach)).withColumn("_tx", tile("x", reach))
+    kinds = dict(a.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "dy long", "dx long", "score double"])
+    parts = one.unionByName(two).groupBy(*keys, "_ty", "_tx").applyInArrow(lambda rows: _tile_products(rows, keys, reach), schema)
+    return parts.groupBy(*keys, "dy", "dx").agg(F.sum("score").alias("score"))
 
 
 def shift_by_correlation(a: DataFrame, b: DataFrame, keys: Sequence[str], reach: int = 5) -> DataFrame:

@@ -205,3 +205,36 @@ def test_values_on_a_bin_edge(spark):
     width = 3.49 * np.std(range(5), ddof=1) * 5 ** (-1 / 3)
     assert sum(r.n for r in closed) == 5 and closed[0].y_max == max(r.n for r in closed)
     assert {r.bin: r.n for r in closed} == {0: 4 if width >= 3 else 3, 1: 1 if width >= 3 else 2}
+
+
+def test_large_regions_from_tiles_equal_all_regions(spark):
+    rng = np.random.default_rng(3)
+    stack = rng.integers(1, 50, (7, 37, 21)) * (rng.random((7, 37, 21)) < 0.02)
+    stack[-1, -1, -1] = 3
+    stack[:, 18:, :4] = 0
+    rows = [("f", int(f), int(y), int(x), int(stack[f, y, x])) for f, y, x in zip(*np.nonzero(stack))]
+    df = spark.createDataFrame(rows, "g string, frame long, y long, x long, value long")
+    got = {(r.frame, r.y0, r.x0): r.counts for r in dt.sliding_rois(df, ["g"], 3, 16).collect()}
+    want = {}
+    for f, y, x in np.ndindex(5, 22, 6):
+        part = stack[f : f + 3, y : y + 16, x : x + 16]
+        if part.any():
+            want[(f, y, x)] = part.ravel().tolist()
+    assert got == want
+
+
+def test_shift_scores_across_tiles(spark):
+    rng = np.random.default_rng(4)
+    one, two = rng.random((2, 70, 130))
+    one[60:66, 60:70] = np.nan  # pixels that are not there
+
+    def table(image):
+        return spark.createDataFrame([("f", y, x, float(v)) for (y, x), v in np.ndenumerate(image) if v == v], "g string, y int, x int, value double")
+
+    got = {(r.dy, r.dx): r.score for r in px.shift_scores(table(one), table(two), ["g"], 5).collect()}
+    a, b = ((i - np.nanmean(i)) / (np.nanstd(i) * np.sqrt(np.isfinite(i).sum())) for i in (one, two))
+    for dy, dx in [(0, 0), (5, -5), (-3, 2), (-5, -5), (5, 5)]:
+        moved = np.full(a.shape, np.nan)
+        moved[max(dy, 0) : 70 + min(dy, 0), max(dx, 0) : 130 + min(dx, 0)] = b[max(-dy, 0) : 70 + min(-dy, 0), max(-dx, 0) : 130 + min(-dx, 0)]
+        assert got[(dy, dx)] == pytest.approx(np.nansum(a * moved), abs=1e-12)
+    assert len(got) == 121

@@ -1,4 +1,4 @@
-"""Pairing: ties, competition, missing centroids, and both ways to settle against a plain loop."""
+"""Pairing: ties, competition, missing centroids, long chains, against a plain loop."""
 
 import math
 import random
@@ -40,12 +40,11 @@ def loop(a_rows, b_rows, min_iou=0.7, max_dist=10.0):
     return sorted(pairs)
 
 
-@pytest.mark.parametrize("small", [0, 1000])
-def test_greedy_pair_equals_the_loop(spark, small):
+def test_greedy_pair_equals_the_loop(spark):
     rng = random.Random(5)
     a = [box(f"a{i}", rng.randint(0, 60), rng.randint(0, 60), centroid=i != 4) for i in range(40)]
     b = [box(f"b{i}", rng.randint(0, 60), rng.randint(0, 60)) for i in range(40)]
-    got = pr.greedy_pair(spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX), small=small)
+    got = pr.greedy_pair(spark.createDataFrame(a, BOX), spark.createDataFrame(b, BOX))
     rows = sorted((r.ch1_label, r.ch2_label) for r in got.collect())
     assert rows == loop(a, b) and len(rows) > 10
 
@@ -78,3 +77,15 @@ def test_upsert_resume_and_key_sets(spark):
     assert [r.k for r in st.resume(old, new, ["k"]).collect()] == [1]
     assert st.resume(old, new, ["k"], rerun=True).count() == 2
     assert sorted(map(tuple, st.key_sets(old, new, ["k"]).collect())) == [(1, "left"), (2, "both"), (3, "right")]
+
+
+def test_a_chain_in_which_each_wants_the_partner_of_the_one_before(spark):
+    """Every nucleus prefers its predecessor's partner: settled in one walk, in jobs that grow with the logarithm only."""
+    n = 200
+    rows = [("f", f"a{i}", i, f"b{i}", i, 0.5) for i in range(n)] + [("f", f"a{i}", i, f"b{i - 1}", i - 1, 0.9) for i in range(1, n)]
+    df = spark.createDataFrame(rows, "fov_id string, ch1_label string, a_ord int, ch2_label string, b_ord int, score double")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {r.ch1_label: r.ch2_label for r in pr.settle_greedily(df).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("", "")
+    assert got == {f"a{i}": f"b{i}" for i in range(n)} and jobs < n

@@ -36,11 +36,16 @@ HEADLINE = [
     "w6_bend_filter",
     "j20_resample",
     "j17_signed_distance",
+    "a18_measured_pairs",
     "w10_u_range_table",
     "a36_profile_edge",
     "a38_delta_aic",
+    "j19_sample_along_normals",
     "a28_slice_means",
+    "a9_label_regions",
     "a41_shift_by_correlation",
+    "a42_bin_drift",
+    "d1_sliding_rois",
     "a40_roi_llr",
     "w11_fdr",
     "w13_ledger_state",

@@ -394,7 +394,8 @@ def _(v):
 def _(v):
     """Measurement chain: signed distances of both outlines, kind of each point, statistics per nucleus."""
     signed = cv.signed_distance(_side(v, "ch1"), _side(v, "ch2"), NUC)
-    typed = signed.join(_paired(v).select(*NUC, "idx", "pair_type"), [*NUC, "idx"])
+    # the statistics read these rows several times
+    typed = cut(signed.join(_paired(v).select(*NUC, "idx", "pair_type"), [*NUC, "idx"]))
     return sm.distance_stats(typed, NUC).select(
         *NUC, "mean_distance", "min_distance", "max_distance", "median_distance", "n_points",
         "n_data_data_points", "n_bridge_bridge_points", "data_data_mean",

@@ -29,7 +29,8 @@ def query(name: str, sql: str | None = None):
 
     def register(build: Callable[[Views], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(build(lambda n: view(spark, sf_dir, n)))
+            made: dict[str, DataFrame] = {}
+            return rounded(build(lambda n: view(spark, sf_dir, n, made)))
 
         QUERIES[name] = run
         if sql is not None:

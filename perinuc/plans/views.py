@@ -252,15 +252,18 @@ def _numbered(rows: DataFrame, by: list[str], order: list[str], idx: str, size:
     return positions(rows, by, order, idx).join(sizes, by)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view, or a plain table, as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """A view, or a plain table, as a DataFrame; numbered rows are made once per ``made``."""
+    made = {} if made is None else made
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     if name in NUMBERED:
-        source, *how = NUMBERED[name]
-        return _numbered(view(spark, sf_dir, source), *how)
+        if name not in made:
+            source, *how = NUMBERED[name]
+            made[name] = _numbered(view(spark, sf_dir, source, made), *how)
+        return made[name]
     text = _spell(VIEWS[name], "spark")
-    return spark.sql(text, **{n: view(spark, sf_dir, n) for n in _needs(text)})
+    return spark.sql(text, **{n: view(spark, sf_dir, n, made) for n in _needs(text)})
 
 
 def _macro(sql: str, name: str, form: str) -> str:

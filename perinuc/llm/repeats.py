@@ -13,7 +13,7 @@ places but share one result row.  Only the id and text columns are read, and an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,13 +63,14 @@ def suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place, first[place].view(np.int64), np.where(inside, whole[np.clip(starts, 0, len(whole) - 1)], 0)
 
 
-def _merged(starts: list[int]) -> list[tuple[int, int]]:
+def _joined(starts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Passages covered by windows that start anywhere from the first to the second of each pair."""
     spans: list[tuple[int, int]] = []
-    for s in sorted(set(starts)):
-        if spans and s <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], s + PASSAGE)
+    for a, b in sorted(set(starts)):
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(spans[-1][1], b + PASSAGE))
         else:
-            spans.append((s, s + PASSAGE))
+            spans.append((a, b + PASSAGE))
     return spans
 
 
@@ -88,24 +89,45 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                     yield pa.RecordBatch.from_arrays([key], ["key"])
                     continue
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
-                windows = np.concatenate([f[2] for f in found]).ravel()
+                place, windows = np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found])
+                # windows of a suffix start between `low` and `high`; those beyond the text's ends are 0
+                held = windows != 0
+                low = place - (PLACES - 1 - held[:, ::-1].argmax(axis=1) if len(held) else 0)
+                high = place - (held.argmax(axis=1) if len(held) else 0)
+                print_ = [xxhash.xxh64_intdigest(w.tobytes()) for w in windows]
                 ends = pa.array(np.arange(len(key) + 1, dtype=np.int32) * PLACES)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(owner), pa.array(np.concatenate([f[0] for f in found])), key,
-                     pa.ListArray.from_arrays(ends, pa.array(windows, pa.int32()))],
-                    ["doc_id", "place", "key", "windows"],
+                    [part.column(0).take(owner), pa.array(place), key, pa.array(np.array(print_, np.uint64).view(np.int64)),
+                     pa.array(low), pa.array(high), pa.ListArray.from_arrays(ends, pa.array(windows.ravel(), pa.int32()))],
+                    ["doc_id", "place", "key", "print", "low", "high", "windows"],
                 )
 
     partnered = rows.mapInArrow(lambda b: keep(b, False), "key long").groupBy("key").count().filter("count > 1").select("key")
-    every = rows.mapInArrow(lambda b: keep(b, True), f"doc_id {kind}, place long, key long, windows array<int>")
-    met = cut(every.join(partnered, "key", "left_semi"))
-    each = met.select("doc_id", "place", "key", F.posexplode("windows").alias("left", "window")).filter("window <> 0")
+    every = rows.mapInArrow(
+        lambda b: keep(b, True), f"doc_id {kind}, place long, key long, print long, low long, high long, windows array<int>"
+    )
+    same = ["key", "print"]
+    # suffixes whose windows all agree are one variant; the windows of a variant that stands twice all repeat
+    variants = cut(
+        every.join(partnered, "key", "left_semi").groupBy(*same).agg(
+            F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place", "windows")).alias("one")
+        )
+    )
+    narrow = every.select("doc_id", *same, F.col("low").alias("start"), F.col("high").alias("stop"))
+    whole = narrow.join(variants.filter("n > 1").select(*same), same, "left_semi").select("doc_id", "start", "stop")
+    # a variant that stands alone shares single windows with other variants of its first words
+    single = variants.filter("n = 1").select("key").distinct()
     by = ["key", "left", "window"]
-    agreed = each.groupBy(*by).agg(F.count("*").alias("n")).filter("n > 1").select(*by)
-    starts = each.join(agreed, by, "left_semi").select("doc_id", (F.col("place") - F.col("left")).alias("start"))
+    each = variants.join(single, "key", "left_semi").select(
+        "key", "n", "one.doc_id", "one.place", F.posexplode("one.windows").alias("left", "window")
+    ).filter("window <> 0")
+    agreed = each.groupBy(*by).agg(F.count("*").alias("m")).filter("m > 1").select(*by)
+    start = (F.col("place") - F.col("left")).alias("start")
+    edges = each.filter("n = 1").join(agreed, by, "left_semi").select("doc_id", start, start.alias("stop"))
+    starts = whole.union(edges)
 
     def merge(rows: pa.Table) -> pa.Table:
-        spans = _merged(rows.column("start").to_pylist())
+        spans = _joined(zip(rows.column("start").to_pylist(), rows.column("stop").to_pylist()))
         return pa.table(
             {"doc_id": rows.column("doc_id").slice(0, 1), "n_words": pa.array([sum(b - a for a, b in spans)], pa.int64()),
              "spans": [",".join(f"{a}:{b}" for a, b in spans)]}

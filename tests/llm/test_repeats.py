@@ -17,7 +17,7 @@ def brute(rows):
         starts = [k for k in range(len(w) - 49) if count[tuple(w[k : k + 50])] > 1]
         if starts:
             out.setdefault(i, set()).update(starts)
-    return {i: ",".join(f"{a}:{b}" for a, b in repeats._merged(list(s))) for i, s in out.items()}
+    return {i: ",".join(f"{a}:{b}" for a, b in repeats._joined((k, k) for k in s)) for i, s in out.items()}
 
 
 def test_exactly_the_repeated_windows(spark):

@@ -6,7 +6,8 @@ words.  Suffixes are brought together by those words; one that has a partner is
 other 25 words to its left and right, and the window repeats if a partner agrees on the same split.  So exactly the
 windows of 50 words that occur twice are found, also twice in one text, and their union are the passages.
 
-Words are stretches between white space, case kept; hashes have 64 and 96 bits.  Null texts count as empty, texts of
+Words are stretches between white space, case kept; first words are told apart by 64 bits, the windows of one such hash by
+16 more: no repeat is lost, and two windows that share 25 words but differ beyond them are taken for equal once in 65,535.  Null texts count as empty, texts of
 fewer words give no span.  Rows without an id are reported together under a null id; rows that repeat an id are separate
 places but share one result row.  Only the id and text columns are read, and an empty table gives an empty result.
 """
@@ -52,12 +53,13 @@ def suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the kept suffixes, the hash of their first words, and of the windows that hold them."""
     words = (text or "").encode("utf-8", "replace").split()
     if len(words) < PASSAGE:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.int16)
     hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
     first = window_hashes(hashes, SUFFIX)
     seen = np.lib.stride_tricks.sliding_window_view(first, PLACES)
     place = np.unique(np.arange(len(seen)) + seen.argmin(axis=1))
-    whole = (window_hashes(hashes, PASSAGE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    # 16 bits beside the 64 of the first words; 0 is kept for windows beyond the text's ends
+    whole = (window_hashes(hashes, PASSAGE) % np.uint64(65535) + np.uint64(1)).astype(np.uint16).view(np.int16)
     starts = place[:, None] - np.arange(PLACES)
     inside = (starts >= 0) & (starts < len(whole))
     return place, first[place].view(np.int64), np.where(inside, whole[np.clip(starts, 0, len(whole) - 1)], 0)
@@ -98,13 +100,13 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                 ends = pa.array(np.arange(len(key) + 1, dtype=np.int32) * PLACES)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(owner), pa.array(place), key, pa.array(np.array(print_, np.uint64).view(np.int64)),
-                     pa.array(low), pa.array(high), pa.ListArray.from_arrays(ends, pa.array(windows.ravel(), pa.int32()))],
+                     pa.array(low), pa.array(high), pa.ListArray.from_arrays(ends, pa.array(windows.ravel(), pa.int16()))],
                     ["doc_id", "place", "key", "print", "low", "high", "windows"],
                 )
 
     partnered = rows.mapInArrow(lambda b: keep(b, False), "key long").groupBy("key").count().filter("count > 1").select("key")
     every = rows.mapInArrow(
-        lambda b: keep(b, True), f"doc_id {kind}, place long, key long, print long, low long, high long, windows array<int>"
+        lambda b: keep(b, True), f"doc_id {kind}, place long, key long, print long, low long, high long, windows array<smallint>"
     )
     same = ["key", "print"]
     # suffixes whose windows all agree are one variant; the windows of a variant that stands twice all repeat

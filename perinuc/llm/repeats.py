@@ -2,14 +2,16 @@
 
 Only suffixes that start at a minimiser are kept: of every 26 consecutive places, the one whose next 25 words have the
 smallest hash.  Equal passages pick equal places, and each window of 50 words holds a kept suffix with its whole first 25
-words.  Suffixes are brought together by those words; one that has a partner is then extended, by every split of the
-other 25 words to its left and right, and the window repeats if a partner agrees on the same split.  So exactly the
-windows of 50 words that occur twice are found, also twice in one text, and their union are the passages.
-
-Words are stretches between white space, case kept; first words are told apart by 64 bits, the windows of one such hash by
-16 more: no repeat is lost, and two windows that share 25 words but differ beyond them are taken for equal once in 65,535.  Null texts count as empty, texts of
-fewer words give no span.  Rows without an id are reported together under a null id; rows that repeat an id are separate
-places but share one result row.  Only the id and text columns are read, and an empty table gives an empty result.
+words.  Suffixes are brought together by those words.  Those that agree on every window around them are one variant, and
+all windows of a variant that stands twice repeat.  A variant that stands alone, beside others of its first words, is
+extended: its text is read once more and each of its windows is compared with those of the other variants, by every split
+of the other 25 words to its left and right.  So exactly the windows of 50 words that occur twice are found, also twice in
+one text, and their union are the passages.
+
+Words are stretches between white space, case kept; words, windows and texts are told apart by hashes of 64 bits.  Null
+texts count as empty, texts of fewer words give no span.  Rows without an id are reported together under a null id; rows
+that repeat an id are separate places but share one result row.  Only the id and text columns are read, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,20 +51,33 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return _mixed((sums[size:] - sums[:-size]) * _powers(INVERSE, len(words) - size + 1))
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in (text or "").encode("utf-8", "replace").split()], np.uint64)
+
+
 def suffixes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the kept suffixes, the hash of their first words, and of the windows that hold them."""
-    words = (text or "").encode("utf-8", "replace").split()
-    if len(words) < PASSAGE:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.int16)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    hashes = word_hashes(text)
+    if len(hashes) < PASSAGE:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, PLACES), np.uint64)
     first = window_hashes(hashes, SUFFIX)
     seen = np.lib.stride_tricks.sliding_window_view(first, PLACES)
     place = np.unique(np.arange(len(seen)) + seen.argmin(axis=1))
-    # 16 bits beside the 64 of the first words; 0 is kept for windows beyond the text's ends
-    whole = (window_hashes(hashes, PASSAGE) % np.uint64(65535) + np.uint64(1)).astype(np.uint16).view(np.int16)
+    whole = window_hashes(hashes, PASSAGE)
+    whole[whole == 0] = 1  # 0 is kept for windows beyond the text's ends
     starts = place[:, None] - np.arange(PLACES)
     inside = (starts >= 0) & (starts < len(whole))
-    return place, first[place].view(np.int64), np.where(inside, whole[np.clip(starts, 0, len(whole) - 1)], 0)
+    return place, first[place].view(np.int64), np.where(inside, whole[np.clip(starts, 0, len(whole) - 1)], np.uint64(0))
+
+
+def splits(text: str | None, places: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the windows around suffixes at ``places``: which suffix, the window's start, a hash of its words and split."""
+    whole = window_hashes(word_hashes(text), PASSAGE)
+    left = np.arange(PLACES)
+    starts = np.array(places, np.int64)[:, None] - left
+    which, at = np.nonzero((starts >= 0) & (starts < len(whole)))
+    starts = starts[which, at]
+    return which, starts, _mixed(whole[starts] + left[at].astype(np.uint64) * np.uint64(BASE)).view(np.int64)
 
 
 def _joined(starts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -79,6 +94,7 @@ def _joined(starts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document that holds a repeated passage: doc_id, n_words in such passages, spans (word from:to)."""
     rows = docs.select(own(docs, doc_id).alias("doc_id"), own(docs, text).cast("string").alias("text"))
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("text_id"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def keep(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
@@ -92,41 +108,58 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                     continue
                 owner = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
                 place, windows = np.concatenate([f[0] for f in found]), np.concatenate([f[2] for f in found])
-                # windows of a suffix start between `low` and `high`; those beyond the text's ends are 0
+                # windows of a suffix start from `back` words before it to `near` words before it
                 held = windows != 0
-                low = place - (PLACES - 1 - held[:, ::-1].argmax(axis=1) if len(held) else 0)
-                high = place - (held.argmax(axis=1) if len(held) else 0)
-                print_ = [xxhash.xxh64_intdigest(w.tobytes()) for w in windows]
-                ends = pa.array(np.arange(len(key) + 1, dtype=np.int32) * PLACES)
+                back = PLACES - 1 - held[:, ::-1].argmax(axis=1) if len(held) else place
+                near = held.argmax(axis=1) if len(held) else place
+                print_ = np.array([xxhash.xxh64_intdigest(w.tobytes()) for w in windows], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(owner), pa.array(place), key, pa.array(np.array(print_, np.uint64).view(np.int64)),
-                     pa.array(low), pa.array(high), pa.ListArray.from_arrays(ends, pa.array(windows.ravel(), pa.int16()))],
-                    ["doc_id", "place", "key", "print", "low", "high", "windows"],
+                    [part.column(0).take(owner), part.column(2).take(owner), key, pa.array(print_), pa.array(place << 10 | back << 5 | near)],
+                    ["doc_id", "text_id", "key", "print", "at"],
                 )
 
     partnered = rows.mapInArrow(lambda b: keep(b, False), "key long").groupBy("key").count().filter("count > 1").select("key")
-    every = rows.mapInArrow(
-        lambda b: keep(b, True), f"doc_id {kind}, place long, key long, print long, low long, high long, windows array<smallint>"
-    )
-    same = ["key", "print"]
-    # suffixes whose windows all agree are one variant; the windows of a variant that stands twice all repeat
+    every = rows.mapInArrow(lambda b: keep(b, True), f"doc_id {kind}, text_id long, key long, print long, at long")
+    near = cut(every.join(partnered, "key", "left_semi"))
+    # suffixes whose windows all agree are one variant (its print covers the key's words too); the windows of a variant
+    # that stands twice all repeat
     variants = cut(
-        every.join(partnered, "key", "left_semi").groupBy(*same).agg(
-            F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "place", "windows")).alias("one")
-        )
-    )
-    narrow = every.select("doc_id", *same, F.col("low").alias("start"), F.col("high").alias("stop"))
-    whole = narrow.join(variants.filter("n > 1").select(*same), same, "left_semi").select("doc_id", "start", "stop")
+        near.groupBy("print").agg(
+            F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_id", "at", "key")).alias("one")
+        ).select("print", "n", "one.doc_id", "one.text_id", "one.at", "one.key")
+    )
+    place = F.shiftright("at", 10)
+    spans = [(place - F.shiftright("at", 5).bitwiseAND(31)).alias("start"), (place - F.col("at").bitwiseAND(31)).alias("stop")]
+    whole = near.select("doc_id", "print", "at").join(variants.filter("n > 1").select("print"), "print", "left_semi")
     # a variant that stands alone shares single windows with other variants of its first words
     single = variants.filter("n = 1").select("key").distinct()
-    by = ["key", "left", "window"]
-    each = variants.join(single, "key", "left_semi").select(
-        "key", "n", "one.doc_id", "one.place", F.posexplode("one.windows").alias("left", "window")
-    ).filter("window <> 0")
-    agreed = each.groupBy(*by).agg(F.count("*").alias("m")).filter("m > 1").select(*by)
-    start = (F.col("place") - F.col("left")).alias("start")
-    edges = each.filter("n = 1").join(agreed, by, "left_semi").select("doc_id", start, start.alias("stop"))
-    starts = whole.union(edges)
+    asked = variants.join(single, "key", "left_semi").groupBy("text_id").agg(
+        F.collect_list(F.struct("doc_id", "at", (F.col("n") == 1).alias("alone"))).alias("asked")
+    )
+    texts = rows.select("text_id", "text").dropDuplicates(["text_id"])
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                lists = part.column(1)
+                ends, flat = lists.offsets.to_numpy(), lists.flatten()
+                places = (flat.field(1).to_numpy() >> 10).tolist()
+                ends = (ends - ends[0]).tolist()
+                found = [splits(t, places[a:b]) for t, a, b in zip(part.column(0).to_pylist(), ends, ends[1:])]
+                owner = pa.array(np.concatenate([f[0] + a for f, a in zip(found, ends)]))
+                yield pa.RecordBatch.from_arrays(
+                    [flat.field(0).take(owner), flat.field(2).take(owner), pa.array(np.concatenate([f[1] for f in found])),
+                     pa.array(np.concatenate([f[2] for f in found]))],
+                    ["doc_id", "alone", "start", "window"],
+                )
+
+    each = texts.join(asked, "text_id").select("text", "asked").mapInArrow(
+        extend, f"doc_id {kind}, alone boolean, start long, window long"
+    )
+    agreed = each.groupBy("window").count().filter("count > 1").select("window")
+    edges = each.filter("alone").join(agreed, "window", "left_semi").select("doc_id", "start", F.col("start").alias("stop"))
+    starts = whole.select("doc_id", *spans).union(edges)
 
     def merge(rows: pa.Table) -> pa.Table:
         spans = _joined(zip(rows.column("start").to_pylist(), rows.column("stop").to_pylist()))

@@ -34,3 +34,14 @@ def test_exactly_the_repeated_windows(spark):
     got = {r.doc_id: r.spans for r in repeats.repeated_passages(df).collect()}
     assert got == brute(rows) and len(got) > 20
     assert repeats.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_long_shared_footers_below_a_passage_give_no_span(spark):
+    rng = random.Random(7)
+    word = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 10**12)) for _ in range(n)]
+    footer, passage = word(49), word(50)
+    rows = [(k, " ".join(word(40) + footer + word(40))) for k in range(1500)]
+    rows += [(k, " ".join(word(40) + passage + word(40))) for k in range(2000, 2100)]
+    rows += [(3000, rows[0][1]), (3001, "a " + rows[0][1] + " b"), (None, rows[1501][1])]
+    got = {r.doc_id: r.spans for r in repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and sorted(i for i in got if i is not None and i < 2000) == [0]

@@ -4,7 +4,8 @@ Plain identifiers are found in the text as it stands.  For disguised ones a tran
 letters, digits and signs become ASCII, invisible characters go, runs of spelled digits become digits, and ``at`` and
 ``dot`` in brackets, or spelled out between the parts of an address, become signs.  The rewriting keeps, for every
 character that it puts out, where its source begins and ends, so identifiers of the rewritten text map back to spans of
-the source.  A span found this way is added unless it overlaps a plain one of its kind; plain spans always stay.
+the source.  A span found this way is added unless it lies within a plain one of its kind; plain spans always stay, also
+where they are a fragment of an added one.
 
 Null texts count as empty.  Spans count code points, end exclusive.  All searches are linear in the text.  Repeated rows
 give the same spans, an empty table gives an empty result, and only the id and text columns are read.
@@ -271,9 +272,9 @@ def find(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, in
             held = sorted(base[kind])
             k = 0
             for start, end in sorted(shown.span(a, b) for a, b in spans):
-                while k < len(held) and held[k][1] <= start:
+                while k + 1 < len(held) and held[k + 1][0] <= start:
                     k += 1
-                if k == len(held) or held[k][0] >= end:
+                if not (held and held[k][0] <= start and end <= held[k][1]):
                     every[kind].append((start, end))
 
     def listed(spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:

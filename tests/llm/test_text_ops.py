@@ -145,6 +145,28 @@ def test_clean_texts_stay_clean(text):
     assert pii.find(text) == ([], [])
 
 
+@pytest.mark.parametrize(
+    "text, kind, fragment, whole",
+    [
+        ("jоhn@example.com", "email", "hn@example.com", "jоhn@example.com"),
+        ("to a@b.de, ana@mail.exаmple.com.", "email", "ana@mail.ex", "ana@mail.exаmple.com"),
+        ("ana@firma.cоm now", "email", "ana@firma.c", "ana@firma.cоm"),
+        ("ana@firma.co (dot) uk", "email", "ana@firma.co", "ana@firma.co (dot) uk"),
+        ("call +1 415 555 019９ now", "phone", "+1 415 555 019", "+1 415 555 019９"),
+        ("at 192.168.1.1０ now", "ip", "192.168.1.1", "192.168.1.1０"),
+    ],
+)
+def test_fragments_do_not_hide_disguised_identifiers(text, kind, fragment, whole):
+    base, every = pii.find(text)
+    assert (kind, fragment) in [(k, text[a:b]) for k, a, b in base] and set(base) < set(every)
+    assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [(kind, whole)]
+
+
+def test_masks_cover_disguised_identifiers_whole(spark):
+    df = spark.createDataFrame([(1, "x jоhn@example.com y")], "doc_id long, text string")
+    assert pii.masked(df).first().text == "x " + "█" * 16 + " y"
+
+
 def test_plain_spans_stay_beside_disguised_ones():
     text = "a@b.de x (at) y (dot) com 1.2.3.4"
     base, every = pii.find(text)

@@ -50,10 +50,18 @@ SIGNS = {"＠": "@", "﹫": "@", "．": ".", "。": ".", "․": ".", "﹒": ".",
 DASHES = "‐‑‒–—−﹣－"
 BLANKS = "\xa0     　"
 HIDDEN = "­​‌‍⁠﻿"
-# fixed values: last labels that a spelled-out address may end in, so that prose with "at" and "dot" stays prose
+# fixed values: last labels that an address with both "at" and "dot" as bare words may end in, so that prose stays prose:
+# all countries but those that are common words (am as by do my so to), and common others
 LAST_LABELS = frozenset(
     "com org net edu gov mil int info biz name io ai app dev co me tv eu de fr es it nl be at ch uk ie us ca au nz in jp "
-    "cn br mx ar se no dk fi pl pt gr cz hu ro ru ua tr za example test invalid".split()
+    "cn br mx ar se no dk fi pl pt gr cz hu ro ru ua tr za example test invalid "
+    "ac ad ae af ag al ao aq aw ax az ba bb bd bf bg bh bi bj bm bn bo bs bt bw bz cc cd cf cg ci ck cl cm cr cu cv cw cx "
+    "cy dj dm dz ec ee eg er et fj fk fm fo ga gd ge gf gg gh gi gl gm gn gp gq gs gt gu gw gy hk hm hn hr ht id il im iq "
+    "ir is je jm jo ke kg kh ki km kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md mg mh mk ml mm mn mo mp mq "
+    "mr ms mt mu mv mw mz na nc ne nf ng ni np nr nu om pa pe pf pg ph pk pm pn pr ps pw py qa re rs rw sa sb sc sd sg sh "
+    "si sk sl sm sn sr ss st su sv sx sy sz tc td tf tg th tj tk tl tm tn tt tw tz ug uy uz va vc ve vg vi vn vu wf ws ye "
+    "yt zm zw xyz online site shop store tech cloud blog club agency email mobi jobs travel museum aero coop asia cat tel "
+    "pro wiki xxx live space website news media digital studio design systems solutions page link".split()
 )
 # spelled digits in a row that count as a number
 SPELLED_RUN = 3
@@ -63,12 +71,20 @@ _SPELLED = re.compile(
     rf"(?<![A-Za-z0-9])(?:{PLUS_WORD}[ -]+)?{_DIGIT_WORD}(?:[ ,.-]{{0,2}}(?<![A-Za-z]){_DIGIT_WORD}|[ ,-]{{1,2}}{_DIGIT_WORD}){{{SPELLED_RUN - 1},}}(?![A-Za-z0-9])",
     re.IGNORECASE,
 )
+# fewer spelled digits count beside digits or a plus
+_SHORT = re.compile(
+    rf"(?<![A-Za-z])(?:{PLUS_WORD}[ -]+)?{_DIGIT_WORD}(?:[ ,.-]{{1,2}}{_DIGIT_WORD}){{0,{SPELLED_RUN - 2}}}(?![A-Za-z])", re.IGNORECASE
+)
+_BEFORE = re.compile(r"(?:[0-9][ ().-]{0,2}|\+[ ]{0,2})\Z")
+_AFTER = re.compile(r"[ ().-]{0,2}[0-9]")
+_PROSE = re.compile(r"[ ]+[A-Za-z]")
 _WORD = re.compile(r"[A-Za-z]+")
 _BRACKET_AT = re.compile(r"[ ]{0,2}[\[({<][ ]{0,2}(?:at|@)[ ]{0,2}[\])}>][ ]{0,2}", re.IGNORECASE)
 _BRACKET_DOT = re.compile(r"[ ]{0,2}[\[({<][ ]{0,2}(?:dot|\.)[ ]{0,2}[\])}>][ ]{0,2}", re.IGNORECASE)
 _SPOKEN_DOT = re.compile(r"[ ]+dot[ ]+", re.IGNORECASE)
 _SPOKEN_AT = re.compile(r"[ ]+at[ ]+", re.IGNORECASE)
-_LABEL = re.compile(r"[A-Za-z0-9-]{1,63}")
+_LABEL = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})*+")
+_NAME = re.compile(r"[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]")
 
 
 def luhn(digits: str) -> bool:
@@ -200,46 +216,96 @@ def _character_edits(text: str) -> list[tuple[int, int, str]]:
 def _spelled_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for run in _SPELLED.finditer(text):
-        words = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text, *run.span())]
-        for k, (start, end, word) in enumerate(words):
-            if word == PLUS_WORD:
-                edits.append((start, words[k + 1][0], "+"))
-            else:  # separators between spelled digits go with the digit before them
-                edits.append((start, words[k + 1][0] if k + 1 < len(words) else end, SPELLED[word]))
+        edits += _digits(text, *run.span())
+    return edits
+
+
+def _short_edits(text: str) -> list[tuple[int, int, str]]:
+    """Spelled digits amid a number; a single last one, as in ``555 0199 one of us``, only where no word follows."""
+    edits = []
+    for run in _SHORT.finditer(text):
+        start, end = run.span()
+        before = _BEFORE.search(text[max(0, start - 3) : start])
+        plus = before is not None and before.group()[0] == "+"
+        spoken = run.group()[: len(PLUS_WORD)].lower() == PLUS_WORD
+        after = _AFTER.match(text, end) is not None
+        if after or plus or spoken or before and (len(_WORD.findall(run.group())) > 1 or not _PROSE.match(text, end)):
+            found = _digits(text, start, end)
+            if plus:  # a plus stands next to its number
+                found[0] = (start - len(before.group()) + 1, *found[0][1:])
+            edits += found
+    return edits
+
+
+def _digits(text: str, start: int, end: int) -> list[tuple[int, int, str]]:
+    edits = []
+    words = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text, start, end)]
+    for k, (start, end, word) in enumerate(words):
+        if word == PLUS_WORD:
+            edits.append((start, words[k + 1][0], "+"))
+        else:  # separators between spelled digits go with the digit before them
+            edits.append((start, words[k + 1][0] if k + 1 < len(words) else end, SPELLED[word]))
     return edits
 
 
 def _bracket_edits(text: str) -> list[tuple[int, int, str]]:
+    """Signs in brackets, and a bare `` at `` before the label of a bracketed dot."""
     marks = [(m, "@") for m in _BRACKET_AT.finditer(text)] + [(m, ".") for m in _BRACKET_DOT.finditer(text)]
     edits, done = [], 0
     for m, sign in sorted(marks, key=lambda x: x[0].start()):
         before = text[m.start() - 1 : m.start()]
         if m.start() >= done and before.isalnum() and text[m.end() : m.end() + 1].isalnum():
+            if sign == ".":
+                start = _label_start(text, done, m.start())
+                at = _at_before(text, done, start) if start < m.start() else None
+                if at:
+                    edits.append((*at, "@"))
             edits.append((*m.span(), sign))
             done = m.end()
     return edits
 
 
+def _label_start(text: str, least: int, at: int) -> int:
+    while at > least and (text[at - 1].isascii() and text[at - 1].isalnum() or text[at - 1] in "-."):
+        at -= 1
+    return at
+
+
+def _at_before(text: str, least: int, end: int) -> tuple[int, int] | None:
+    """The bare word that ends at ``end`` and stands behind a local part."""
+    at = [m.span() for m in _SPOKEN_AT.finditer(text, max(least, end - 16), end) if m.end() == end]
+    return at[-1] if at and at[-1][0] and text[at[-1][0] - 1] in LOCAL else None
+
+
+def _ends_address(label: str, before: str, signed: bool) -> bool:
+    """Whether an address may end in ``label``; behind a sign any name does, unless it is whole without."""
+    last = label.rpartition(".")[2].lower()
+    if last.isdigit() or last in LAST_LABELS:
+        return True
+    return signed and _NAME.fullmatch(last) is not None and ("." in label or before.rpartition(".")[2].lower() not in LAST_LABELS)
+
+
 def _spoken_edits(text: str) -> list[tuple[int, int, str]]:
     """`` dot `` between labels, and the `` at `` before them; a sign beside counts for either word."""
-    edits, done = [], 0
+    edits, done, signed = [], 0, False
     for dot in _SPOKEN_DOT.finditer(text):
         label = _LABEL.match(text, dot.end())
         if dot.start() < done or dot.start() == 0 or not label:
             continue
-        last = not _SPOKEN_DOT.match(text, label.end())
-        if last and not label.group().isdigit() and label.group().lower() not in LAST_LABELS:
-            continue
-        start = dot.start()
-        while start and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "-."):
-            start -= 1  # the label before the word
+        start = _label_start(text, done, dot.start())  # the label before the word
         if start == dot.start():
             continue
+        chained = bool(edits) and edits[-1][1] == start and edits[-1][2] == "."
+        sign = start > 1 and text[start - 1] == "@" and text[start - 2] in LOCAL
+        signed = sign or chained and signed
+        last = not _SPOKEN_DOT.match(text, label.end())
+        if last and not _ends_address(label.group(), text[start : dot.start()], signed):
+            continue
         number = text[start : dot.start()].replace(".", "").isdigit() and text[dot.end()].isdigit()
-        at = [m for m in _SPOKEN_AT.finditer(text, max(done, start - 16), start) if m.end() == start]
-        known = start > 0 and text[start - 1] == "@" or bool(edits) and edits[-1][1] == start and edits[-1][2] == "."
-        if at and at[-1].start() and text[at[-1].start() - 1] in LOCAL:
-            edits.append((*at[-1].span(), "@"))
+        known = start > 0 and text[start - 1] == "@" or chained
+        at = _at_before(text, done, start)
+        if at:
+            edits.append((*at, "@"))
         elif not (known or number):
             continue
         edits.append((*dot.span(), "."))
@@ -255,6 +321,8 @@ def rewritten(text: str) -> Rewritten | None:
     low = out.text.lower()
     if sum(word in low for word in SPELLED) > 1 or any(w + sep + w in low for w in SPELLED for sep in (" ", "-")):
         out.apply(_spelled_edits(out.text))
+    if DIGIT.search(out.text) and any(word in low for word in SPELLED):
+        out.apply(_short_edits(out.text))
     if any(b in out.text for b in "[({<"):
         out.apply(_bracket_edits(out.text))
     if " dot " in low:

@@ -162,6 +162,34 @@ def test_fragments_do_not_hide_disguised_identifiers(text, kind, fragment, whole
     assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [(kind, whole)]
 
 
+@pytest.mark.parametrize(
+    "text, kind, shown",
+    [
+        ("ask ana at firma dot sk now", "email", "ana at firma dot sk"),
+        ("ask ana at firma dot online now", "email", "ana at firma dot online"),
+        ("ask ana [at] firma dot sk now", "email", "ana [at] firma dot sk"),
+        ("ask ana [at] firma dot berlin now", "email", "ana [at] firma dot berlin"),
+        ("ask ana@firma dot berlin now", "email", "ana@firma dot berlin"),
+        ("ask ana@mail dot firma dot berlin now", "email", "ana@mail dot firma dot berlin"),
+        ("ask ana at firma [dot] berlin now", "email", "ana at firma [dot] berlin"),
+        ("call +1 415 five five 5 0199 now", "phone", "+1 415 five five 5 0199"),
+        ("call +one 415 555 0199 now", "phone", "+one 415 555 0199"),
+        ("call plus one 415 555 0199 now", "phone", "plus one 415 555 0199"),
+        ("no: 4539 one 488 0343 six467!", "card", "4539 one 488 0343 six467"),
+        ("call +1 415 555 019 nine.", "phone", "+1 415 555 019 nine"),
+    ],
+)
+def test_any_last_label_and_short_spelled_runs(text, kind, shown):
+    base, every = pii.find(text)
+    assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base] == [(kind, shown)]
+
+
+@pytest.mark.parametrize("text", ["call +1 415 555 0199 one of us", "ana@firma.com dot the letters", "look at the dot to the left", "5 one day"])
+def test_prose_beside_identifiers_adds_nothing(text):
+    base, every = pii.find(text)
+    assert base == every
+
+
 def test_masks_cover_disguised_identifiers_whole(spark):
     df = spark.createDataFrame([(1, "x jоhn@example.com y")], "doc_id long, text string")
     assert pii.masked(df).first().text == "x " + "█" * 16 + " y"

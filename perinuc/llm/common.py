@@ -54,6 +54,12 @@ def joined_with_hot(rows: DataFrame, lookup: DataFrame, key: str, size: str, tot
     )
 
 
+def piece(text: Column, chars: int, turn: Column) -> Column:
+    """At most ``chars`` characters of ``text``; of a longer one, a stretch at a place given by the hash ``turn``."""
+    spare_ = F.greatest(F.length(text) - chars, F.lit(0))
+    return F.substring(text, (F.pmod(turn, spare_ + 1) + 1).cast("int"), F.lit(chars))
+
+
 def thinned(turn: Column, wanted: int, among: Column) -> Column:
     """Rows to draw ``wanted`` from: with four times as many or fewer all of ``among``, else about that many.
 

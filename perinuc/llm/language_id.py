@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from perinuc.llm.common import held_out, own, spare, thinned
+from perinuc.llm.common import held_out, own, piece, spare, thinned
 
 UNDECIDED = "und"
 # longest context in bytes
@@ -203,16 +203,16 @@ class Coder:
 def learn(
     docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
 ) -> Trees:
-    """Fit on up to ``rows`` rows of each language, of up to ``chars`` characters each, chosen by a hash of the id."""
+    """Fit on up to ``rows`` rows of each language, and ``chars`` characters of each, chosen by a hash of the id."""
     known = (
         docs.select(own(docs, doc_id).alias("doc_id"), own(docs, lang).alias("lang"), own(docs, text).alias("text"))
-        .filter(~held_out() & F.col("lang").isNotNull())
+        .filter(~held_out() & F.col("lang").isNotNull() & (F.col("text") != ""))
         .withColumn("turn", F.xxhash64("doc_id"))
     )
     # one row per language, as many as the model holds itself; thinning leaves a task a few times `rows` to rank
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     some = known.join(F.broadcast(sizes), "lang").filter(thinned(F.col("turn"), rows, F.col("n")))
-    some = some.filter((F.length("text") <= chars) & (F.col("text") != ""))
+    some = some.withColumn("text", piece(F.col("text"), chars, F.xxhash64("doc_id", F.lit("piece"))))
     # at most `rows` texts per language of at most `chars` characters reach the driver
     first = W.partitionBy("lang").orderBy("turn", "text")
     sample = some.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows)

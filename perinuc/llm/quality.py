@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from perinuc.llm.common import held_out, own, thinned
+from perinuc.llm.common import held_out, own, piece, thinned
 
 # bound on the fit: rows per label, characters of a row that may be taken
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8192
@@ -188,7 +188,7 @@ def learn(
     docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
     rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS,
 ) -> Model:
-    """Fit on up to ``rows`` rows of each label, of up to ``chars`` characters each, chosen by a hash of the id."""
+    """Fit on up to ``rows`` rows of each label, and ``chars`` characters of each, chosen by a hash of the id."""
     marked = (
         labels.select(own(labels, doc_id).alias("doc_id"), own(labels, label).alias("label"))
         .filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out())
@@ -199,13 +199,15 @@ def learn(
     share = count.get(1, 0) / sum(count.values()) if count else 1.0
     if len(count) < 2:
         return Model(None, share)
-    # ids only, a few times `rows` per label, since long texts are passed over below
+    # ids only, a few times `rows` per label, since some may have no text
     of_label = F.when(F.col("label") == 1, F.lit(count[1])).otherwise(F.lit(count[0]))
     by_turn = W.partitionBy("label").orderBy("turn", "doc_id")
     some = marked.filter(thinned(F.col("turn"), 2 * rows, of_label)).withColumn("place", F.row_number().over(by_turn))
     ids = some.filter(F.col("place") <= 4 * rows).select("doc_id", "label", "turn")
     texts = docs.select(own(docs, doc_id).alias("doc_id"), F.coalesce(own(docs, text), F.lit("")).alias("text"))
-    met = texts.filter(F.length("text") <= chars).join(F.broadcast(ids), "doc_id")
+    met = texts.join(F.broadcast(ids), "doc_id").withColumn(
+        "text", piece(F.col("text"), chars, F.xxhash64("doc_id", F.lit("piece")))
+    )
     place = F.row_number().over(W.partitionBy("label").orderBy("turn", "doc_id", "text"))
     some = met.withColumn("place", place).filter(F.col("place") <= rows)
     sample = sorted((r.turn, r.text, r.label) for r in some.collect())

@@ -335,3 +335,14 @@ def test_quality_odd_rows(spark):
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 for r in got)
     none = docs(spark, [])
     assert quality.score(none, quality.learn(none, labels.limit(0))).count() == 0
+
+
+def test_fits_learn_from_long_texts(spark):
+    rows = [(k, "the little cat sat here and there " * 5, "en", 1) for k in range(60)]
+    rows += [(100 + k, "чёрная кошка спит на окне дома " * 400, "ru", 0) for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    trees = language_id.learn(frame.select("doc_id", "text", "lang"))
+    assert sorted(trees.languages) == ["en", "ru"]
+    assert language_id.Coder(trees).predict(["кошка спит"])[0] == ["ru"]
+    model = quality.learn(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+    assert model.net is not None

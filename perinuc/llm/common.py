@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pickle
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from perinuc.scale import cut
+
 # the white space of all contracts here: space and U+0009 to U+000D
 WHITE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,3 +75,25 @@ def thinned(turn: Column, wanted: int, among: Column) -> Column:
     """
     steps = 1 << 30
     return F.pmod(turn, F.lit(steps)) / F.lit(float(steps)) * among < F.lit(4.0 * wanted)
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once and numbered 0, 1, 2, ... in the order of their partitions."""
+    placed = cut(rows.withColumn(name, F.monotonically_increasing_id()))
+    part = F.shiftright(name, 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    # one row per partition, so this window and the broadcast are bounded by the partition count
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    dense = F.col("_off") + F.col(name).bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, dense).drop("_part", "_off")
+
+
+def in_a_task(spark: SparkSession, work: Callable[[], Any]) -> Any:
+    """Result of small numpy work, run in a task: numpy keeps to one thread there, and the driver stays free."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(work())], pa.binary())], ["result"])
+
+    return pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(run, "result binary").first().result)

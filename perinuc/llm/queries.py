@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perinuc.llm import bpe, exact_dedup, language_id, mixing, pii, quality, repeats, simhash, top_k, warc
+from perinuc.llm import (
+    bpe, exact_dedup, filter_audit, language_id, mixing, packing, pii, quality, repeats, simhash, top_k, warc, whitening,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +107,62 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH t AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS txt,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), l AS (
+        SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+        FROM labels GROUP BY doc_id
+    ), d AS (
+        SELECT t.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, [
+            len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words),
+            100 * length(regexp_replace(txt, '[^A-Z]', '', 'g')) > 2 * length(txt), regexp_matches(txt, '[#$%&*|]'),
+            t.doc_id > min(t.doc_id) OVER (PARTITION BY txt)] AS fails
+        FROM t LEFT JOIN l ON t.doc_id = l.doc_id
+    ), m AS (
+        SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM d GROUP BY part, fails
+    ), f AS (SELECT i, 'ABCDE'[i] AS c FROM range(1, 6) r(i)), o AS (
+        SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] AS fs
+        FROM f a JOIN f b ON b.i <> a.i JOIN f c ON c.i NOT IN (a.i, b.i) JOIN f d ON d.i NOT IN (a.i, b.i, c.i)
+        JOIN f e ON e.i NOT IN (a.i, b.i, c.i, d.i)
+    ), s AS (
+        SELECT filter_order, CAST(k AS INTEGER) AS step, fs[k] AS now, fs[: k - 1] AS before, list_filter([1, 2, 3, 4, 5], lambda x: x <> fs[k]) AS others
+        FROM o CROSS JOIN range(1, 6) r(k)
+    ), g AS (
+        SELECT part, filter_order, step, now,
+               n, good, toxic, fails[now] AS fail, len(list_filter(before, lambda x: fails[x])) > 0 AS gone,
+               len(list_filter(others, lambda x: fails[x])) = 0 AS sole
+        FROM m CROSS JOIN s
+    ), a AS (
+        SELECT part, filter_order, step, now, CAST(sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS BIGINT) AS kept,
+               CAST(sum(CASE WHEN fail AND NOT gone THEN n ELSE 0 END) AS BIGINT) AS removed,
+               CAST(sum(CASE WHEN fail AND gone THEN n ELSE 0 END) AS BIGINT) AS redundant,
+               CAST(sum(CASE WHEN fail AND sole THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+               CAST(sum(CASE WHEN fail AND NOT gone THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+               CAST(sum(CASE WHEN fail AND NOT gone THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+        FROM g GROUP BY ALL
+    )
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, now) AS BIGINT) AS shapley
+    FROM a
+    """,
+)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_packing")
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")

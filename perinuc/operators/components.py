@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perinuc.scale import cut
+from perinuc.scale import cut, cut_round
 
 
 def _state(edges: DataFrame, keys: Sequence[str]) -> tuple:
@@ -44,7 +44,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
         # every smaller neighbour, and the node itself, is hung under the smallest one
         least = large.groupBy(*keys, "u").agg(F.min("v").alias("_m"))
         small = large.join(least, [*keys, "u"]).select(*keys, _ends(("v", "_m"), ("u", "_m"))).select(*keys, "_e.*")
-        stars = cut(small.filter("u <> v").distinct())
+        stars = cut_round(small.filter("u <> v").distinct())
     found = stars.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.select(*keys, "node").distinct().join(found, [*keys, "node"], "left").select(
         *keys, "node", F.coalesce("component", "node").alias("component")

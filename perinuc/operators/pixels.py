@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perinuc.operators.components import components
 from perinuc.operators.curves import islands
-from perinuc.scale import cut, join_nulls, positions, running_sum, with_key
+from perinuc.operators.regions import label_regions  # noqa: F401
+from perinuc.scale import join_nulls, running_sum, with_key
 
 PIXEL = ["y", "x"]
 
@@ -129,35 +129,12 @@ def dilate3x3(mask: DataFrame, by: Sequence[str], height: int, width: int) -> Da
     return grown.filter(inside).distinct()
 
 
-def label_regions(pixels: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Number the 8-connected regions of a set of pixels, in reading order of their first pixel.
-
-    Pixels are first joined to runs along a row, so the component search works on far fewer nodes.
-    """
-    set_ = cut(pixels.select(*by, *PIXEL).distinct())
-    rows = [*by, "y"]
-    left = set_.select(*by, "y", (F.col("x") + 1).alias("x"), F.lit(True).alias("_joined"))
-    marked = positions(set_.join(left, [*rows, "x"], "left"), rows, ["x"], "idx")
-    opens = F.col("_joined").isNull().cast("long")
-    numbered = running_sum(marked.withColumn("_open", opens), rows, "idx", "_open", "_run")
-    starts = numbered.groupBy(*rows, "_run").agg(F.min("x").alias("_x0"))
-    # row and first column in one number: it keeps reading order and stays in hash aggregation
-    node = F.shiftleft(F.col("y").cast("long"), 32) + F.col("_x0")
-    runs = cut(numbered.join(starts, [*rows, "_run"]).select(*by, *PIXEL, node.alias("node")))
-    below = runs.select(
-        *by, F.col("node").alias("u"), _offsets([(1, -1), (1, 0), (1, 1)]).alias("_o"), *PIXEL
-    ).select(*by, "u", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"))
-    edges = below.join(runs, [*by, *PIXEL]).select(*by, "u", F.col("node").alias("v")).distinct()
-    found = components(runs.select(*by, "node").distinct(), edges, by)
-    heads = found.select(*by, "component").distinct()
-    labels = positions(heads, by, ["component"], "_rank").select(*by, "component", (F.col("_rank") + 1).alias("ne_label"))
-    return runs.join(found, [*by, "node"]).join(labels, [*by, "component"]).select(*by, *PIXEL, "ne_label")
-
-
 def clear_border(regions: DataFrame, by: Sequence[str], height: int, width: int) -> DataFrame:
     """Drop the regions that touch an edge of the image."""
     edge = (F.col("y") <= 0) | (F.col("x") <= 0) | (F.col("y") >= height - 1) | (F.col("x") >= width - 1)
-    return regions.join(regions.filter(edge).select(*by, "ne_label").distinct(), [*by, "ne_label"], "left_anti")
+    # labels are compared with labels, so that only one row of each takes part
+    inside = regions.groupBy(*by, "ne_label").agg(F.max(edge).alias("_edge")).filter("NOT _edge").drop("_edge")
+    return regions.join(inside, [*by, "ne_label"], "left_semi")
 
 
 def masked_intensity(mask: DataFrame, image: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -214,14 +191,33 @@ def pad_crops(crops: DataFrame, boxes: DataFrame, by: Sequence[str], height: int
         return F.floor(F.greatest(F.lit(want) - have, F.lit(0)) / 2).cast("long")
 
     def full(want: int, have: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(want), have).cast("long") - 1))
-
-    frame = boxes.select(*by, "ne_label", before(height, have_h).alias("_py"), before(width, have_w).alias("_px"), full(height, have_h).alias("y"), have_w.alias("_w"))
-    frame = frame.withColumn("x", full(width, F.col("_w"))).drop("_w")
-    moved = frame.withColumn("_y", F.col("y") - F.col("_py")).withColumn("_x", F.col("x") - F.col("_px"))
-    values = crops.select(*by, "ne_label", F.col("y").alias("_y"), F.col("x").alias("_x"), "value")
-    return moved.join(values, [*by, "ne_label", "_y", "_x"], "left").select(
-        *by, "ne_label", *PIXEL, F.coalesce("value", F.lit(0)).alias("value")
+        return F.greatest(F.lit(want), have).cast("long")
+
+    # a box is one row until its image is unfolded: what it has, and 0 at every other place
+    held = crops.filter("y IS NOT NULL AND x IS NOT NULL").groupBy(*by, "ne_label").agg(
+        F.collect_list(F.struct(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), "value")).alias("_have")
+    )
+    kind = dict(crops.dtypes)["value"]
+    sized = boxes.select(
+        *by, "ne_label", before(height, have_h).alias("_py"), before(width, have_w).alias("_px"), full(height, have_h).alias("_h"), full(width, have_w).alias("_w")
+    ).join(held, [*by, "ne_label"], "left")
+
+    def pixel(at: Column, value: Column) -> Column:
+        return F.struct(at.alias("at"), value.cast(kind).alias("value"))
+
+    empty = F.array().cast(f"array<struct<y:bigint,x:bigint,value:{kind}>>")
+    inside = F.filter(
+        F.coalesce("_have", empty),
+        lambda p: p["y"].between(-F.col("_py"), F.col("_h") - F.col("_py") - 1) & p["x"].between(-F.col("_px"), F.col("_w") - F.col("_px") - 1),
+    )
+    moved = F.transform(
+        inside, lambda p: pixel((p["y"] + F.col("_py")) * F.col("_w") + p["x"] + F.col("_px"), F.coalesce(p["value"], F.lit(0)))
+    )
+    rest = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("_h") * F.col("_w") - 1), F.transform("_have", lambda p: p["at"]))
+    whole = F.concat("_have", F.transform(rest, lambda at: pixel(at, F.lit(0))))
+    each = sized.withColumn("_have", moved).select(*by, "ne_label", "_w", F.explode(whole).alias("_p"))
+    return each.select(
+        *by, "ne_label", F.floor(F.col("_p.at") / F.col("_w")).alias("y"), F.pmod("_p.at", "_w").alias("x"), "_p.value"
     )
 
 
@@ -233,23 +229,26 @@ SHIFT_TILE = 64
 
 
 def _tile_products(pixels: pa.Table, keys: list[str], reach: int) -> pa.Table:
-    """Product sums of one tile of the first image with the second one at every shift."""
+    """Product sums of one tile of the first image with the second one at every shift, by one pair of transforms.
+
+    The second image has a border as wide as the reach, so no shift within it wraps around.  The same transforms of where
+    there are pixels tell the shifts at which any two meet.
+    """
     top, left = (pixels.column(c)[0].as_py() * SHIFT_TILE for c in ("_ty", "_tx"))
     side, y, x, value = (pixels.column(c).to_numpy() for c in ("_side", "y", "x", "value"))
-    first = np.zeros((2, SHIFT_TILE, SHIFT_TILE))
-    second = np.zeros((2, SHIFT_TILE + 2 * reach, SHIFT_TILE + 2 * reach))
-    for image, number, border in ((first, 0, 0), (second, 1, reach)):
+    wide = SHIFT_TILE + 2 * reach
+    images = np.zeros((2, 2, wide, wide))  # first and second image; values and where there is a pixel
+    for number, border in ((0, 0), (1, reach)):
         at = side == number
-        image[0, y[at] - top + border, x[at] - left + border] = value[at]
-        image[1, y[at] - top + border, x[at] - left + border] = 1.0  # where there is a pixel
-    found = []
-    for dy in range(-reach, reach + 1):
-        for dx in range(-reach, reach + 1):
-            there = second[:, reach - dy : reach - dy + SHIFT_TILE, reach - dx : reach - dx + SHIFT_TILE]
-            if (first[1] * there[1]).any():
-                found.append((dy, dx, float((first[0] * there[0]).sum())))
-    out = pixels.select(keys).take(pa.array(np.zeros(len(found), np.int64)))
-    for name, kind, values in zip(("dy", "dx", "score"), (pa.int64(), pa.int64(), pa.float64()), zip(*found) if found else ([], [], [])):
+        place = y[at] - top + border, x[at] - left + border
+        images[(number, 0, *place)] = value[at]
+        images[(number, 1, *place)] = 1.0
+    turned = np.fft.rfft2(images)
+    # entry (i, j): the second image moved by reach - i rows and reach - j columns
+    score, shared = np.fft.irfft2(np.conj(turned[0]) * turned[1], s=(wide, wide))[:, : 2 * reach + 1, : 2 * reach + 1]
+    i, j = np.nonzero(shared > 0.5)
+    out = pixels.select(keys).take(pa.array(np.zeros(len(i), np.int64)))
+    for name, kind, values in zip(("dy", "dx", "score"), (pa.int64(), pa.int64(), pa.float64()), (reach - i, reach - j, score[i, j])):
         out = out.append_column(name, pa.array(values, kind))
     return out
 
@@ -258,7 +257,7 @@ def shift_scores(a: DataFrame, b: DataFrame, keys: Sequence[str], reach: int = 5
     """Normalised product sum of two images for every shift of the second, means removed.
 
     The images are cut into tiles, the second one with a border as wide as the reach, so little more than the pixels
-    themselves is shuffled; all shifts of a tile are summed inside it.
+    themselves is shuffled; all shifts of a tile come out of one pair of Fourier transforms, whatever the reach.
     """
     keys = list(keys)
 

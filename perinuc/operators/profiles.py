@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import eval_model
+from perinuc.operators.raster import sample_lines
 
 # Screening limits and fit-quality rules.
 FLAT_SD = 1e-3
@@ -34,36 +35,7 @@ def sample_along_normals(
 
     ok = inside("x0", width) & inside("y0", height) & inside("x1", width) & inside("y1", height)
     known = normals.join(pixels.select(*image).distinct(), list(image), "left_semi").withColumn("valid", ok)
-    share = F.col("k") / F.lit(float(n - 1))
-    line = F.sqrt(
-        (F.col("y1") - F.col("y0")) * (F.col("y1") - F.col("y0")) + (F.col("x1") - F.col("x0")) * (F.col("x1") - F.col("x0"))
-    )
-    spots = known.filter("valid").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(
-        *image,
-        *[k for k in keys if k not in image],
-        F.col("k").cast("long").alias("k"),
-        (line * share).alias("dist"),
-        (F.col("y0") + share * (F.col("y1") - F.col("y0"))).alias("_y"),
-        (F.col("x0") + share * (F.col("x1") - F.col("x0"))).alias("_x"),
-    )
-
-    def held(c: Column, dim: int) -> Column:
-        return F.least(F.greatest(c, F.lit(0.0)), F.lit(float(dim - 1)))
-
-    y, x = held(F.col("_y"), height), held(F.col("_x"), width)
-    fy, fx = y - F.floor(y), x - F.floor(x)
-    corners = [
-        (F.floor(y), F.floor(x), (1.0 - fy) * (1.0 - fx)),
-        (F.floor(y), F.floor(x) + 1, (1.0 - fy) * fx),
-        (F.floor(y) + 1, F.floor(x), fy * (1.0 - fx)),
-        (F.floor(y) + 1, F.floor(x) + 1, fy * fx),
-    ]
-    around = F.explode(F.array(*[F.struct(a.cast("long").alias("y"), b.cast("long").alias("x"), w.alias("w")) for a, b, w in corners]))
-    shares = spots.select("*", around.alias("_corner")).select("*", "_corner.*").drop("_corner", "_y", "_x")
-    met = shares.join(pixels.select(*image, "y", "x", "value"), [*image, "y", "x"], "left")
-    sampled = met.groupBy(*keys, "k").agg(
-        F.first("dist").alias("dist"), F.sum(F.col("w") * F.coalesce("value", F.lit(0))).alias("intensity")
-    )
+    sampled = sample_lines(pixels, known.filter("valid"), image, keys, n, height, width)
     lost = known.filter("NOT valid").select(*keys, F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("dist"),
                                             F.lit(None).cast("double").alias("intensity"), "valid")
     return sampled.withColumn("valid", F.lit(True)).unionByName(lost)

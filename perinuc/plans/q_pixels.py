@@ -113,10 +113,36 @@ def _(v):
     return px.label_regions(v("mask"), px.MASK)
 
 
+# regions of runs, from runs without a neighbour above them; the smallest that reaches a run names its region
+SHAPES = """RECURSIVE sp AS (SELECT DISTINCT fov_id, y, x FROM {shapes} q),
+    pr AS (SELECT *, x - row_number() OVER (PARTITION BY fov_id, y ORDER BY x) AS g FROM sp),
+    ru AS (SELECT fov_id, y, min(x) AS a, max(x) AS b, y * 1000 + min(x) AS id FROM pr GROUP BY fov_id, y, g),
+    dn AS (SELECT p.fov_id, p.id AS u, q.id AS v FROM ru p JOIN ru q
+           ON p.fov_id = q.fov_id AND q.y = p.y + 1 AND q.a <= p.b + 1 AND q.b >= p.a - 1),
+    lk AS (SELECT * FROM dn UNION ALL SELECT fov_id, v, u FROM dn),
+    re AS (SELECT fov_id, id AS u, id AS v FROM ru ANTI JOIN (SELECT fov_id, v AS id FROM dn) n USING (fov_id, id)
+           UNION SELECT re.fov_id, re.u, lk.v FROM re JOIN lk ON lk.fov_id = re.fov_id AND lk.u = re.v),
+    na AS (SELECT fov_id, v AS id, min(u) AS head FROM re GROUP BY ALL),
+    nr AS (SELECT fov_id, head, row_number() OVER (PARTITION BY fov_id ORDER BY head) AS nr FROM (SELECT DISTINCT fov_id, head FROM na) t)
+    SELECT sp.fov_id, sp.y, sp.x, nr.nr AS ne_label FROM sp JOIN ru ON ru.fov_id = sp.fov_id AND ru.y = sp.y AND sp.x BETWEEN ru.a AND ru.b
+    JOIN na ON na.fov_id = ru.fov_id AND na.id = ru.id JOIN nr ON nr.fov_id = na.fov_id AND nr.head = na.head"""
+
+
+@query("a9_label_shapes", f"WITH {SHAPES}")
+def _(v):
+    return px.label_regions(v("shapes"), ["fov_id"])
+
+
+@query("a9_label_shapes_tiles", f"WITH {SHAPES}")
+def _(v):
+    return px.label_regions(v("shapes"), ["fov_id"], side=16)
+
+
 @query(
     "a9_clear_border",
-    f"""SELECT {M}, ne_label, y, x FROM {{mask}} m ANTI JOIN
-        (SELECT {M}, ne_label FROM {{mask}} q WHERE y <= 0 OR x <= 0 OR y >= 105 OR x >= 126) b USING ({M}, ne_label)""",
+    f"""SELECT {M}, ne_label, y, x FROM (
+            SELECT {M}, ne_label, y, x, max(CASE WHEN y <= 0 OR x <= 0 OR y >= 105 OR x >= 126 THEN 1 ELSE 0 END)
+                   OVER (PARTITION BY {M}, ne_label) AS touch FROM {{mask}} m) t WHERE touch = 0""",
 )
 def _(v):
     return px.clear_border(v("mask"), px.MASK, 106, 127)
@@ -208,7 +234,7 @@ def _(v):
     )
 
 
-SHIFTS = "(SELECT unnest(generate_series(-2, 2)) AS dy) gy, (SELECT unnest(generate_series(-2, 2)) AS dx) gx"
+SHIFTS = "(SELECT unnest(generate_series(-5, 5)) AS dy) gy, (SELECT unnest(generate_series(-5, 5)) AS dx) gx"
 
 
 def _centred(source: str, keys: str) -> str:
@@ -241,7 +267,7 @@ def _shift(keys: str) -> str:
 def _(v):
     stack = v("stack")
     one, two = (px.frame_mean(stack.filter(F.col("frame") % 2 == r), FOV) for r in (0, 1))
-    return px.shift_by_correlation(one, two, FOV, reach=2)
+    return px.shift_by_correlation(one, two, FOV)
 
 
 @query(
@@ -254,7 +280,7 @@ def _(v):
 def _(v):
     stack = v("stack")
     one, two = (px.slice_means(stack.filter(F.col("frame") % 2 == r), FOV, 0, 50, 10) for r in (0, 1))
-    return px.shift_by_correlation(one, two, ["fov_id", "slice_id"], reach=2)
+    return px.shift_by_correlation(one, two, ["fov_id", "slice_id"])
 
 
 def _drift(frame: str, keys: str, extra: str = "") -> str:
@@ -275,7 +301,7 @@ def _drift(frame: str, keys: str, extra: str = "") -> str:
     f"WITH {_drift('frame', 'fov_id')} SELECT fov_id, idx, R(center) AS center, R(dy) AS dy, R(dx) AS dx FROM dr",
 )
 def _(v):
-    return px.bin_drift(v("stack"), FOV, 4, reach=2)
+    return px.bin_drift(v("stack"), FOV, 4)
 
 
 @query(
@@ -284,7 +310,7 @@ def _(v):
         SELECT fov_id, half, idx, R(center) AS center, R(dy) AS dy, R(dx) AS dx FROM dr""",
 )
 def _(v):
-    return px.drift_halves(v("stack"), FOV, 4, reach=2)
+    return px.drift_halves(v("stack"), FOV, 4)
 
 
 @query(
@@ -301,4 +327,45 @@ def _(v):
 def _(v):
     stack = v("stack")
     size = stack.groupBy("fov_id").agg((F.max("frame") + 1).alias("size"))
-    return cv.interp_drift(px.bin_drift(stack, FOV, 4, reach=2), FOV, size)
+    return cv.interp_drift(px.bin_drift(stack, FOV, 4), FOV, size)
+
+
+@query(
+    "j21_smooth_drift",
+    f"""WITH {_drift('frame', 'fov_id')}, lo AS (SELECT fov_id, idx, center, 'dy' AS axis, dy AS v FROM dr UNION ALL SELECT fov_id, idx, center, 'dx', dx FROM dr),
+        pv AS (SELECT fov_id, axis, max(center) FILTER (idx = 0) AS t0, max(center) FILTER (idx = 1) AS t1, max(center) FILTER (idx = 2) AS t2,
+                      max(center) FILTER (idx = 3) AS t3, max(v) FILTER (idx = 0) AS v0, max(v) FILTER (idx = 1) AS v1,
+                      max(v) FILTER (idx = 2) AS v2, max(v) FILTER (idx = 3) AS v3 FROM lo GROUP BY fov_id, axis),
+        st3 AS (SELECT *, t1 - t0 AS h0, t2 - t1 AS h1, t3 - t2 AS h2, 6 * ((v2 - v1) / (t2 - t1) - (v1 - v0) / (t1 - t0)) AS r1,
+                       6 * ((v3 - v2) / (t3 - t2) - (v2 - v1) / (t2 - t1)) AS r2 FROM pv),
+        be AS (SELECT *, (2 * (h1 + h2) * r1 - h1 * r2) / (4 * (h0 + h1) * (h1 + h2) - h1 * h1) AS m1,
+                      (2 * (h0 + h1) * r2 - h1 * r1) / (4 * (h0 + h1) * (h1 + h2) - h1 * h1) AS m2 FROM st3),
+        fr AS (SELECT fov_id, unnest(generate_series(0, I(size - 1))) AS frame FROM sz),
+        pc AS (SELECT fr.fov_id, frame, axis, CASE WHEN frame < t1 THEN 0e0 WHEN frame < t2 THEN m1 ELSE m2 END AS ma,
+                      CASE WHEN frame < t1 THEN m1 WHEN frame < t2 THEN m2 ELSE 0e0 END AS mb,
+                      CASE WHEN frame < t1 THEN v0 WHEN frame < t2 THEN v1 ELSE v2 END AS va, CASE WHEN frame < t1 THEN v1 WHEN frame < t2 THEN v2 ELSE v3 END AS vb,
+                      CASE WHEN frame < t1 THEN t0 WHEN frame < t2 THEN t1 ELSE t2 END AS ta, CASE WHEN frame < t1 THEN t1 WHEN frame < t2 THEN t2 ELSE t3 END AS tb
+               FROM fr JOIN be USING (fov_id)),
+        ev AS (SELECT fov_id, frame, axis, (ma * pow(tb - frame, 3) + mb * pow(frame - ta, 3)) / (6 * (tb - ta))
+                      + (va / (tb - ta) - ma * (tb - ta) / 6) * (tb - frame) + (vb / (tb - ta) - mb * (tb - ta) / 6) * (frame - ta) AS v FROM pc)
+        SELECT fov_id, frame, R(max(v) FILTER (axis = 'dy')) AS dy, R(max(v) FILTER (axis = 'dx')) AS dx FROM ev GROUP BY fov_id, frame""",
+)
+def _(v):
+    stack = v("stack")
+    size = stack.groupBy("fov_id").agg((F.max("frame") + 1).alias("size"))
+    return cv.smooth_drift(px.bin_drift(stack, FOV, 4), FOV, size)
+
+
+@query(
+    "j18_padded_rows",
+    f"""WITH {BOXED}, gr AS (SELECT fov_id, ne_label, gy, unnest(generate_series(0, 79)) AS gx FROM
+                             (SELECT fov_id, ne_label, unnest(generate_series(0, 79)) AS gy FROM bx) q)
+        SELECT gr.fov_id, gr.ne_label, gy AS y, string_agg(I(coalesce(value, 0)), ',' ORDER BY gx) AS pixels FROM gr LEFT JOIN cr
+               ON cr.fov_id = gr.fov_id AND cr.ne_label = gr.ne_label AND cr.y = gy - 2 AND cr.x = gx - 2 GROUP BY gr.fov_id, gr.ne_label, gy""",
+)
+def _(v):
+    """Every pixel of the padded crops, a text for each row of an image."""
+    crops, boxes = _boxed(v)
+    padded = px.pad_crops(crops, boxes, FOV, 80, 80)
+    line = F.transform(F.sort_array(F.collect_list(F.struct("x", "value"))), lambda p: p["value"].cast("string"))
+    return padded.groupBy("fov_id", "ne_label", "y").agg(F.array_join(line, ",").alias("pixels"))

@@ -143,6 +143,20 @@ FROM (SELECT fov_id, channel, ne_label, k, rad, sy, sx, oy0, {SERIES:-9,9} AS ox
 WHERE (oy0 - sy) * (oy0 - sy) + (ox0 - sx) * (ox0 - sx) <= rad * rad
 """
 
+# U shapes, spirals, crosses and chequers in cells that lie beside each other; some are moved onto their neighbours
+VIEWS["shapes"] = """
+SELECT fov_id, CAST(1 + 16 * (k % 4) + dy - CASE WHEN size % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS y,
+       CAST(1 + 16 * (k - k % 4) / 4 + dx - CASE WHEN size % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS x
+FROM (SELECT fov_id, k, size, dy, dx, least(dy, dx, 14 - dy, 14 - dx) AS d
+      FROM (SELECT fov_id, k, size, dy, {SERIES:0,14} AS dx
+            FROM (SELECT PAD(CAST(CAST(floor(p_partkey / 12) AS BIGINT) AS STRING)) AS fov_id, p_partkey % 12 AS k, p_size AS size,
+                         {SERIES:0,14} AS dy FROM {part} p) q) r) s
+WHERE CASE size % 4 WHEN 0 THEN dx <= 1 OR dx >= 13 OR dy >= 13
+                    WHEN 1 THEN (d % 2 = 0) <> (dx = d AND dy = d + 1)
+                    WHEN 2 THEN dx = dy OR dx + dy = 14
+                    ELSE (dx + dy) % 2 = 0 END
+"""
+
 VIEWS["pixels"] = """
 SELECT PAD(CAST(l_suppkey AS STRING)) AS fov_id, CAST(l_quantity AS BIGINT) - 1 AS frame,
        l_partkey % 75 AS y, l_orderkey % 75 AS x, sum(CAST(round(l_extendedprice) AS BIGINT)) AS value

@@ -79,13 +79,88 @@ def test_upsert_resume_and_key_sets(spark):
     assert sorted(map(tuple, st.key_sets(old, new, ["k"]).collect())) == [(1, "left"), (2, "both"), (3, "right")]
 
 
+CANDIDATE = "fov_id string, ch1_label string, a_ord int, ch2_label string, b_ord int, score double"
+
+
 def test_a_chain_in_which_each_wants_the_partner_of_the_one_before(spark):
-    """Every nucleus prefers its predecessor's partner: settled in one walk, in jobs that grow with the logarithm only."""
-    n = 200
-    rows = [("f", f"a{i}", i, f"b{i}", i, 0.5) for i in range(n)] + [("f", f"a{i}", i, f"b{i - 1}", i - 1, 0.9) for i in range(1, n)]
-    df = spark.createDataFrame(rows, "fov_id string, ch1_label string, a_ord int, ch2_label string, b_ord int, score double")
-    spark.sparkContext.setJobGroup("chain", "chain")
-    got = {r.ch1_label: r.ch2_label for r in pr.settle_greedily(df).collect()}
-    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
-    spark.sparkContext.setJobGroup("", "")
-    assert got == {f"a{i}": f"b{i}" for i in range(n)} and jobs < n
+    """Every nucleus prefers its predecessor's partner, in one field of 20,000 nuclei: steps grow with the logarithm."""
+    n = 10_000
+    ids = spark.range(n)
+    own = ids.selectExpr("'f' fov_id", "concat('a', id) ch1_label", "int(id) a_ord", "concat('b', id) ch2_label", "int(id) b_ord", "0.5D score")
+    other = ids.filter("id > 0").selectExpr(
+        "'f' fov_id", "concat('a', id) ch1_label", "int(id) a_ord", "concat('b', id - 1) ch2_label", "int(id - 1) b_ord", "0.9D score"
+    )
+    rounds = []
+    settled = pr._settled
+    pr._settled = lambda state: rounds.append(1) or settled(state)
+    try:
+        got = pr.settle_greedily(own.union(other), walk=1000)
+        assert got.filter("substring(ch1_label, 2) = substring(ch2_label, 2)").count() == n == got.count()
+    finally:
+        pr._settled = settled
+    assert len(rounds) <= 17
+
+
+@pytest.mark.parametrize("seed,n,edges", [(1, 30, 120), (2, 60, 90), (3, 12, 140), (4, 200, 600)])
+def test_settled_together_equals_the_walk(spark, seed, n, edges):
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(3), rng.randrange(n), rng.randrange(n)) for _ in range(edges)}
+    rows = [(f"f{f}", f"a{i}", i, f"b{j}", j, rng.choice([0.2, 0.5, 0.9, 0.0])) for f, i, j in pairs]
+    df = spark.createDataFrame(rows, CANDIDATE)
+    walked = sorted(map(tuple, pr.settle_greedily(df).collect()))
+    want = []
+    for f in range(3):
+        ones, twos = set(), set()
+        for _, a, i, b, j, s in sorted((r for r in rows if r[0] == f"f{f}"), key=lambda r: (r[2], -r[5], r[4])):
+            if s > 0 and a not in ones and b not in twos:
+                ones.add(a)
+                twos.add(b)
+                want.append((f"f{f}", a, b))
+    assert walked == sorted(want) == sorted(map(tuple, pr.settle_greedily(df, walk=0).collect()))
+
+
+def boxes_of(spark, rows, p):
+    columns = "fov_id string, key long, {p}left double, {p}top double, {p}right double, {p}bottom double".format(p=p)
+    return spark.createDataFrame(rows, columns.replace("key", f"{p}key"))
+
+
+@pytest.mark.parametrize("min_iou", [0.05, 0.3, 0.7, 0.95, 1.0])
+def test_overlapping_boxes_of_all_sizes_are_met(spark, min_iou):
+    rng = random.Random(int(min_iou * 100))
+
+    def some(n):
+        out = []
+        for i in range(n):
+            w, h = rng.choice([1, 3, 7.5, 20, 75, 400]), rng.choice([1, 3, 7.5, 20, 75, 400])
+            left, top = rng.uniform(-50, 50), rng.uniform(-50, 50)
+            out.append((rng.choice("fg"), i, left, top, left + w * rng.uniform(0.9, 1.1), top + h * rng.uniform(0.9, 1.1)))
+        return out
+
+    a = some(150) + [("f", 900, 0.0, 0.0, 0.0, 5.0), ("f", 901, 1.0, 1.0, 11.0, 11.0)]
+    b = some(150) + [(f, 500 + i, left + w / 50, top, right, bottom) for f, i, left, top, right, bottom in a[:80] for w in [right - left]]
+    b += [("f", 902, 0.0, 0.0, 0.0, 5.0), ("f", 903, 1.0, 1.0, 11.0, 11.0)]
+
+    def overlap(p, q):
+        w, h = min(p[4], q[4]) - max(p[2], q[2]), min(p[5], q[5]) - max(p[3], q[3])
+        if w < 0 or h < 0:
+            return 0.0
+        both = (p[4] - p[2]) * (p[5] - p[3]) + (q[4] - q[2]) * (q[5] - q[3]) - w * h
+        return w * h / both if both else 0.0
+
+    want = sorted((p[1], q[1]) for p in a for q in b if p[0] == q[0] and overlap(p, q) >= min_iou)
+    got = pr._overlapping(boxes_of(spark, a, "a_"), boxes_of(spark, b, "b_"), min_iou)
+    assert sorted((r.a_key, r.b_key) for r in got.collect()) == want and len(want) > 0
+
+
+def test_a_crowd_of_small_boxes_is_not_compared_with_itself(spark):
+    """50,000 boxes of half a pixel within 112 x 112 pixels: comparisons grow with boxes and overlaps, not with their square."""
+    n, side = 50_000, 224
+
+    def crowd(p, shift):
+        at = spark.range(n)
+        place = f"(id % {side}) * 0.5D + {shift}", f"floor(id / {side}) * 0.5D"
+        return at.selectExpr("'f' fov_id", f"id {p}key", f"{place[0]} {p}left", f"{place[1]} {p}top", f"{place[0]} + 0.5D {p}right", f"{place[1]} + 0.5D {p}bottom")
+
+    a, b = crowd("a_", 0.0), crowd("b_", 0.05)
+    assert pr._near(a, b, 0.7).count() < 12 * n
+    assert pr._overlapping(a, b, 0.7).filter("a_key = b_key").count() == n

@@ -8,6 +8,7 @@ aggregates, or number rows through a range shuffle instead.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
@@ -44,6 +45,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_round(df: DataFrame) -> DataFrame:
+    """``cut`` for the state of a loop: also forgets the size that the plan expects.
+
+    That size is a product over all joins so far.  Kept from round to round its digits grow exponentially, and planning with
+    them.
+    """
+    kept, spark = cut(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(kept._jdf.toJavaRDD(), kept._jdf.schema()), spark)
+
+
 def join_nulls(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match each other; the key columns come from ``left``."""
     renamed = right.select(
@@ -164,80 +175,125 @@ def positions(
     return out.drop("_mid", "_part", "_row", "_off", "_abs", "_start", *added)
 
 
+# groups whose sketches may be broadcast: a few numbers per metric and rank each
+FEW_GROUPS = 10_000
+
+
 def quantiles(
     df: DataFrame,
     by: Sequence[str],
     cols: Sequence[str],
     probs: Sequence[float],
     small: int = 10_000,
-    slack: float = 5e-4,
+    slack: float = 1e-3,
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one row per ``by`` x ``metric`` x ``p``.
 
-    The built-in exact percentile keeps every distinct value of a group in one buffer.
-    Here a mergeable sketch brackets each wanted rank, values below the bracket are only
-    counted, the bracket is narrowed by a histogram, and just the values of the bins that hold the rank are ordered.  Groups up to ``small``
-    rows use their full range as bracket.
+    One scan gives each group's size and a mergeable sketch, whose proven bound brackets every wanted rank.  Groups of up to
+    ``small`` rows then take the built-in exact percentile, which holds the values of a group.  For larger ones a second
+    scan counts what lies below each bracket and keeps only the values inside, a few thousandths of all; they are cut into
+    bins, and just the bins that hold the rank are put in order.  Values that are null or not a number do not count.
     """
     given = list(by)
     df, by = with_key(df, by)
-    key = [*by, "metric"]
-    tall = df.select(
+    value = {c: f"_v{i}" for i, c in enumerate(cols)}
+
+    def number(c: str) -> Column:
+        v = F.col(c).cast("double")
+        return F.when(~F.isnan(v), v)
+
+    base = cut(df.select(*by, *[number(c).alias(v) for c, v in value.items()]))
+    # a sketched rank is off by at most 1 / accuracy of the group, half of what the bracket allows
+    accuracy, k = math.ceil(2.0 / slack), len(probs)
+    ends = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
+    stats = []
+    for v in value.values():
+        stats += [F.count(v).alias(f"{v}_n"), F.min(v).alias(f"{v}_lo"), F.max(v).alias(f"{v}_hi"), F.percentile_approx(v, ends, accuracy).alias(f"{v}_q")]
+    size = F.array_max(F.array(*[F.col(f"{v}_n") for v in value.values()]))
+    sketch = cut(base.groupBy(*by).agg(*stats).withColumn("_size", size))
+    groups, most, least = sketch.agg(F.count("*"), F.max("_size"), F.min("_size")).first()
+    if not groups:
+        return _no_quantiles(base, given)
+
+    def beside(groups_: DataFrame, how: str) -> DataFrame:
+        return join_nulls(base, F.broadcast(groups_) if groups <= FEW_GROUPS else groups_, by, how)
+
+    parts = []
+    if least <= small:
+        some = base if most <= small else beside(sketch.filter(F.col("_size") <= small).select(*by), "left_semi")
+        exact = some.groupBy(*by).agg(*[F.percentile(v, list(probs)).alias(v) for v in value.values()])
+        each = [
+            F.struct(F.lit(c).alias("metric"), F.lit(float(p)).alias("p"), F.get(F.col(v), F.lit(j)).alias("q"))
+            for c, v in value.items() for j, p in enumerate(probs)
+        ]
+        rows = exact.select(*by, F.explode(F.array(*each)).alias("_q")).select(*given, "_q.*")
+        parts.append(rows.filter("q IS NOT NULL"))
+    if most > small:
+        parts.append(_bracketed(beside, sketch.filter(F.col("_size") > small), by, given, value, probs))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _no_quantiles(base: DataFrame, given: Sequence[str]) -> DataFrame:
+    nothing = [F.lit("").alias("metric"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q")]
+    return base.limit(0).select(*given, *nothing)
+
+
+def _bracketed(beside, large: DataFrame, by: list[str], given: list[str], value: dict[str, str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles of large groups from the values inside the brackets of their sketches."""
+    key, k = [*by, "metric", "p"], len(probs)
+    brackets = [
+        (c, v, j, p, f"_f{i}_{j}", f"_t{i}_{j}") for i, (c, v) in enumerate(value.items()) for j, p in enumerate(probs)
+    ]
+    edges = [e for _, v, j, _, low, high in brackets for e in (F.col(f"{v}_q")[j].alias(low), F.col(f"{v}_q")[k + j].alias(high))]
+    met = beside(large.select(*by, *edges), "inner")
+    below = met.groupBy(*by).agg(*[F.count(F.when(F.col(v) < F.col(low), 1)).alias(f"{low}_b") for _, v, _, _, low, _ in brackets])
+    inside = met.select(
         *by,
         F.explode(
-            F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in cols])
-        ).alias("_m"),
-    ).select(*by, "_m.metric", "_m.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    lows = [max(0.0, p - slack) for p in probs]
-    highs = [min(1.0, p + slack) for p in probs]
-    sketch = tall.groupBy(*key).agg(
-        F.count("*").alias("_n"),
-        F.min("v").alias("_lo"),
-        F.max("v").alias("_hi"),
-        F.percentile_approx("v", lows + highs, 50_000).alias("_q"),
-    )
-    k = len(probs)
-    tiny = F.col("_n") <= small
-    brackets = sketch.select(
-        *key,
+            F.array_compact(
+                F.array(
+                    *[
+                        F.when(
+                            F.col(v).between(F.col(low), F.col(high)),
+                            F.struct(F.lit(c).alias("metric"), F.lit(float(p)).alias("p"), F.col(v).alias("v"), F.col(low).alias("_from"), F.col(high).alias("_to")),
+                        )
+                        for c, v, _, p, low, high in brackets
+                    ]
+                )
+            )
+        ).alias("_i"),
+    ).select(*by, "_i.*")
+    width = F.col("_to") - F.col("_from")
+    bin_ = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("_from")) / width * BINS), F.lit(BINS - 1))).otherwise(F.lit(0))
+    counted = cut(inside.groupBy(*key, bin_.cast("int").alias("_bin"), "v").agg(F.count("*").alias("_c")))
+    # at most BINS + 1 rows per group and rank: how many values come before each bin, those below the bracket first
+    first = join_nulls(large.select(*by, *[f"{v}_n" for v in value.values()]), below, by).select(
+        *by,
         F.explode(
             F.array(
                 *[
                     F.struct(
-                        F.lit(float(p)).alias("p"),
-                        ((F.col("_n") - 1) * F.lit(float(p))).alias("_h"),
-                        F.when(tiny, F.col("_lo")).otherwise(F.col("_q")[i]).alias("_from"),
-                        F.when(tiny, F.col("_hi")).otherwise(F.col("_q")[k + i]).alias("_to"),
+                        F.lit(c).alias("metric"), F.lit(float(p)).alias("p"), ((F.col(f"{v}_n") - 1) * F.lit(float(p))).alias("_h"),
+                        F.col(f"{low}_b").alias("_in"),
                     )
-                    for i, p in enumerate(probs)
+                    for c, v, _, p, low, _ in brackets
                 ]
             )
-        ).alias("_b"),
-    ).select(*key, "_b.*")
-    inside = join_nulls(tall, brackets, key).filter(F.col("v") <= F.col("_to"))
-    # the bracket is cut into bins of equal width; what lies below it is bin -1
-    width = F.col("_to") - F.col("_from")
-    part = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("_from")) / width * BINS), F.lit(BINS - 1)))
-    bin_ = F.when(F.col("v") < F.col("_from"), F.lit(-1)).otherwise(F.coalesce(part, F.lit(0))).cast("int")
-    in_bin = F.when(F.col("v") >= F.col("_from"), F.col("v"))
-    counted = inside.groupBy(*key, "p", "_h", bin_.alias("_bin"), in_bin.alias("v")).agg(F.count("*").alias("_c"))
-    # at most BINS + 1 rows per group and rank: how many values come before each bin
-    bins = counted.groupBy(*key, "p", "_bin").agg(F.sum("_c").alias("_in"), F.max("_h").alias("_rank"))
-    upto = F.sum("_in").over(W.partitionBy(*key, "p").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0))
-    reached = bins.withColumn("_upto", upto).filter(
-        (F.col("_upto") > F.floor("_rank")) & (F.col("_upto") - F.col("_in") <= F.ceil("_rank"))
-    )
-    reached = reached.select(*key, "p", "_bin", (F.col("_upto") - F.col("_in")).alias("_before"))
+        ).alias("_s"),
+    ).select(*by, "_s.*")
+    bins = join_nulls(counted.groupBy(*key, "_bin").agg(F.sum("_c").alias("_in")), first.withColumnRenamed("_in", "_below"), key)
+    upto = F.sum("_in").over(W.partitionBy(*key).orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)) + F.col("_below")
+    reached = bins.withColumn("_upto", upto).filter((F.col("_upto") > F.floor("_h")) & (F.col("_upto") - F.col("_in") <= F.ceil("_h")))
+    reached = reached.select(*key, "_bin", "_h", (F.col("_upto") - F.col("_in")).alias("_before"))
     # only the bins that hold the two wanted ranks are put in order
-    w = W.partitionBy(*key, "p", "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    wanted = join_nulls(counted, reached.filter("_bin >= 0"), [*key, "p", "_bin"])
-    ranked = wanted.withColumn("_cum", F.col("_before") + F.sum("_c").over(w))
-    picked = ranked.groupBy(*key, "p", "_h").agg(
+    w = W.partitionBy(*key, "_bin").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = join_nulls(counted, reached, [*key, "_bin"]).withColumn("_cum", F.col("_before") + F.sum("_c").over(w))
+    picked = ranked.groupBy(*key, "_h").agg(
         F.min(F.when(F.col("_cum") > F.floor("_h"), F.col("v"))).alias("_a"),
         F.min(F.when(F.col("_cum") > F.ceil("_h"), F.col("v"))).alias("_z"),
     )
-    value = F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_z") - F.col("_a"))
-    return picked.select(*given, "metric", "p", value.alias("q"))
+    q = F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_z") - F.col("_a"))
+    return picked.select(*given, "metric", "p", q.alias("q"))
 
 
 def quantile_columns(

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -432,3 +434,68 @@ def interp_drift(bins: DataFrame, keys: Sequence[str], frames: DataFrame) -> Dat
         return (F.col(c) + F.coalesce(part * (F.col(f"{c}_next") - F.col(c)), F.lit(0.0))).alias(c)
 
     return spread.select(*keys, F.col("frame").cast("long").alias("frame"), at("dy"), at("dx"))
+
+
+# Rows beyond a tile that its cubic pieces are solved with: a knot's pull on the bends of its neighbours at least halves
+# with every knot, so what lies further changes them by less than 2**-64 of itself.
+BEND_HALO = 64
+
+
+def _bends(rows: pa.Table, keys: Sequence[str], values: Sequence[str]) -> pa.Table:
+    """Cubic pieces that start at a tile's own knots: second derivatives at both ends, and the next knot."""
+    rows = rows.sort_by("idx")
+    t = rows.column("center").to_numpy().astype(float)
+    v = np.column_stack([rows.column(c).to_numpy().astype(float) for c in values])
+    n = len(t)
+    bend = np.zeros_like(v)
+    if n > 2:
+        h, slope = np.diff(t), np.diff(v, axis=0) / np.diff(t)[:, None]
+        middle, right = 2 * (h[:-1] + h[1:]), 6 * np.diff(slope, axis=0)
+        # forward elimination and back substitution of the three-banded system, bends of 0 at both ends
+        for i in range(1, n - 2):
+            share = h[i] / middle[i - 1]
+            middle[i] -= share * h[i]
+            right[i] -= share * right[i - 1]
+        for i in range(n - 3, -1, -1):
+            bend[i + 1] = (right[i] - h[i + 1] * bend[i + 2]) / middle[i]
+    at = np.flatnonzero(rows.column("_own").to_numpy(zero_copy_only=False))
+    after = np.minimum(at + 1, n - 1)
+    last = at == n - 1
+    out = rows.select([*keys, "idx", "center", *values]).take(pa.array(at))
+    out = out.append_column("center_next", pa.array(t[after], pa.float64(), mask=last))
+    for k, c in enumerate(values):
+        out = out.append_column(f"{c}_next", pa.array(v[after, k]))
+        out = out.append_column(f"{c}_bend", pa.array(bend[at, k]))
+        out = out.append_column(f"{c}_bend_next", pa.array(bend[after, k]))
+    return out
+
+
+def smooth_drift(bins: DataFrame, keys: Sequence[str], frames: DataFrame, tile: int = 4096) -> DataFrame:
+    """Drift per frame on the natural cubic through the bin centres; its end pieces go on beyond the outer centres.
+
+    Same input as :func:`interp_drift`.  Bends are solved tile by tile with a border on both sides, so no list of bins ever
+    lies in one task; two bins give a line, one a constant.
+    """
+    keys, values = list(keys), ["dy", "dx"]
+    known = bins.select(*keys, "idx", F.col("center").cast("double").alias("center"), *[F.col(c).cast("double").alias(c) for c in values])
+    cut_ = tiles(known, keys, "idx", BEND_HALO, tile)
+    kinds = dict(known.dtypes)
+    made = ", ".join(
+        [f"`{c}` {kinds[c]}" for c in [*keys, "idx", "center", *values]]
+        + ["center_next double"]
+        + [f"{c}_{n} double" for c in values for n in ("next", "bend", "bend_next")]
+    )
+    pieces = cut_.groupBy(*keys, "_tile").applyInArrow(lambda rows: _bends(rows, keys, values), made)
+    ends = known.groupBy(*keys).agg(F.max("idx").alias("_last"))
+    near = pieces.join(ends, keys).join(frames, keys).filter(F.col("center_next").isNotNull() | (F.col("_last") == 0))
+    start = F.when(F.col("idx") == 0, F.lit(0)).otherwise(F.ceil("center").cast("long"))
+    stop = F.when(F.col("idx") >= F.col("_last") - 1, F.col("size") - 1).otherwise(F.ceil("center_next").cast("long") - 1)
+    spread = near.filter(start <= stop).select("*", F.explode(F.sequence(start, stop)).alias("frame"))
+    h, a, b = F.col("center_next") - F.col("center"), F.col("center_next") - F.col("frame"), F.col("frame") - F.col("center")
+
+    def at(c: str) -> Column:
+        one, two = F.col(f"{c}_bend"), F.col(f"{c}_bend_next")
+        line = (F.col(c) / h - one * h / 6.0) * a + (F.col(f"{c}_next") / h - two * h / 6.0) * b
+        return F.coalesce((one * a * a * a + two * b * b * b) / (h * 6.0) + line, F.col(c)).alias(c)
+
+    return spread.select(*keys, F.col("frame").cast("long").alias("frame"), at("dy"), at("dx"))

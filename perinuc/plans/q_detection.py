@@ -225,3 +225,25 @@ def _field_range(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _(v):
     schema = StructType([StructField("fov_id", StringType()), StructField("n", LongType()), StructField("top", DoubleType())])
     return gr.apply_per_fov(v("reg_slice").select("fov_id", "shift_y"), _field_range, schema)
+
+
+def _tile_sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """Own pixels of a tile, those brighter than their left neighbour, and the largest."""
+    left = rows[["y", "x", "value"]].assign(x=rows["x"] + 1).rename(columns={"value": "left"})
+    own = rows[rows["own"]].merge(left, on=["y", "x"], how="left")
+    return pd.DataFrame(
+        {"fov_id": [own["fov_id"].iloc[0]], "n": [len(own)], "brighter": [int((own["value"] > own["left"]).sum())], "top": [int(own["value"].max())]}
+    )
+
+
+@query(
+    "f1_apply_per_tile",
+    """WITH im AS (SELECT fov_id, y, x, sum(value) AS value FROM {pixels} p GROUP BY fov_id, y, x),
+        nb AS (SELECT a.*, b.value AS lv FROM im a LEFT JOIN im b ON b.fov_id = a.fov_id AND b.y = a.y AND b.x = a.x - 1)
+       SELECT fov_id, I(count(*)) AS n, I(count(*) FILTER (value > lv)) AS brighter, I(max(value)) AS top FROM nb GROUP BY fov_id""",
+)
+def _(v):
+    image = v("pixels").groupBy("fov_id", "y", "x").agg(F.sum("value").alias("value"))
+    schema = StructType([StructField("fov_id", StringType()), *[StructField(c, LongType()) for c in ("n", "brighter", "top")]])
+    tiles = gr.apply_per_tile(image, _tile_sums, schema, side=32, border=1)
+    return tiles.groupBy("fov_id").agg(F.sum("n").alias("n"), F.sum("brighter").alias("brighter"), F.max("top").alias("top"))

@@ -286,6 +286,22 @@ def _(v):
     )
 
 
+@query(
+    "s14_read_results_csv",
+    """SELECT k.strain, k.date, k.addl_info, k.fov_id, r.mode, R(r.scale) AS scale, R(r.angle) AS angle,
+              R(r.shift_y) AS shift_y, R(r.shift_x) AS shift_x
+       FROM {experiment_key} k LEFT JOIN (SELECT * FROM {fov_results} x
+            WHERE strain IN ('BMY1401', 'BMY1403', 'BMY1405')) r ON k.strain = r.strain AND k.fov_id = r.fov_id""",
+)
+def _(v):
+    """The result table written as CSV files with a header, and read back under its declared schema."""
+    results = v("fov_results").select("strain", "mode", "fov_id", "scale", "angle", "shift_y", "shift_x")
+    folder = _scratch(results)
+    tb.write_table(results, folder, experiment=None, fmt="csv")
+    schema = ", ".join(f"{c} {t}" for c, t in results.dtypes)
+    return tb.read_results_csv(results.sparkSession, folder, schema, ["BMY1401", "BMY1403", "BMY1405"], v("experiment_key"))
+
+
 @query("s16_write_table", f"SELECT k.strain AS experiment, r.mode, r.fov_id, {REG.format('r')} FROM {{reg_fov}} r {KEY}")
 def _(v):
     rows = v("reg_fov").drop("ch_reg_prec").join(v("experiment_key").select("fov_id", F.col("strain").alias("experiment")), "fov_id")

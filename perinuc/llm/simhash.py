@@ -63,18 +63,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(np.array(hashes, np.uint64))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of each row."""
-    rows = docs.select(own(docs, doc_id).alias("doc_id"), own(docs, text).cast("string").alias("text"))
+def fingerprints(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, also: str | None = None
+) -> DataFrame:
+    """doc_id and fingerprint (as a signed long) of each row, and column ``also`` under that name if one is given."""
+    more = [] if also is None else [own(docs, also).alias("also")]
+    rows = docs.select(own(docs, doc_id).alias("doc_id"), own(docs, text).cast("string").alias("text"), *more)
+    kinds, names = dict(rows.dtypes), ["doc_id", "fp", *["also" for _ in more]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.view(np.int64)), *part.columns[2:]], names)
 
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, fp long" + (f", also {kinds['also']}" if more else ""))
 
 
 def _pairs(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -269,26 +273,44 @@ def star_roots(links: DataFrame) -> DataFrame:
     return links
 
 
+def _roots(keys: DataFrame, budget: int, node: int) -> DataFrame:
+    """``keys`` (distinct ``fp``) with the smallest key of their component as ``root``."""
+    roots = star_roots(trie_join(keys.select("fp"), budget, node)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    return keys.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", budget: int = BUDGET, node: int = NODE) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp (signed long), component_id."""
     rows = cut(fingerprints(docs, text, doc_id))
     keys = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
-    roots = star_roots(trie_join(keys.select("fp"), budget, node)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    rooted = keys.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _roots(keys, budget, node)
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = cut(rooted.join(firsts, "root").select("fp", "n", "component_id"))
     total = rows.count()
     return joined_with_hot(rows, labels, "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", budget: int = BUDGET) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of their component.
-
-    Rows that repeat an id are one document and stay or go together.  Rows without an id cannot be told apart, so they
-    stay.
+def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", budget: int = BUDGET, node: int = NODE) -> DataFrame:
+    """One row of ``docs`` per component: the one with the smallest id, null ids last, and among equal ids the smallest digest
+    of its text.  Of rows that agree in both, one stays, whichever the hash of its columns puts first.
     """
-    found = near_duplicates(docs, text, doc_id, budget)
-    stays = F.max(F.col("doc_id") == F.col("component_id")).alias("stays")
-    key = spare(docs, "gone")
-    gone = found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(stays).filter(~F.col("stays"))
-    return docs.join(gone.select(F.col("doc_id").alias(key)), own(docs, doc_id) == F.col(key), "left_anti")
+    digest = F.sha2(F.coalesce(own(docs, text).cast("string"), F.lit("")), 256)
+    names = {n: spare(docs, n) for n in ("digest", "id", "n")}
+    marked = docs.withColumn(names["digest"], digest)
+    rows = cut(fingerprints(marked, text, doc_id, also=names["digest"]))
+    # one row per fingerprint: its first id and text, and how many rows are equal to that one
+    texts = rows.groupBy("fp", "doc_id", F.col("also").alias("digest")).agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "n"))
+    keys = cut(texts.groupBy("fp").agg(first.alias("first")))
+    stays = cut(_roots(keys, budget, node).groupBy("root").agg(F.min("first").alias("first")).select("first.*"))
+    of = {"digest": names["digest"], "doc_id": names["id"], "n": names["n"]}
+    wanted = stays.select(F.col("digest").alias(f"{of['digest']}_of"), F.col("doc_id").alias(of["doc_id"]), F.col("n").alias(of["n"]))
+    met = marked.join(
+        wanted, (F.col(of["digest"]) == F.col(f"{of['digest']}_of")) & own(docs, doc_id).eqNullSafe(F.col(of["doc_id"]))
+    )
+    columns = [own(docs, c).alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    alone = met.filter(F.col(of["n"]) == 1).select(*[own(docs, c) for c in docs.columns])
+    repeated = met.filter(F.col(of["n"]) > 1).groupBy(of["digest"], of["doc_id"]).agg(
+        F.min_by(F.struct(*columns), F.xxhash64(*[own(docs, c) for c in docs.columns])).alias("one")
+    )
+    return alone.union(repeated.select(*[F.col(f"one.c{i}").alias(c) for i, c in enumerate(docs.columns)]))

@@ -5,6 +5,9 @@ scan, its boundary deleted, and the two ranks beside it refreshed.  That is fast
 ones take the same merges from a heap, so a word of any length stays near linear.  Words repeat, so each worker keeps the
 ids of recent ones in two generations of bounded size.
 
+Texts are split by Python's tables of characters.  A text with a character that they do not know yet, or not any more as
+the library that publishes the vocabulary does, is put in normal form and split by that library; merging is the same.
+
 Null texts count as empty and have no tokens.  Text that spells a special token becomes that token.  Repeated rows are
 encoded alike, an empty table gives an empty result, and only the id and text columns are read.
 """
@@ -22,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from perinuc.llm.common import own
 
@@ -64,6 +68,8 @@ class Vocabulary:
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
             self.merges.setdefault((ids[a], ids[b]), rank << SHIFT | ids[a + b])
         symbols = byte_symbols()
+        self.byte = {s: b for b, s in enumerate(symbols)}
+        self.library = Tokenizer.from_file(str(file))
         self.inner = [ids[s] for s in symbols]
         self.final = [ids[s + self.end] for s in symbols]
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
@@ -104,8 +110,14 @@ class Vocabulary:
                     heapq.heappush(heap, (m >> SHIFT, x, parts[x], parts[y]))
         return [p for p in parts if p >= 0]
 
+    def bytes_of(self, symbols: str) -> bytes:
+        return bytes(map(self.byte.__getitem__, symbols))
+
     def word(self, word: str) -> list[int]:
-        data = word.encode("utf-8")
+        return self.merged(word.encode("utf-8"))
+
+    def merged(self, data: bytes) -> list[int]:
+        """Ids of the parts of one word, given as its bytes."""
         parts = [self.inner[b] for b in data[:-1]]
         parts.append(self.final[data[-1]])
         return self.merge_scan(parts) if len(parts) <= SHORT else self.merge_heap(parts)
@@ -118,6 +130,7 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary, self.older = vocabulary, {}
         self.pieces = regex.compile(PIECE).findall
+        self.known: set[str] = set()
 
     def __missing__(self, chunk: str) -> bytes:
         got = self.older.get(chunk)
@@ -131,8 +144,16 @@ class Encoder(dict):
             self[chunk] = got
         return got
 
+    def _assigned(self, text: str) -> bool:
+        """Whether Python's tables know every character of the text."""
+        fresh = set(text) - self.known
+        self.known.update(c for c in fresh if unicodedata.category(c) != "Cn")
+        return fresh <= self.known
+
     def _ordinary(self, text: str) -> bytes:
         if not text.isascii():
+            if not self._assigned(text):
+                return self._by_library(text)
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case without regard to place
         text = text.lower()
         for space in SPACES:
@@ -140,6 +161,13 @@ class Encoder(dict):
                 text = text.replace(space, " ")
         return b"".join(map(self.__getitem__, text.split(" ")))
 
+    def _by_library(self, text: str) -> bytes:
+        """The library's normal form and pieces, in which a byte is a symbol; the merges are those of any other text."""
+        library = self.vocabulary.library
+        pieces = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))
+        merged = (self.vocabulary.merged(self.vocabulary.bytes_of(piece)) for piece, _ in pieces)
+        return np.array([i for ids in merged for i in ids], "<u4").tobytes()
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         special = self.vocabulary.special

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -51,6 +52,14 @@ def test_bpe_equals_library(library, encoder):
         assert encoder.decode(encoder.encode(text)) == library.decode(found.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_characters_that_python_does_not_know(library, encoder):
+    """Unassigned code points, in planes that hold text, beside letters, digits and marks."""
+    unknown = [c for c in (*range(0x40000), *range(0xE0000, 0xE0400)) if unicodedata.category(chr(c)) == "Cn"]
+    step = [c for k, c in enumerate(unknown) if c < 0x20000 or k % 61 == 0]
+    texts = [" ".join(f"A{chr(c)}b1{chr(c)}{chr(c)} 'S" for c in step[k : k + 40]) for k in range(0, len(step), 40)]
+    assert [ids(encoder, t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_long_words_merge_like_short_ones(encoder):
     rng, v = random.Random(5), encoder.vocabulary
     for _ in range(300):

@@ -9,8 +9,8 @@ of the other 25 words to its left and right.  So exactly the windows of 50 words
 one text, and their union are the passages.
 
 Words are stretches between white space, case kept; words, windows and texts are told apart by hashes of 64 bits.  Null
-texts count as empty, texts of fewer words give no span.  Rows without an id are reported together under a null id; rows
-that repeat an id are separate places but share one result row.  Only the id and text columns are read, and an empty table
+texts count as empty, texts of fewer words give no span.  Each distinct text of an id has a
+result row, also where the id is null or repeats; rows that repeat both are separate places and share one.  Only the id and text columns are read, and an empty table
 gives an empty result.
 """
 
@@ -130,11 +130,11 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     )
     place = F.shiftright("at", 10)
     spans = [(place - F.shiftright("at", 5).bitwiseAND(31)).alias("start"), (place - F.col("at").bitwiseAND(31)).alias("stop")]
-    whole = near.select("doc_id", "print", "at").join(variants.filter("n > 1").select("print"), "print", "left_semi")
+    whole = near.select("doc_id", "text_id", "print", "at").join(variants.filter("n > 1").select("print"), "print", "left_semi")
     # a variant that stands alone shares single windows with other variants of its first words
     single = variants.filter("n = 1").select("key").distinct()
     asked = variants.join(single, "key", "left_semi").groupBy("text_id").agg(
-        F.collect_list(F.struct("doc_id", "at", (F.col("n") == 1).alias("alone"))).alias("asked")
+        F.collect_list(F.struct("doc_id", "at", (F.col("n") == 1).alias("alone"), "text_id")).alias("asked")
     )
     texts = rows.select("text_id", "text").dropDuplicates(["text_id"])
 
@@ -149,17 +149,19 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
                 found = [splits(t, places[a:b]) for t, a, b in zip(part.column(0).to_pylist(), ends, ends[1:])]
                 owner = pa.array(np.concatenate([f[0] + a for f, a in zip(found, ends)]))
                 yield pa.RecordBatch.from_arrays(
-                    [flat.field(0).take(owner), flat.field(2).take(owner), pa.array(np.concatenate([f[1] for f in found])),
+                    [flat.field(0).take(owner), flat.field(3).take(owner), flat.field(2).take(owner), pa.array(np.concatenate([f[1] for f in found])),
                      pa.array(np.concatenate([f[2] for f in found]))],
-                    ["doc_id", "alone", "start", "window"],
+                    ["doc_id", "text_id", "alone", "start", "window"],
                 )
 
     each = texts.join(asked, "text_id").select("text", "asked").mapInArrow(
-        extend, f"doc_id {kind}, alone boolean, start long, window long"
+        extend, f"doc_id {kind}, text_id long, alone boolean, start long, window long"
     )
     agreed = each.groupBy("window").count().filter("count > 1").select("window")
-    edges = each.filter("alone").join(agreed, "window", "left_semi").select("doc_id", "start", F.col("start").alias("stop"))
-    starts = whole.select("doc_id", *spans).union(edges)
+    edges = each.filter("alone").join(agreed, "window", "left_semi").select(
+        "doc_id", "text_id", "start", F.col("start").alias("stop")
+    )
+    starts = whole.select("doc_id", "text_id", *spans).union(edges)
 
     def merge(rows: pa.Table) -> pa.Table:
         spans = _joined(zip(rows.column("start").to_pylist(), rows.column("stop").to_pylist()))
@@ -168,4 +170,4 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
              "spans": [",".join(f"{a}:{b}" for a, b in spans)]}
         )
 
-    return starts.distinct().groupBy("doc_id").applyInArrow(merge, f"doc_id {kind}, n_words long, spans string")
+    return starts.distinct().groupBy("doc_id", "text_id").applyInArrow(merge, f"doc_id {kind}, n_words long, spans string")

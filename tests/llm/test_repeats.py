@@ -36,6 +36,17 @@ def test_exactly_the_repeated_windows(spark):
     assert repeats.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_rows_without_an_id_and_with_the_same_id_are_told_apart(spark):
+    rng = random.Random(2)
+    word = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    one, two = word(50), word(60)
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (None, " ".join(word(11) + one)), (None, " ".join(two)), (5, " ".join(word(3) + one)), (5, " ".join(two + word(9)))]
+    got = repeats.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.spans) for r in got), key=repr) == sorted(
+        [(1, 50, "0:50"), (2, 60, "0:60"), (None, 50, "11:61"), (None, 60, "0:60"), (5, 50, "3:53"), (5, 60, "0:60")], key=repr
+    )
+
+
 def test_long_shared_footers_below_a_passage_give_no_span(spark):
     rng = random.Random(7)
     word = lambda n: [rng.choice("abcdefghij") + str(rng.randint(0, 10**12)) for _ in range(n)]

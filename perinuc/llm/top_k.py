@@ -8,7 +8,8 @@ coordinates; where it is low, from the vectors that are long enough.  Products o
 numbers.  Bounds are loosened by a hair before they prune, so nothing is lost to rounding.
 
 Vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id.  Vectors of
-different dimension are never compared.  A row is never its own candidate; rows that repeat an id are separate rows.
+different dimension are never compared.  Components and scores beyond 64 bits are held at the ends of that range, so such
+scores tie.  A row is never its own candidate; rows that repeat an id are separate rows.
 Ties go to the smaller id.  With fewer than k candidates all are returned; an empty table gives an empty result.
 """
 
@@ -32,6 +33,8 @@ BLOCK, QUERIES, BUCKETS, STRIPE = 4096, 1024, 64, 2
 # local cosine from which the ranges of this many coordinates choose the candidates
 COSINE, FOCUS = 0.35, 6
 HAIR = 1e-9
+# scores and components stay within 64 bits
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -92,12 +95,15 @@ class Block:
 
     def products(self, vectors: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Integer products of some of the vectors with some queries."""
-        most = float(np.abs(vectors).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, vectors.shape[1])
+        # as floats, for the smallest whole number of 64 bits has no opposite
+        most = max(1, vectors.shape[1])
+        for side in (vectors, queries):
+            most *= float(np.abs(side.astype(np.float64)).max(initial=0))
         if most < 2.0**52:
             return (vectors.astype(np.float64) @ queries.astype(np.float64).T).astype(np.int64)
-        return np.array([[sum(int(a) * int(b) for a, b in zip(v, q)) for q in queries] for v in vectors], object).reshape(
-            len(vectors), len(queries)
-        ).astype(np.int64)
+        whole = [[sum(int(a) * int(b) for a, b in zip(v, q)) for q in queries] for v in vectors]
+        held = [[min(max(s, LEAST), MOST) for s in row] for row in whole]
+        return np.array(held, np.int64).reshape(len(vectors), len(queries))
 
     def search(self, queries: np.ndarray, rows: np.ndarray, floors: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each query its k best of this block among those that reach its floor: query, ids, scores."""

@@ -150,6 +150,22 @@ def test_top_k(spark, monkeypatch, block):
     assert got == plain_top(rows)
 
 
+def test_top_k_of_values_beyond_64_bits(spark):
+    """Components and scores past 63 bits are held at the ends; the others stay exact beside them."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=3) * rng.choice([1, 1e6, 1e12, 1e30])]) for i in range(300)]
+    got = sorted(map(tuple, top_k.top_k(vectors(spark, rows), block=64).collect()))
+    ends = -(1 << 63), (1 << 63) - 1
+    held = lambda s: min(max(s, ends[0]), ends[1])
+    data = [(i, [held(int(np.floor(256 * x))) for x in v]) for i, v in rows]
+    want = []
+    for qi, q in data:
+        if qi % 50 == 0:
+            best = sorted((-held(sum(a * b for a, b in zip(q, v))), i) for i, v in data if i != qi)[:5]
+            want += [(qi, rank + 1, i, -s) for rank, (s, i) in enumerate(best)]
+    assert got == sorted(want) and any(r[3] == ends[1] for r in got)
+
+
 def test_coordinate_ranges_lose_nothing():
     rng = np.random.default_rng(6)
     q = rng.normal(size=6)

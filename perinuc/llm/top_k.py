@@ -79,7 +79,8 @@ def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         near = np.flatnonzero(score >= floor)
     else:
         near = np.arange(len(score))
-    return near[np.lexsort((ids[near], -score[near]))[:k]]
+    # turned over by its bits: the smallest whole number has no opposite
+    return near[np.lexsort((ids[near], ~score[near]))[:k]]
 
 
 class Block:

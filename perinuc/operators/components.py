@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perinuc.scale import cut, cut_round
+from perinuc.scale import apart, cut, cut_round
 
 
 def _state(edges: DataFrame, keys: Sequence[str]) -> tuple:
@@ -30,8 +30,8 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataF
     materialised to keep the lineage short.  ``nodes`` has ``node``, ``edges`` has ``u, v``.
     """
     keys = list(keys)
-    stars = cut(
-        edges.filter("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    stars = apart(
+        cut(edges.filter("u <> v").select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     )
     before = None
     while (now := _state(stars, keys)) != before:
@@ -73,7 +73,7 @@ def near_segments(ends: DataFrame, keys: Sequence[str], limit: float) -> DataFra
     def cell(c: str) -> Column:
         return F.floor(F.col(c) / F.lit(side)).cast("long")
 
-    placed = cut(tips.withColumn("_cy", cell("y")).withColumn("_cx", cell("x")))
+    placed = apart(cut(tips.withColumn("_cy", cell("y")).withColumn("_cx", cell("x"))))
     head = placed.groupBy(*keys, "_cy", "_cx").agg(F.min("segment").alias("v"))
     same = placed.join(head, [*keys, "_cy", "_cx"]).select(*keys, F.col("segment").alias("u"), "v")
     # half of the cells within two steps; the other half is met from the other side

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from perinuc.scale import cut
+from perinuc.scale import apart, cut
 
 
 def apply_per_fov(
@@ -83,7 +83,7 @@ def apply_per_tile(
 
     found = cut(dealt.groupBy(by, *tile).applyInPandas(guarded, out))
     failed = found.filter("error IS NOT NULL").groupBy("_field").agg(F.min_by("error", F.struct(*tile)).alias("error"))
-    failed = cut(failed)
+    failed = apart(cut(failed))
     fine = found.join(failed.select("_field"), "_field", "left_anti").select(*names, "error")
     nothing = [F.col("_field").alias(n) if n == by else F.lit(None).cast(schema[n].dataType).alias(n) for n in names]
     return fine.unionByName(failed.select(*nothing, "error"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import box_iou, magnitude, pair_score
-from perinuc.scale import cut, cut_round, positions
+from perinuc.scale import apart, cut, cut_round, positions
 
 SIDES = ["left", "top", "right", "bottom"]
 
@@ -183,12 +183,12 @@ def _settled_together(candidates: DataFrame) -> DataFrame:
     it was taken).  These are rules from value to value; ``_settled`` follows them all in parallel, and the number of steps
     grows with the logarithm of a chain.  No group is ever brought together.
     """
-    edges = cut(candidates.withColumn("_e", F.monotonically_increasing_id()))
+    edges = apart(cut(candidates.withColumn("_e", F.monotonically_increasing_id())))
     order = [F.col(c) for c in ORDER]
     placed = edges
     for end, label in (("_ia", "ch1_label"), ("_ib", "ch2_label")):
         placed = positions(placed, ["fov_id", label], order, end)
-    placed = cut(placed)
+    placed = apart(cut(placed))
 
     def before(end: str, label: str, name: str) -> DataFrame:
         return placed.select("fov_id", label, (F.col(end) + 1).alias(end), F.col("_e").alias(name))
@@ -222,7 +222,7 @@ def settle_greedily(candidates: DataFrame, walk: int = WALK) -> DataFrame:
     """
     scored = cut(candidates.filter("score > 0").withColumn("_worse", -F.col("score")))
     large = scored.groupBy("fov_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > walk).select("fov_id")
-    large = cut(large)
+    large = apart(cut(large))
     if large.isEmpty():
         return _walked(scored)
     some = _settled_together(scored.join(large, "fov_id", "left_semi"))

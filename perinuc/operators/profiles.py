@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import eval_model
 from perinuc.operators.raster import sample_lines
+from perinuc.scale import apart
 
 # Screening limits and fit-quality rules.
 FLAT_SD = 1e-3
@@ -74,7 +75,7 @@ def guess_gaussian_linear(profiles: DataFrame, keys: Sequence[str]) -> DataFrame
     )
     rise = F.col("intensity") - (F.col("slope") * F.col("dist") + F.col("intercept"))
     top = F.max(F.struct(F.round(rise, 9).alias("rise"), (-F.col("k")).alias("first"), F.col("dist")))
-    peaks = profiles.join(lines, list(keys)).groupBy(*keys, "slope", "intercept").agg(top.alias("_top"))
+    peaks = profiles.join(apart(lines), list(keys)).groupBy(*keys, "slope", "intercept").agg(top.alias("_top"))
     return peaks.select(
         *keys, "slope", "intercept", F.col("_top.dist").alias("mu"), F.lit(1.0).alias("sigma"),
         F.greatest("_top.rise", F.lit(1.0)).alias("amplitude"),
@@ -95,7 +96,7 @@ def guess_richards_gaussian(profiles: DataFrame, keys: Sequence[str], length: fl
 def predict(profiles: DataFrame, params: DataFrame, keys: Sequence[str], model: str) -> DataFrame:
     """Model value at every sample; ``params`` holds the parameters after the keys, in model order."""
     theta = [c for c in params.columns if c not in keys]
-    return profiles.join(params, list(keys)).select(
+    return profiles.join(apart(params), list(keys)).select(
         *keys, "k", "dist", "intensity", eval_model(model, "dist", theta).alias("predicted")
     )
 

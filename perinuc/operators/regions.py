@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from perinuc.operators.components import components
 from perinuc.operators.raster import starts
-from perinuc.scale import cut, positions
+from perinuc.scale import apart, cut, positions
 
 # side of the square tiles: a tile holds at most its square of pixels, whatever an image holds
 SIDE = 256
@@ -123,7 +123,7 @@ def label_regions(pixels: DataFrame, by: Sequence[str], side: int = SIDE) -> Dat
     named = [F.col(b).alias(f"_by{i}") for i, b in enumerate(by)]
     keys = [f"_by{i}" for i in range(len(by))]
     known = pixels.dropna(subset=by) if by else pixels
-    runs = cut(_runs(known.select(*named, "y", "x"), keys, side).drop("_ty", "_tx"))
+    runs = apart(cut(_runs(known.select(*named, "y", "x"), keys, side).drop("_ty", "_tx")))
     links = _border_links(runs, keys, side)
     nodes = runs.select(*keys, "node").distinct()
     linked = cut(links)
@@ -131,7 +131,7 @@ def label_regions(pixels: DataFrame, by: Sequence[str], side: int = SIDE) -> Dat
         found = nodes.withColumn("component", F.col("node"))
     else:
         found = components(nodes, linked, keys)
-    found = cut(found)
+    found = apart(cut(found))
     heads = found.filter("node = component").select(*keys, "component")
     labels = positions(heads, keys, ["component"], "_rank").select(*keys, "component", (F.col("_rank") + 1).alias("ne_label"))
     of_node = found.join(labels, [*keys, "component"]).select(*keys, "node", "ne_label")

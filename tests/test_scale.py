@@ -1,5 +1,7 @@
 """The helpers that split large groups give the same answers as plain windows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,35 @@ def test_quantiles_ignore_missing(spark):
 
 def test_checkpoint_folder_comes_from_the_session(spark, tmp_path_factory):
     assert sc.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+# views that a join would otherwise broadcast: unfolded from few rows, or larger than their files by compression
+UNASKED = [
+    "a34_profile_guess", "a38_delta_aic", "a37_nrmse", "a39_poisson_outliers", "p17_gaussian_linear", "p17_richards_gaussian",
+    "j6_iou_best_match", "p10_pair_score",
+]
+
+
+@pytest.mark.parametrize("name", UNASKED)
+def test_views_are_not_broadcast_by_the_size_of_their_files(spark, name):
+    import __spark_entry__ as entry
+
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize(
+    "name, column",
+    [("d4_on_mask_segments", "_y"), ("a9_label_shapes", "node"), ("a9_label_shapes_tiles", "node"), ("a9_label_regions", "node")],
+)
+def test_masks_and_regions_are_not_broadcast(spark, name, column):
+    import __spark_entry__ as entry
+
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    joins = re.findall(rf"(\w+Join) \[[^\]]*\b{column}#", df._jdf.queryExecution().executedPlan().toString())
+    assert joins and "BroadcastHashJoin" not in joins
+
+
+def test_rows_to_unfold_are_dealt_to_more_tasks_as_they_grow(spark):
+    assert [sc.dealt(spark.range(n), "id", 100).rdd.getNumPartitions() for n in (0, 100, 1000)] == [1, 1, 10]

@@ -227,3 +227,26 @@ def test_quantiles_of_small_and_large_groups(spark, small, by):
     assert len(got) == len(found) == len(want)
     for key, q in want.items():
         assert found[key] == pytest.approx(q, abs=1e-12)
+
+
+def test_dilation_holds_rows_as_bits_and_shuffles_no_copies(spark):
+    """Every pixel near the part borders of 32, in both signs, with repeats and pixels without a place."""
+    dots = [("a", x % 3, x * 5 % 70 - 1, x) for x in range(-1, 70)] * 2 + [("b", 1, 0, 0), ("b", 1, None, 4), (None, None, 5, 31)]
+    mask = spark.createDataFrame(dots, "fov_id string, ne_label long, y long, x long")
+    got = [tuple(r) for r in px.dilate3x3(mask, ["fov_id"], 60, 66).collect()]
+    grown = {(f, n, y + a, x + b) for f, n, y, x in dots if y is not None for a in (-1, 0, 1) for b in (-1, 0, 1)}
+    assert len(got) == len(set(got))
+    assert set(got) == {g for g in grown if 0 <= g[2] < 60 and 0 <= g[3] < 66}
+    # a shuffle after nine copies of each pixel is what did not finish
+    assert "array([-1,-1]" not in px.dilate3x3(mask, ["fov_id"], 60, 66)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in px.dilate3x3(mask, ["fov_id"], 60, 66)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_padded_lines_hold_the_pixels_of_padded_crops(spark, monkeypatch):
+    monkeypatch.setattr(px, "PADDED", 30)
+    boxes = spark.createDataFrame([("a", "1", 0, 0, 3, 2), ("a", "2", 5, 5, 5, 9), ("b", "1", 0, 0, 9, 9)], "fov_id string, ne_label string, final_top long, final_left long, final_bottom long, final_right long")
+    dots = [("a", "1", 0, 0, 7), ("a", "1", 2, 1, None), ("a", "1", 9, 9, 3), ("b", "1", 8, 8, 5)]
+    crops = spark.createDataFrame(dots, "fov_id string, ne_label string, y long, x long, value long")
+    want = {(r.fov_id, r.ne_label, r.y, r.x): r.value for r in px.pad_crops(crops, boxes, ["fov_id"], 6, 5).collect()}
+    lines = px.pad_lines(crops, boxes, ["fov_id"], 6, 5).collect()
+    assert {(r.fov_id, r.ne_label, r.y, x): v for r in lines for x, v in enumerate(r["values"])} == want

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import PIXEL_NM, clip, magnitude, move_along_normal, wrap_angle
-from perinuc.scale import TILE, beside, neighbours, own_rows, positions, running_sum, tiles
+from perinuc.scale import TILE, beside, neighbours, ordered_means, own_rows, positions, running_sum, tiles
 
 CURVE = ["fov_id", "channel", "ne_label"]
 SEGMENT = [*CURVE, "segment"]
@@ -150,8 +150,12 @@ def resample(
 
 
 def angular_order(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Points numbered by their angle about the centroid."""
-    centre = points.groupBy(*keys).agg(F.avg("y").alias("_cy"), F.avg("x").alias("_cx"))
+    """Points numbered by their angle about the centroid.
+
+    The angle jumps by a whole turn where a point lies level with the centroid, so its last bit decides; it is added up in
+    the order of the points, whatever order rows come in.
+    """
+    centre = ordered_means(points, keys, "idx", ["y", "x"]).withColumnsRenamed({"y": "_cy", "x": "_cx"})
     angle = F.atan2(F.col("y") - F.col("_cy"), F.col("x") - F.col("_cx"))
     turned = points.join(centre, list(keys)).select(*points.columns, angle.alias("angle"))
     return positions(turned, keys, [F.round("angle", 9), F.col("idx")], "order")

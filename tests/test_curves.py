@@ -164,3 +164,27 @@ def test_points_in_a_flat_outline(spark):
     places = spark.createDataFrame([("f", "ch1", "n", *s) for s in spots], "fov_id string, channel string, ne_label string, idx long, py double, px double")
     got = {r.idx: r.inside for r in cv.point_in_polygon(places, ring, cv.CURVE).collect()}
     assert got == {k: bool(k % 2 and x < (n - 1) * 0.01) for k, _, x in spots}
+
+
+def test_angular_order_adds_up_in_the_order_of_the_points(spark):
+    rows, want = [], set()
+    for g in range(60):
+        n, r = 2 * g + 24, 20 + g % 5
+        curve = [(i, round(37.5 + r * math.sin(2 * math.pi * i / n), 6), round(37.5 + r * math.cos(2 * math.pi * i / n), 6)) for i in range(n)]
+        sy = sx = 0.0
+        for _, y, x in curve:
+            sy, sx = sy + y, sx + x
+        angle = {i: math.atan2(y - sy / n, x - sx / n) for i, y, x in curve}
+        want |= {(str(g), i, k) for k, i in enumerate(sorted(angle, key=lambda i: (round(angle[i], 9), i)))}
+        rows += [(str(g), *p) for p in reversed(curve)]
+    found = cv.angular_order(spark.createDataFrame(rows, "g string, idx long, y double, x double").repartition(5), K)
+    assert {(x.g, x.idx, x.order) for x in found.collect()} == want
+
+
+def test_ordered_means_over_tiles(spark):
+    from perinuc.scale import ordered_means
+
+    rows = [("a", i, float(i) if i % 3 else None, 2.0) for i in range(50)] + [("b", 0, None, 1.0)]
+    found = ordered_means(spark.createDataFrame(rows, "g string, idx long, y double, x double"), K, "idx", ["y", "x"], tile=8)
+    known = [i for i in range(50) if i % 3]
+    assert {tuple(r) for r in found.collect()} == {("a", sum(known) / len(known), 2.0), ("b", None, 1.0)}

@@ -40,6 +40,30 @@ def undouble(text: Column | str) -> Column:
     return F.regexp_replace(col(text), hit, "$1$2$3")
 
 
+def fixed(value: Column | str, digits: int = 3) -> Column:
+    """Text with a fixed number of digits, rounded from the exact binary value as C's ``%.3f`` does, exact ties to even.
+
+    Java's ``format_string`` rounds the shortest decimal spelling instead, so 1.0005, which lies below that, becomes 1.001.
+    """
+    v, scale = F.abs(col(value)), 10**digits
+    # v in two parts whose products with 2 * scale are exact: the sign of what lies beyond the middle is exact, too
+    wide = v * F.lit(134217729.0)
+    head = wide - (wide - v)
+    low = F.floor(v * F.lit(float(scale))) - F.lit(1)
+
+    def beyond(k: Column) -> Column:
+        return (head * F.lit(2.0 * scale) - (F.lit(2) * k + F.lit(1)).cast("double")) + (v - head) * F.lit(2.0 * scale)
+
+    def up(k: Column) -> Column:
+        return F.when((beyond(k) > 0) | ((beyond(k) == 0) & (k % 2 != 0)), F.lit(1)).otherwise(F.lit(0))
+
+    k = F.greatest(low + up(low) + up(low + F.lit(1)) + up(low + F.lit(2)), F.lit(0))
+    sign = F.when(F.signum(col(value)) < 0, F.lit("-")).otherwise(F.lit(""))
+    text = F.concat(sign, F.floor(k / scale).cast("string"), F.lit("."), F.lpad((k % scale).cast("string"), digits, "0"))
+    # beyond that, and for values that are no numbers, there is no digit left to round
+    return F.when(v < F.lit(1e12 / scale), text).when(v.isNotNull(), F.format_string(f"%.{digits}f", col(value)))
+
+
 def base_name(path: Column | str) -> Column:
     return F.element_at(F.split(col(path), "/"), -1)
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from perinuc.functions.scalars import RADIUS_PX, exceeds, magnitude, rss
+from perinuc.functions.scalars import RADIUS_PX, exceeds, fixed, magnitude, rss
 
 NUCLEUS = ["fov_id", "ne_label"]
 PARTS = ["scale", "angle", "shift_y", "shift_x"]
@@ -118,7 +118,7 @@ def ne_stability(
     )
     unstable = exceeds(F.col("drift"), F.col("threshold"))
     reason = F.when(F.col("missing"), F.lit("missing_in_mode2")).when(
-        unstable, F.format_string("Unstable_Drift (%.3f > %.3f)", "drift", "threshold")
+        unstable, F.format_string("Unstable_Drift (%s > %s)", fixed("drift"), fixed("threshold"))
     )
     partner = pairs.select("fov_id", F.col("ch1_label").alias("ne_label"), "ch2_label")
     return both.join(partner, NUCLEUS, "left").select(
@@ -159,7 +159,7 @@ def fov_stability(fovs: DataFrame, radius: float = RADIUS_PX) -> DataFrame:
         F.col("dy").alias("drift_dy"),
         "threshold",
         F.when(far, F.lit("failed")).otherwise(F.lit("passed")).alias("status"),
-        F.when(far, F.format_string("FoV_Drift (%.3f > %.3f)", "drift", "threshold")).alias("reason"),
+        F.when(far, F.format_string("FoV_Drift (%s > %s)", fixed("drift"), fixed("threshold"))).alias("reason"),
     )
 
 
@@ -215,7 +215,7 @@ def pooled_stability(labels: DataFrame, slices: DataFrame, radius: float = RADIU
         "sigma_fov",
         "threshold",
         F.when(missing, F.lit("missing_in_mode2"))
-        .when(far, F.format_string("unstable (%.3f > %.3f)", "drift", "threshold"))
+        .when(far, F.format_string("unstable (%s > %s)", fixed("drift"), fixed("threshold")))
         .alias("reason"),
     )
 

@@ -79,3 +79,20 @@ def test_effective_registration_falls_back(spark, tables):
     assert (got["k"].source, got["k"].shift_y) == ("label", 0.1)
     assert (got["m"].source, got["m"].scale) == ("fov", 1.1)
     assert (got["n"].source, got["n"].scale, got["n"].shift_x) == ("identity", 1.0, 0.0)
+
+
+def test_fixed_digits_round_the_exact_value(spark):
+    from perinuc.functions.scalars import fixed
+
+    values = [1.0005, 0.0005, 0.0625, 0.1875, 2.5, 0.0, 0.9995, 1.4145, 999.9995, 12345.6785, 0.73749999999999982, -1.0005, 1e13, float("inf")]
+    values += [(2 * k + 1) / 2000 for k in range(0, 6000, 7)] + [k / 1000 for k in range(0, 3000, 11)]
+    values += [math.nextafter((2 * k + 1) / 2000, math.inf if k % 2 else 0) for k in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", fixed("v").alias("t")).collect()
+    assert [r.t for r in rows if math.isfinite(r.v)] == ["%.3f" % r.v for r in rows if math.isfinite(r.v)]
+    assert [r.t for r in spark.createDataFrame([(None,)], "v double").select(fixed("v").alias("t")).collect()] == [None]
+
+
+def test_reason_is_spelled_as_printf_does(spark):
+    labels = spark.createDataFrame([label(1, "a", 0.0, 0.0), label(2, "a", 1.0005, 0.0)], REG)
+    slices = spark.createDataFrame([label(1, "a", y, 0.0) + (f"slice_{i}",) for i, y in enumerate((-0.1, 0.1))], SLICE)
+    assert st.pooled_stability(labels, slices).first().reason == "unstable (1.000 > 0.200)"

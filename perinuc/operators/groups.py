@@ -69,9 +69,11 @@ def apply_per_tile(
         ]
     )
 
+    empty = pd.DataFrame({f.name: [] for f in out.fields}, dtype=object)
+
     def guarded(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if not rows["own"].any():
-            return pd.DataFrame({f.name: [] for f in out.fields}, dtype=object)
+        if not rows["own"].to_numpy().any():
+            return empty
         try:
             columns = {n: values.tolist() for n, values in fn(rows.drop(columns=tile))[names].items()}
             error = None

@@ -250,3 +250,16 @@ def test_padded_lines_hold_the_pixels_of_padded_crops(spark, monkeypatch):
     want = {(r.fov_id, r.ne_label, r.y, r.x): r.value for r in px.pad_crops(crops, boxes, ["fov_id"], 6, 5).collect()}
     lines = px.pad_lines(crops, boxes, ["fov_id"], 6, 5).collect()
     assert {(r.fov_id, r.ne_label, r.y, x): v for r in lines for x, v in enumerate(r["values"])} == want
+
+
+def test_tile_sums_find_left_neighbours():
+    import pandas as pd
+
+    from perinuc.plans.q_detection import _tile_sums
+
+    places = {(y, x): (7 * y + 5 * x) % 11 for y in range(6) for x in range(7) if (y * x) % 4 != 3}
+    rows = [("f", y, x, v, x > 0) for (y, x), v in places.items()][::-1]
+    got = _tile_sums(pd.DataFrame(rows, columns=["fov_id", "y", "x", "value", "own"]))
+    own = [(y, x) for y, x in places if x > 0]
+    brighter = sum(1 for y, x in own if (y, x - 1) in places and places[y, x] > places[y, x - 1])
+    assert got.values.tolist() == [["f", len(own), brighter, max(places[p] for p in own)]]

@@ -258,21 +258,40 @@ def greedy_pair(a: DataFrame, b: DataFrame, min_iou: float = 0.7, max_dist: floa
     return settle_greedily(box_candidates(a, b, min_iou, max_dist))
 
 
+def _lines(mask: DataFrame, p: str) -> DataFrame:
+    """Pixels of a region as lines: up to 64 neighbours of a row are the bits of one number, with the sums for its centre.
+
+    Regions that lie together are drawn together before the shuffle, so it carries lines, not pixels.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("x", F.lit(64)).cast("int"))
+    drawn = mask.groupBy("fov_id", F.col("ne_label").alias(f"{p}label"), "y", F.floor(F.col("x") / 64).alias("_cell"))
+    lines = drawn.agg(F.bit_or(bit).alias(f"{p}bits"), F.count("*").alias(f"{p}n"), F.sum("x").alias(f"{p}x"), F.count("x").alias(f"{p}nx"))
+    return lines.withColumn(f"{p}y", F.col("y") * F.col(f"{p}n")).withColumn(f"{p}ny", F.when(F.col("y").isNotNull(), F.col(f"{p}n")).otherwise(F.lit(0)))
+
+
 def mask_candidates(a: DataFrame, b: DataFrame, min_iou: float = 0.7, max_dist: float = 10.0) -> DataFrame:
     """Scored pairs of labelled regions by shared pixels and centroid distance."""
 
-    def regions(mask: DataFrame, p: str) -> DataFrame:
-        return mask.groupBy("fov_id", F.col("ne_label").alias(f"{p}label")).agg(
-            F.count("*").alias(f"{p}area"), F.avg("y").alias(f"{p}cy"), F.avg("x").alias(f"{p}cx")
+    lines_a, lines_b = apart(cut(_lines(a, "a_"))), apart(cut(_lines(b, "b_")))
+
+    def regions(lines: DataFrame, p: str) -> DataFrame:
+        mean = {c: (F.sum(f"{p}{c}") / F.nullif(F.sum(f"{p}n{c}"), F.lit(0))).alias(f"{p}c{c}") for c in ("y", "x")}
+        return lines.groupBy("fov_id", f"{p}label").agg(F.sum(f"{p}n").alias(f"{p}area"), *mean.values())
+
+    repeated = [lines.filter(F.col(f"{p}n") != F.bit_count(f"{p}bits")) for lines, p in ((lines_a, "a_"), (lines_b, "b_"))]
+    if all(r.isEmpty() for r in repeated):
+        both_lit = F.bit_count(F.col("a_bits").bitwiseAND(F.col("b_bits"))).cast("long")
+        met = lines_a.join(lines_b, ["fov_id", "y", "_cell"]).select("fov_id", "a_label", "b_label", both_lit.alias("_n")).filter("_n > 0")
+        shared = met.groupBy("fov_id", "a_label", "b_label").agg(F.sum("_n").alias("inter"))
+    else:
+        # a pixel that a region names twice counts twice, which a bit cannot say
+        shared = (
+            a.select("fov_id", "y", "x", F.col("ne_label").alias("a_label"))
+            .join(b.select("fov_id", "y", "x", F.col("ne_label").alias("b_label")), ["fov_id", "y", "x"])
+            .groupBy("fov_id", "a_label", "b_label")
+            .agg(F.count("*").alias("inter"))
         )
-
-    shared = (
-        a.select("fov_id", "y", "x", F.col("ne_label").alias("a_label"))
-        .join(b.select("fov_id", "y", "x", F.col("ne_label").alias("b_label")), ["fov_id", "y", "x"])
-        .groupBy("fov_id", "a_label", "b_label")
-        .agg(F.count("*").alias("inter"))
-    )
-    both = shared.join(regions(a, "a_"), ["fov_id", "a_label"]).join(regions(b, "b_"), ["fov_id", "b_label"])
+    both = shared.join(regions(lines_a, "a_"), ["fov_id", "a_label"]).join(regions(lines_b, "b_"), ["fov_id", "b_label"])
     iou = F.col("inter") / (F.col("a_area") + F.col("b_area") - F.col("inter"))
     dist = magnitude(F.col("a_cy") - F.col("b_cy"), F.col("a_cx") - F.col("b_cx"))
     return (

@@ -164,3 +164,24 @@ def test_a_crowd_of_small_boxes_is_not_compared_with_itself(spark):
     a, b = crowd("a_", 0.0), crowd("b_", 0.05)
     assert pr._near(a, b, 0.7).count() < 12 * n
     assert pr._overlapping(a, b, 0.7).filter("a_key = b_key").count() == n
+
+
+def test_mask_candidates_from_lines_of_bits(spark):
+    from perinuc.operators.pairing import mask_candidates
+
+    def square(label, y, x, side):
+        return [("f", label, i, j) for i in range(y, y + side) for j in range(x, x + side)]
+
+    one = square(1, -3, -70, 9) + square(2, 10, 60, 9) + square(3, 40, 120, 9)
+    two = square(7, -3, -69, 9) + square(8, 11, 60, 9) + square(9, 80, 120, 9)
+    for extra in ([], [("f", 2, 14, 63)]):
+        a, b = one + extra, two
+        schema = "fov_id string, ne_label long, y long, x long"
+        got = mask_candidates(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), min_iou=0.5).collect()
+        want = {}
+        for la, lb in ((1, 7), (2, 8)):
+            pa, pb = [p[2:] for p in a if p[1] == la], [p[2:] for p in b if p[1] == lb]
+            inter = sum(pa.count(p) for p in pb)
+            want[str(la), str(lb)] = inter / (len(pa) + len(pb) - inter)
+        assert {(r.ch1_label, r.ch2_label): r.iou for r in got} == want
+        assert max(r.dist for r in got) < 1.2

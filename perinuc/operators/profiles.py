@@ -5,13 +5,15 @@ Profiles carry key columns, a sample number ``k``, ``dist`` along the line and `
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import eval_model
-from perinuc.operators.raster import sample_lines
+from perinuc.operators.raster import sample_lines, starts
 from perinuc.scale import apart
 
 # Screening limits and fit-quality rules.
@@ -101,14 +103,68 @@ def predict(profiles: DataFrame, params: DataFrame, keys: Sequence[str], model:
     )
 
 
-def _sums(t: Column, y: Column, g: Column) -> dict[str, Column]:
-    return {
-        "n": F.count(F.lit(1)), "st": F.sum(t), "stt": F.sum(t * t), "sg": F.sum(g), "sgt": F.sum(g * t), "sgg": F.sum(g * g),
-        "sy": F.sum(y), "sty": F.sum(t * y), "sgy": F.sum(g * y), "syy": F.sum(y * y),
-    }
+# Samples of the line that meet the grid at once.
+BATCH = 10_000
 
 
-def _det(m: list[list[Column]]) -> Column:
+class _GridSums:
+    """Sums over the samples of profiles that follow each other, for each cell of a grid of centres and widths.
+
+    Intensities are taken from the mean of a profile's first samples; ``fits`` moves the sums to the mean of them all.
+    """
+
+    def __init__(
+        self, t: np.ndarray, y: np.ndarray, has_t: np.ndarray, has_y: np.ndarray, first: np.ndarray, centre: np.ndarray,
+        mus: np.ndarray, sigmas: np.ndarray,
+    ):
+        self.centre, t = centre, np.where(has_t, t, 0.0)
+        y = np.where(has_y, y - np.repeat(centre, np.diff([*first, len(y)])), 0.0)
+        d = t[:, None] - mus
+        g = np.where(has_t[:, None], np.exp(-(d * d) / (2.0 * sigmas * sigmas)), 0.0)
+        ones = np.ones(len(t))
+        plain = [ones, has_y * ones, t, t * t, y, t * y, y * y, has_y * t]
+        self.plain = [np.add.reduceat(c, first)[:, None] for c in plain]
+        self.bumps = [np.add.reduceat(c, first, axis=0) for c in (g, g * t[:, None], g * g, g * y[:, None], g * has_y[:, None])]
+
+    def part(self, rows: slice) -> _GridSums:
+        out = object.__new__(_GridSums)
+        out.centre, out.plain, out.bumps = self.centre[rows], [c[rows] for c in self.plain], [c[rows] for c in self.bumps]
+        return out
+
+    def add_first(self, other: _GridSums) -> None:
+        """Add the earlier samples of the first profile, taken from the same centre."""
+        for mine, theirs in zip([*self.plain, *self.bumps], [*other.plain, *other.bumps]):
+            mine[0] += theirs[0]
+
+    def fits(self, mus: np.ndarray, sigmas: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """Best cell of each profile: rows that have one; mu, sigma, slope, intercept, amplitude, error; which lack intensities."""
+        n, n_y, st, stt, sy, sty, syy, st_y = self.plain
+        sg, sgt, sgg, sgy, sg_y = self.bumps
+        with np.errstate(all="ignore"):
+            off = np.where(n_y > 0, sy / n_y, 0.0)
+            sty, sgy, syy = sty - off * st_y, sgy - off * sg_y, syy - off * sy
+            sy = sy - off * n_y
+            m = [[stt, st, sgt], [st, n, sg], [sgt, sg, sgg]]
+            rhs = [sty, sy, sgy]
+            d = _det(m)
+            slope, level, amplitude = (_det([[rhs[r] if k == i else m[r][k] for k in range(3)] for r in range(3)]) / d for i in range(3))
+            sse = syy - slope * sty - level * sy - amplitude * sgy
+            # cells are compared by their error relative to the profile's own spread, so its scale does not matter
+            share = np.where(syy > 0, sse / syy, np.where(np.isnan(syy), np.nan, 0.0))
+            share = np.copysign(np.floor(np.abs(share) * 1e9 + 0.5) / 1e9, share)
+        known = d != 0
+        order = np.where(known, np.where(np.isnan(share), np.inf, share), np.inf)
+        best = np.argmin(order, axis=1)
+        rows = np.arange(len(best))
+        best = np.where(known[rows, best], best, np.argmax(known, axis=1))
+        found = np.flatnonzero(known[rows, best])
+        cell = (found, best[found])
+        mean = self.centre[found] + off[found, 0]
+        values = [mus[cell[1]], sigmas[cell[1]], slope[cell], level[cell] + mean, amplitude[cell], sse[cell]]
+        return found, values, n_y[found, 0] == 0
+
+
+def _det(m: list[list[np.ndarray]]) -> np.ndarray:
     return (
         m[0][0] * (m[1][1] * m[2][2] - m[1][2] * m[2][1])
         - m[0][1] * (m[1][0] * m[2][2] - m[1][2] * m[2][0])
@@ -116,55 +172,72 @@ def _det(m: list[list[Column]]) -> Column:
     )
 
 
+def _grid_search(
+    batches: Iterator[pa.RecordBatch], keys: list[str], mus: np.ndarray, sigmas: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """Best cell per profile; rows come in order of their keys, and only the last profile of a batch is carried on."""
+    held, kept, named = None, None, None
+
+    def fitted(sums: _GridSums, names: pa.RecordBatch) -> pa.RecordBatch:
+        found, values, blind = sums.fits(mus, sigmas)
+        out = [pa.array(v, mask=blind if i >= 2 else None) for i, v in enumerate(values)]
+        return pa.RecordBatch.from_arrays([*names.take(pa.array(found)).columns, *out], [*keys, *FITTED])
+
+    for whole in batches:
+        for at in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(at, BATCH)
+            first = np.flatnonzero(starts(batch, keys))
+            t, y = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("dist", "intensity"))
+            has_t, has_y = (batch.column(c).is_valid().to_numpy(zero_copy_only=False) for c in ("dist", "intensity"))
+            names = batch.select(keys).take(pa.array(first))
+            goes_on = held is not None and tuple(c[0].as_py() for c in names.columns) == held
+            counts = np.add.reduceat(has_y.astype(float), first)
+            centre = np.add.reduceat(np.where(has_y, y, 0.0), first) / np.maximum(counts, 1.0)
+            if goes_on:
+                centre[0] = kept.centre[0]
+            sums = _GridSums(t, y, has_t, has_y, first, centre, mus, sigmas)
+            if goes_on:
+                sums.add_first(kept)
+            elif held is not None:
+                yield fitted(kept, named)
+            last = len(first) - 1
+            if last:
+                yield fitted(sums.part(slice(0, last)), names.slice(0, last))
+            kept, named = sums.part(slice(last, last + 1)), names.slice(last, 1)
+            held = tuple(c[0].as_py() for c in named.columns)
+    if held is not None:
+        yield fitted(kept, named)
+
+
+FITTED = ["mu", "sigma", "slope", "intercept", "amplitude", "sse"]
+
+
 def profile_edge(
     profiles: DataFrame, keys: Sequence[str], length: float, mus: Sequence[float], sigmas: Sequence[float]
 ) -> DataFrame:
     """Edge position by grid search: for every centre and width, slope, offset and height by least squares.
 
-    Profiles are spread by key first; the grid is unfolded, summed and reduced inside each task, so
-    only the profiles themselves are shuffled.  A centre outside the line is ``fail:bounds``.
+    Profiles are spread by key and pass a task one after the other; a task holds the grid of a batch of samples, however
+    many profiles it gets.  A centre outside the line is ``fail:bounds``.
     """
-    grid = F.explode(F.array(*[F.struct(F.lit(float(m)).alias("mu"), F.lit(float(s)).alias("sigma")) for m in mus for s in sigmas]))
-    level = profiles.groupBy(*keys).agg(F.avg("intensity").alias("_mean"))
-    spread = profiles.repartition(*keys).join(level, list(keys)).select(
-        *keys, F.col("dist").alias("_t"), (F.col("intensity") - F.col("_mean")).alias("_y"), "_mean", grid.alias("_grid")
-    )
-    d = F.col("_t") - F.col("_grid.mu")
-    bump = F.exp(-(d * d) / (F.lit(2.0) * F.col("_grid.sigma") * F.col("_grid.sigma")))
-    rows = spread.select(*keys, "_t", "_y", "_mean", "_grid.mu", "_grid.sigma", bump.alias("_g"))
-    sums = rows.groupBy(*keys, "_mean", "mu", "sigma").agg(
-        *[c.alias(n) for n, c in _sums(F.col("_t"), F.col("_y"), F.col("_g")).items()]
-    )
-    c = {n: F.col(n) for n in ("n", "st", "stt", "sg", "sgt", "sgg", "sy", "sty", "sgy", "syy")}
-    m = [[c["stt"], c["st"], c["sgt"]], [c["st"], c["n"], c["sg"]], [c["sgt"], c["sg"], c["sgg"]]]
-    rhs = [c["sty"], c["sy"], c["sgy"]]
-
-    def solved(i: int) -> Column:
-        return _det([[rhs[r] if k == i else m[r][k] for k in range(3)] for r in range(3)]) / F.col("_d")
-
-    fits = sums.withColumn("_d", _det(m)).filter("_d <> 0")
-    fits = fits.select("*", solved(0).alias("slope"), solved(1).alias("_i"), solved(2).alias("amplitude"))
-    sse = c["syy"] - F.col("slope") * c["sty"] - F.col("_i") * c["sy"] - F.col("amplitude") * c["sgy"]
-    # cells are compared by their error relative to the profile's own spread, so its scale does not matter
-    share = F.when(c["syy"] > 0, F.round(sse / c["syy"], 9)).otherwise(F.lit(0.0))
-    best = fits.groupBy(*keys).agg(
-        F.min(
-            F.struct(
-                share.alias("share"), "mu", "sigma", "slope", (F.col("_i") + F.col("_mean")).alias("intercept"), "amplitude",
-                sse.alias("sse"),
-            )
-        ).alias("_best")
-    )
-    held = F.least(F.greatest("_best.mu", F.lit(0.0)), F.lit(length))
-    out = F.abs(F.col("_best.mu") - held) > BOUNDS_SLACK
+    keys = list(keys)
+    cells = sorted({(float(m), float(s)) for m in mus for s in sigmas})
+    grid = np.array(cells)
+    samples = profiles.dropna(subset=keys).select(*keys, F.col("dist").cast("double").alias("dist"), F.col("intensity").cast("double").alias("intensity"))
+    kinds = dict(samples.dtypes)
+    made = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *[f"{c} double" for c in FITTED]])
+    sorted_ = samples.repartition(*keys).sortWithinPartitions(*keys)
+    best = sorted_.mapInArrow(lambda batches: _grid_search(batches, keys, grid[:, 0], grid[:, 1]), made)
+    held = F.least(F.greatest("mu", F.lit(0.0)), F.lit(length))
+    out = F.abs(F.col("mu") - held) > BOUNDS_SLACK
     return best.select(
         *keys,
-        "_best.slope",
-        "_best.intercept",
+        "slope",
+        "intercept",
         F.when(out, F.lit(length / 2.0)).otherwise(held).alias("mu"),
-        "_best.sigma",
-        "_best.amplitude",
-        F.greatest("_best.sse", F.lit(0.0)).alias("sse"),
+        "sigma",
+        "amplitude",
+        F.greatest("sse", F.lit(0.0)).alias("sse"),
         F.when(out, "fail:bounds").otherwise("success").alias("status"),
     )
 

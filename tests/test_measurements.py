@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,3 +239,49 @@ def test_shift_scores_across_tiles(spark):
         moved[max(dy, 0) : 70 + min(dy, 0), max(dx, 0) : 130 + min(dx, 0)] = b[max(-dy, 0) : 70 + min(-dy, 0), max(-dx, 0) : 130 + min(-dx, 0)]
         assert got[(dy, dx)] == pytest.approx(np.nansum(a * moved), abs=1e-12)
     assert len(got) == 121
+
+
+def test_edge_is_the_same_however_profiles_lie_across_batches(spark, monkeypatch):
+    """Cut into batches of few samples, with missing ones, profiles keep their fit; none is lost where a batch ends."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for p in range(7):
+        for k in range(5 + 9 * p):
+            t = 12.0 * k / (4 + 9 * p)
+            v = 1e6 * (p == 3) + 50 + 3 * t + 40 * math.exp(-((t - 3 - p / 2) ** 2) / 2.88) + rng.normal()
+            rows.append((p, float(t), None if p == 4 and k % 5 == 0 or p == 5 else float(v)))
+    rows += [(9, None, 4.0), (9, None, 5.0), (None, 1.0, 2.0), (None, 5.0, 9.0), (None, 7.0, 3.0), (None, 9.0, 4.0)]
+    table = pa.table({"p": [r[0] for r in rows], "dist": [r[1] for r in rows], "intensity": [r[2] for r in rows]})
+    mus, sigmas = (c.ravel() for c in np.meshgrid([2.0, 4.0, 6.0, 8.0], [0.8, 1.2], indexing="ij"))
+
+    def fits(size):
+        monkeypatch.setattr(pf, "BATCH", size)
+        got = pa.Table.from_batches(pf._grid_search(iter(table.to_batches()), ["p"], mus, sigmas)).to_pylist()
+        return {r["p"]: tuple(r[c] for c in pf.FITTED) for r in got}
+
+    whole = fits(10_000)
+    assert set(whole) == {0, 1, 2, 3, 4, 5, 6, None} and whole[5] == (2.0, 0.8, None, None, None, None)
+    for size in (1, 4, 13):
+        parts = fits(size)
+        assert set(parts) == set(whole)
+        for p in whole:
+            if p != 5:
+                assert parts[p][:2] == whole[p][:2] and parts[p][2:] == pytest.approx(whole[p][2:], rel=1e-6, abs=1e-5)
+    monkeypatch.setattr(pf, "BATCH", 10_000)
+    for p in (2, 4, 6):
+        t, y = (np.array(c) for c in zip(*[r[1:] for r in rows if r[0] == p and r[2] is not None]))
+        if p == 4:
+            continue
+        errors = []
+        for m, s in zip(mus, sigmas):
+            a = np.column_stack([t, np.ones(len(t)), np.exp(-((t - m) ** 2) / (2 * s * s))])
+            errors.append(np.sum((y - a @ np.linalg.lstsq(a, y, rcond=None)[0]) ** 2))
+        best = int(np.argmin(errors))
+        assert whole[p][:2] == (mus[best], sigmas[best]) and whole[p][5] == pytest.approx(errors[best], rel=1e-6)
+
+
+def test_edge_search_keeps_no_row_per_profile_and_cell(spark):
+    """The memory of a task must not grow with its profiles: nothing is summed by profile and cell, and samples go through one shuffle."""
+    df = spark.createDataFrame(profile(1, lambda t: 100 + t), PROFILE)
+    plan = pf.profile_edge(df, ["p"], 12.0, [3.0, 6.0], [1.0])._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan and "Generate" not in plan

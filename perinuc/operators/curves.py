@@ -5,7 +5,7 @@ Points carry key columns, a dense 0-based ``idx`` and ``y, x``.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import PIXEL_NM, clip, magnitude, move_along_normal, wrap_angle
-from perinuc.scale import TILE, beside, neighbours, ordered_means, own_rows, positions, running_sum, tiles
+from perinuc.operators.raster import starts
+from perinuc.scale import TILE, beside, cut, neighbours, ordered_means, own_rows, positions, running_sum, tiles
 
 CURVE = ["fov_id", "channel", "ne_label"]
 SEGMENT = [*CURVE, "segment"]
@@ -251,14 +252,161 @@ def _levels(edges: DataFrame, keys: Sequence[str]) -> list[DataFrame]:
     return out[::-1]
 
 
-def nearest_on_curve(a: DataFrame, b: DataFrame, keys: Sequence[str], closed: DataFrame | None = None) -> DataFrame:
-    """Closest place on curve B for every point of curve A, exactly, from coarse stretches to single edges.
+# Points of a closed curve that a task holds whole; longer curves are searched from coarse stretches.
+WHOLE = 4_096
+# Points that meet one copy of a curve; a curve with more is copied, so that they spread over tasks.
+MEET = 100_000
+# Pairs of a point and an edge that are held at once.
+PAIRS = 500_000
+
+
+def _facing(
+    points: DataFrame, curve: DataFrame, keys: Sequence[str], measure: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]],
+    found: dict[str, str], lonely: bool, crowd: DataFrame | None = None, meet: int = MEET,
+) -> DataFrame:
+    """``points`` with the columns ``found`` that ``measure`` gives for them and the closed curve of their key.
+
+    A task reads a curve in order and then its points, batch by batch.  ``measure`` gets points and corners as rows y, x, or
+    no corners if ``lonely``, which keeps the points without a curve.  ``crowd`` has the keys of the points, where counting
+    those themselves costs more.
+    """
+    keys = list(keys)
+    crowd = points if crowd is None else crowd
+    copies = cut(crowd.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > meet).select(*keys, F.ceil(F.col("_n") / meet).cast("int").alias("_copies")))
+    extra = [c for c in points.columns if c not in (*keys, "py", "px")]
+    kinds = dict(points.dtypes)
+    corners = curve.dropna(subset=keys).select(*keys, F.col("idx").cast("long").alias("_at"), *[F.col(c).cast("double").alias(c) for c in ("y", "x")])
+    spots = points.select(*keys, *extra, *[F.col(f"p{c}").cast("double").alias(c) for c in ("y", "x")])
+    if copies.isEmpty():
+        corners, spots = corners.withColumn("_copy", F.lit(0)), spots.withColumn("_copy", F.lit(0))
+    else:
+        many = F.coalesce("_copies", F.lit(1))
+        corners = corners.join(copies, keys, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), many - 1))).drop("_copies")
+        spots = spots.join(copies, keys, "left").withColumn("_copy", F.pmod(F.xxhash64(*extra, "y", "x"), many).cast("int")).drop("_copies")
+    group = [*keys, "_copy"]
+    one = corners.select(*group, F.lit(0).alias("_kind"), "_at", "y", "x", *[F.lit(None).cast(kinds[c]).alias(c) for c in extra])
+    two = spots.select(*group, F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_at"), "y", "x", *extra)
+    dealt_ = one.unionByName(two).repartition(*group).sortWithinPartitions(*group, "_kind", "_at")
+    kept = [*keys, *extra, "y", "x"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ring = None, []
+        for batch in batches:
+            opens = np.flatnonzero(starts(batch, group)).tolist()
+            kind = batch.column("_kind").to_numpy()
+            spot = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "x")])
+            where, parts = [], []
+            for a, b in zip(opens, [*opens[1:], batch.num_rows]):
+                name = tuple(batch.column(c)[a].as_py() for c in group)
+                if name != held:
+                    held, ring = name, []
+                split = a + int(np.searchsorted(kind[a:b], 1))
+                if split > a:
+                    ring.append(spot[a:split])
+                if split == b or not (ring or lonely):
+                    continue
+                ring = [np.concatenate(ring)] if ring else []
+                corner = ring[0] if ring else np.empty((0, 2))
+                step = max(1, PAIRS // max(1, len(corner)))
+                for at in range(split, b, step):
+                    stop = min(at + step, b)
+                    where.append(np.arange(at, stop))
+                    parts.append(measure(spot[at:stop], corner))
+            if where:
+                rows = batch.select(kept).take(pa.array(np.concatenate(where)))
+                values = [np.concatenate([p[c] for p in parts]) for c in found]
+                # what cannot be measured for want of a coordinate is null
+                arrays = [pa.array(v, mask=None if v.dtype == bool else np.isnan(v)) for v in values]
+                arrays = [v.cast(pa.int64()) if found[c] == "long" else v for c, v in zip(found, arrays)]
+                yield pa.RecordBatch.from_arrays([*rows.columns, *arrays], [*kept, *found])
+
+    made = ", ".join([*[f"`{c}` {kinds[c]}" for c in [*keys, *extra]], "y double", "x double", *[f"{c} {t}" for c, t in found.items()]])
+    out = dealt_.mapInArrow(run, made).withColumnsRenamed({"y": "py", "x": "px"})
+    return out.select(*points.columns, *found)
+
+
+def _split(curve: DataFrame, keys: Sequence[str], whole: int) -> DataFrame | None:
+    """Keys of the curves that no task may hold whole, if there are any."""
+    long = cut(curve.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > whole).select(*keys))
+    return None if long.isEmpty() else long
+
+
+def _by_length(points: DataFrame, curve: DataFrame, keys: Sequence[str], whole: int, near: Callable, far: Callable) -> DataFrame:
+    """``near`` for curves of up to ``whole`` points, ``far`` for longer ones."""
+    keys, long = list(keys), _split(curve, keys, whole)
+    if long is None:
+        return near(points, curve)
+    rest = near(points.join(long, keys, "left_anti"), curve.join(long, keys, "left_anti"))
+    return rest.unionByName(far(points.join(long, keys, "left_semi"), curve.join(long, keys, "left_semi")))
+
+
+def _round9(v: np.ndarray) -> np.ndarray:
+    """Half away from zero to nine digits, for values of at least 0."""
+    scaled = v * 1e9
+    low = np.floor(scaled)
+    return (low + (scaled - low >= 0.5)) / 1e9
+
+
+def _closest(spot: np.ndarray, corner: np.ndarray) -> dict[str, np.ndarray]:
+    """Place on the closed curve through ``corner`` that is closest to each spot; the first edge wins ties to nine digits."""
+    py, px = spot[:, :1], spot[:, 1:]
+    y, x = corner[:, 0], corner[:, 1]
+    dy, dx = np.roll(y, -1) - y, np.roll(x, -1) - x
+    len2 = dy * dy + dx * dx
+    with np.errstate(all="ignore"):
+        t = np.where(len2 > 0, np.clip(((py - y) * dy + (px - x) * dx) / len2, 0.0, 1.0), 0.0)
+        near_y, near_x = y + t * dy, x + t * dx
+        dist = np.sqrt((py - near_y) * (py - near_y) + (px - near_x) * (px - near_x))
+    known = np.where(np.isnan(dist), np.inf, dist)
+    rows = np.arange(len(spot))
+    edge = np.argmin(_round9(known), axis=1)
+    least = known.min(axis=1)
+    lost = np.isinf(least)
+    out = {"dist": least, "edge": edge.astype(float), "t": t[rows, edge], "near_y": near_y[rows, edge], "near_x": near_x[rows, edge]}
+    return {c: np.where(lost, np.nan, v) for c, v in out.items()}
+
+
+def _odd_crossings(spot: np.ndarray, corner: np.ndarray) -> dict[str, np.ndarray]:
+    """Whether a ray in x from each spot cuts the closed curve through ``corner`` an odd number of times."""
+    py, px = spot[:, :1], spot[:, 1:]
+    y, x = corner[:, 0], corner[:, 1]
+    y2, x2 = np.roll(y, -1), np.roll(x, -1)
+    with np.errstate(all="ignore"):
+        at = (x2 - x) * (py - y) / (y2 - y) + x
+        cuts = ((y > py) != (y2 > py)) & (px < at)
+    return {"inside": cuts.sum(axis=1) % 2 == 1}
+
+
+CLOSEST = {"dist": "double", "edge": "long", "t": "double", "near_y": "double", "near_x": "double"}
+
+
+def nearest_on_curve(
+    a: DataFrame, b: DataFrame, keys: Sequence[str], whole: int = WHOLE, crowd: DataFrame | None = None, meet: int = MEET
+) -> DataFrame:
+    """Closest place on curve B for every point of curve A, exactly; the first edge wins ties to nine digits.
+
+    Curves B of up to ``whole`` points are held by a task while their points pass, longer ones are searched by levels.
+    ``crowd``: see ``_facing``.
+    """
+    places = a.select(*keys, "idx", F.col("y").alias("py"), F.col("x").alias("px"))
+
+    def near(points: DataFrame, curve: DataFrame) -> DataFrame:
+        return _facing(points, curve, keys, _closest, CLOSEST, False, crowd, meet)
+
+    def far(points: DataFrame, curve: DataFrame) -> DataFrame:
+        return _nearest_by_levels(points.withColumnsRenamed({"py": "y", "px": "x"}), curve, keys)
+
+    return _by_length(places, b, keys, whole, near, far)
+
+
+def _nearest_by_levels(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``nearest_on_curve`` from coarse stretches to single edges.
 
     A stretch of edges is at least as far as its bounding box and at most as far as its first place.  A point opens only
     the stretches whose box is not beyond the smallest such upper bound it has seen, so its work grows with the logarithm
-    of the curve.  The first edge wins ties to nine digits.
+    of the curve.
     """
-    edges = closed_edges(b, keys) if closed is None else closed
+    edges = closed_edges(b, keys)
     point = [*keys, "idx", "py", "px"]
     py, px = F.col("py"), F.col("px")
     rows = a.select(
@@ -290,12 +438,26 @@ def nearest_on_curve(a: DataFrame, b: DataFrame, keys: Sequence[str], closed: Da
     return best.select(*point, "dist", *[f"_best.{c}" for c in ("edge", "t", "near_y", "near_x")])
 
 
-def point_in_polygon(points: DataFrame, polygon: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Even-odd test by the crossings of a ray in x, from coarse stretches of the polygon to single edges.
+def point_in_polygon(
+    points: DataFrame, polygon: DataFrame, keys: Sequence[str], whole: int = WHOLE, crowd: DataFrame | None = None, meet: int = MEET
+) -> DataFrame:
+    """Even-odd test by the crossings of a ray in x.
+
+    ``points`` has ``idx, py, px``; ``polygon`` is a closed curve.  Polygons of up to ``whole`` points are held by a task
+    while their points pass, longer ones are searched by levels.  ``crowd``: see ``_facing``.
+    """
+
+    def near(spots: DataFrame, curve: DataFrame) -> DataFrame:
+        return _facing(spots, curve, keys, _odd_crossings, {"inside": "boolean"}, True, crowd, meet)
+
+    return _by_length(points, polygon, keys, whole, near, lambda spots, curve: _inside_by_levels(spots, curve, keys))
+
+
+def _inside_by_levels(points: DataFrame, polygon: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``point_in_polygon`` from coarse stretches of the polygon to single edges.
 
     A stretch whose box lies beyond the point in x crosses the ray an odd number of times exactly if its ends lie on
     different sides of it, and one whose box misses the ray never does, so only stretches around the point are opened.
-    ``points`` has ``idx, py, px``; ``polygon`` is a closed curve.
     """
     py, px = F.col("py"), F.col("px")
     # what is settled goes on in a row of its own, which keeps each point to the end; its number meets no stretch
@@ -340,9 +502,11 @@ def signed_distance(
     """
     polygon = a if polygon is None else polygon
     places = a if n is None else resample(a, keys, n=n)
-    near = nearest_on_curve(places, b, keys)
+    # places of a fixed number need not be made to be counted
+    crowd = places if n is None or n > MEET else a
+    near = nearest_on_curve(places, b, keys, crowd=crowd)
     spots = near.select(*keys, "idx", "dist", F.col("near_y").alias("py"), F.col("near_x").alias("px"))
-    sided = point_in_polygon(spots, polygon, keys)
+    sided = point_in_polygon(spots, polygon, keys, crowd=crowd)
     sign = F.when(F.col("inside"), F.lit(1.0)).otherwise(F.lit(-1.0))
     return sided.select(*keys, "idx", (F.col("dist") * sign * px_nm).alias("dist_nm"))
 

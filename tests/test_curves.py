@@ -188,3 +188,31 @@ def test_ordered_means_over_tiles(spark):
     found = ordered_means(spark.createDataFrame(rows, "g string, idx long, y double, x double"), K, "idx", ["y", "x"], tile=8)
     known = [i for i in range(50) if i % 3]
     assert {tuple(r) for r in found.collect()} == {("a", sum(known) / len(known), 2.0), ("b", None, 1.0)}
+
+
+def test_short_curves_are_met_whole_and_long_ones_by_levels(spark):
+    """Both ways, and copies of a curve for many points, give the same places; points of no curve are kept by one only."""
+    rng = np.random.default_rng(5)
+    a = points(spark, circle(60, 20.0)).unionByName(points(spark, circle(25, 9.0), "b")).unionByName(points(spark, [(0, 1.0, 1.0)], "c"))
+    b = points(spark, [(i, y + rng.normal(), x + rng.normal()) for i, y, x in circle(50, 19.0)])
+    b = b.unionByName(points(spark, circle(7, 9.5), "b"))
+    near = {n: sorted(cv.nearest_on_curve(a, b, K, whole=w, meet=m).drop("t").collect()) for n, w, m in (("whole", 99, 99), ("copies", 99, 10), ("mixed", 20, 99), ("levels", 0, 99))}
+    assert len(near["whole"]) == 85
+    for n in ("copies", "mixed", "levels"):
+        assert [r[:3] for r in near[n]] == [r[:3] for r in near["whole"]] and [r.edge for r in near[n]] == [r.edge for r in near["whole"]]
+        assert np.allclose([r.dist for r in near[n]], [r.dist for r in near["whole"]], atol=1e-9)
+    spots = a.select("g", "idx", F.col("y").alias("py"), (F.col("x") + 0.5).alias("px"))
+    sides = [sorted(cv.point_in_polygon(spots, b, K, w, meet=m).collect()) for w, m in ((99, 99), (99, 10), (20, 99), (0, 99))]
+    assert sides[0] == sides[1] == sides[2] == sides[3] and len(sides[0]) == 86 and 0 < sum(r.inside for r in sides[0]) < 80
+
+
+def test_short_curves_need_one_shuffle(spark):
+    """Points meet a short curve in one task; no join of points with stretches, level by level."""
+    plan = cv.nearest_on_curve(points(spark, circle(60, 20.0)), points(spark, circle(50, 19.0)), K)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_a_point_without_a_coordinate_has_no_distance(spark):
+    a = points(spark, [*circle(12, 5.0), (12, None, 1.0)])
+    got = {r.idx: (r.dist, r.near_y) for r in cv.nearest_on_curve(a, points(spark, circle(9, 6.0)), K).collect()}
+    assert got[12] == (None, None) and all(d is not None for i, (d, _) in got.items() if i < 12) and len(got) == 13

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import eval_model
-from perinuc.operators.raster import sample_lines, starts
-from perinuc.scale import apart
+from perinuc.operators.raster import ENDS, sample_lines, starts
+from perinuc.scale import apart, stored
 
 # Screening limits and fit-quality rules.
 FLAT_SD = 1e-3
@@ -26,10 +26,13 @@ OUTLIER_SHARE = 0.05
 
 
 def sample_along_normals(
-    pixels: DataFrame, normals: DataFrame, keys: Sequence[str], n: int, height: int, width: int, image: Sequence[str] = ("fov_id",)
-) -> DataFrame:
+    pixels: DataFrame, normals: DataFrame, keys: Sequence[str], n: int, height: int, width: int, image: Sequence[str] = ("fov_id",),
+    gain: float = 1.0,
+) -> DataFrame:
     """``n`` bilinear samples per normal line with the distance walked; lines that leave the image are invalid.
 
+    The values of a pixel are added up, over frames for one, and divided by ``gain``.
+
     ``normals`` has ``y0, x0, y1, x1``; pixels that are absent count as 0; lines without an image are left out.
     """
 
@@ -37,8 +40,10 @@ def sample_along_normals(
         return (F.rint(c) >= 0) & (F.rint(c) < dim - 2)
 
     ok = inside("x0", width) & inside("y0", height) & inside("x1", width) & inside("y1", height)
-    known = normals.join(pixels.select(*image).distinct(), list(image), "left_semi").withColumn("valid", ok)
-    sampled = sample_lines(pixels, known.filter("valid"), image, keys, n, height, width)
+    known = normals.join(pixels.select(*image).distinct(), list(image), "left_semi")
+    # valid and lost lines come from one pass over the curves
+    known = stored(known.select(*dict.fromkeys([*image, *keys]), *ENDS, ok.alias("valid")))
+    sampled = sample_lines(pixels, known.filter("valid"), image, keys, n, height, width, gain=gain)
     lost = known.filter("NOT valid").select(*keys, F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("dist"),
                                             F.lit(None).cast("double").alias("intensity"), "valid")
     return sampled.withColumn("valid", F.lit(True)).unionByName(lost)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import magnitude
-from perinuc.operators.curves import CURVE, SEGMENT, cumulative_length, largest_bend
-from perinuc.scale import cut, neighbours, positions, running_sum
+from perinuc.operators.curves import CURVE, SEGMENT
+from perinuc.scale import apart, cut, neighbours, per_tile, positions, running_sum, stored
 
 # Trim factor, fallback noise, shortest useful length in trims, smallest gap, bridge shape.
 TRIM_SIGMAS = 2.0
@@ -38,11 +42,24 @@ def trim_ends(points: DataFrame, trims: DataFrame, keys: Sequence[str] = SEGMENT
 
     The new end points are interpolated on the edge they fall on.
     """
-    measured = cumulative_length(points, keys)
-    totals = measured.groupBy(*keys).agg(F.max("cum").alias("_total"))
-    edges = neighbours(measured, keys, "idx", ["y", "x", "cum"]).join(totals, list(keys)).join(trims, list(on))
-    long_enough = (F.col("trim") <= 0) | (F.round("_total", 9) > F.round(MIN_TRIMS * F.col("trim"), 9))
+    near = neighbours(points, keys, "idx", ["y", "x"])
+
+    def step(before: str, after: str) -> Column:
+        return magnitude(F.col(f"y{after}") - F.col(f"y{before}"), F.col(f"x{after}") - F.col(f"x{before}"))
+
+    stepped = near.select(
+        *keys, "_tile", "idx", "y", "x", "y_next", "x_next", F.coalesce(step("_prev", ""), F.lit(0.0)).alias("step"), step("", "_next").alias("_further"),
+    )
+    measured = running_sum(stepped, keys, "idx", "step", "cum").withColumn("cum_next", F.col("cum") + F.col("_further"))
+    # read for the totals and for the rows
+    measured = apart(stored(measured.drop("step", "_further").join(trims, list(on))))
     low = F.greatest(F.col("trim"), F.lit(0.0))
+    cut_off = F.col("trim") > 0
+    begins = cut_off & (F.col("cum") <= low) & (F.col("cum_next") > low)
+    # the edge on which the trimmed segment begins fixes the numbering, so no sort is needed
+    totals = measured.groupBy(*keys).agg(F.max("cum").alias("_total"), F.max(F.when(begins, F.col("idx"))).alias("_first"))
+    edges = measured.join(totals, list(keys))
+    long_enough = (F.col("trim") <= 0) | (F.round("_total", 9) > F.round(MIN_TRIMS * F.col("trim"), 9))
     high = F.col("_total") - low
 
     def on_edge(s: Column) -> Column:
@@ -53,24 +70,20 @@ def trim_ends(points: DataFrame, trims: DataFrame, keys: Sequence[str] = SEGMENT
             (F.col("x") + part * (F.col("x_next") - F.col("x"))).alias("x"),
         )
 
-    cut_off = F.col("trim") > 0
     here = F.struct(F.col("cum").alias("s"), F.col("y"), F.col("x"))
     inside = ~cut_off | ((F.col("cum") > low) & (F.col("cum") < high))
-    begins = cut_off & (F.col("cum") <= low) & (F.col("cum_next") > low)
     ends = cut_off & (F.col("cum") < high) & (F.col("cum_next") >= high)
     kept = F.array_compact(
         F.array(F.when(begins, on_edge(low)), F.when(inside, here), F.when(ends, on_edge(high)))
     )
-    # the edge on which the trimmed segment begins fixes the numbering, so no sort is needed
     rows = edges.filter(long_enough).select(
-        *keys, "idx", begins.alias("_begins"), cut_off.alias("_cut"), F.posexplode(kept).alias("_at", "_p")
+        *keys, "idx", begins.alias("_begins"), cut_off.alias("_cut"), "_first", F.posexplode(kept).alias("_at", "_p")
     )
-    first = rows.groupBy(*keys).agg(F.max(F.when(F.col("_begins"), F.col("idx"))).alias("_first"))
     base = F.coalesce(F.col("_first"), F.lit(0))
     is_begin = F.col("_begins") & (F.col("_at") == 0)
     is_end = F.col("_cut") & (F.col("_p.s") > F.lit(0)) & ~is_begin & (F.col("_at") > 0)
     idx = F.when(is_begin, F.lit(0)).otherwise(F.col("idx") - base + F.when(is_end, 1).otherwise(0))
-    return rows.join(first, list(keys)).select(*keys, idx.cast("long").alias("idx"), "_p.y", "_p.x")
+    return rows.select(*keys, idx.cast("long").alias("idx"), "_p.y", "_p.x")
 
 
 def orientation(points: DataFrame, keys: Sequence[str] = SEGMENT, by: Sequence[str] = CURVE) -> DataFrame:
@@ -102,30 +115,26 @@ def orientation_filter(points: DataFrame, limit: float = SPOKE_LIMIT, keys: Sequ
 
 
 def segment_ends(points: DataFrame, keys: Sequence[str] = SEGMENT) -> DataFrame:
-    """First and last point of each segment, with the direction of travel and the arc length."""
-    measured = cumulative_length(points, keys)
-    sizes = measured.groupBy(*keys).agg(F.max("idx").alias("_last"), F.max("cum").alias("length"))
-    tips = measured.join(sizes, list(keys)).filter((F.col("idx") <= 1) | (F.col("idx") >= F.col("_last") - 1))
+    """First and last point of each segment, with the direction of travel and the arc length.
 
-    def at(where: Column, c: str) -> Column:
-        return F.max(F.when(F.col("idx") == where, F.col(c)))
+    The neighbours of the ends and the steps are seen in the tiles, so the points travel once.
+    """
+    near = neighbours(points.select(*keys, "idx", "y", "x"), keys, "idx", ["idx", "y", "x"])
+    step = magnitude(F.col("y") - F.col("y_prev"), F.col("x") - F.col("x_prev"))
+    upto = F.sum(F.coalesce(step, F.lit(0.0))).over(per_tile(keys, "idx").rowsBetween(W.unboundedPreceding, 0))
+    first, last = F.col("idx") == 0, F.col("idx_next").isNull()
 
-    last = F.col("_last")
-    picked = tips.groupBy(*keys, "length", "_last").agg(
-        *[at(w, c).alias(f"{c}{n}") for c in ("y", "x") for w, n in ((F.lit(0), "a"), (F.lit(1), "b"), (last - 1, "c"), (last, "d"))]
-    )
-    return picked.filter("_last >= 1").select(
-        *keys,
-        "length",
-        F.col("ya").alias("start_y"),
-        F.col("xa").alias("start_x"),
-        (F.col("yb") - F.col("ya")).alias("start_ty"),
-        (F.col("xb") - F.col("xa")).alias("start_tx"),
-        F.col("yd").alias("end_y"),
-        F.col("xd").alias("end_x"),
-        (F.col("yd") - F.col("yc")).alias("end_ty"),
-        (F.col("xd") - F.col("xc")).alias("end_tx"),
-    )
+    def only(where: Column, value: Column, name: str) -> Column:
+        return F.max(F.when(where, value)).alias(name)
+
+    picked = [only(first, F.col(c), f"start_{c}") for c in ("y", "x")] + [only(F.col("idx") == 1, F.col(c) - F.col(f"{c}_prev"), f"start_t{c}") for c in ("y", "x")]
+    picked += [only(last, F.col(c), f"end_{c}") for c in ("y", "x")] + [only(last, F.col(c) - F.col(f"{c}_prev"), f"end_t{c}") for c in ("y", "x")]
+    of_tile = near.withColumn("_upto", upto).groupBy(*keys, "_tile").agg(F.max("_upto").alias("_total"), F.max("idx").alias("_last"), *picked)
+    totals = F.array_sort(F.collect_list(F.struct("_tile", "_total")))
+    tips = [f"{e}_{c}" for e in ("start", "end") for c in ("y", "x", "ty", "tx")]
+    ends = of_tile.groupBy(*keys).agg(totals.alias("_totals"), F.max("_last").alias("_last"), *[F.max(c).alias(c) for c in tips])
+    length = F.aggregate("_totals", F.lit(0.0), lambda sofar, t: sofar + t["_total"])
+    return ends.filter("_last >= 1").select(*keys, length.alias("length"), *tips)
 
 
 def rank_segments(ends: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
@@ -148,47 +157,75 @@ def gaps(ranked: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
     return joined.withColumn("gap", gap)
 
 
-def bridge_gaps(ranked: DataFrame, by: Sequence[str] = CURVE, max_deg: float = 1.0, min_gap: float = MIN_GAP_PX) -> DataFrame:
-    """Points of the cubic bridge over every gap of at least ``min_gap``, with the verdict on its bend.
+def _measure(y: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length and largest change of direction, in degrees, of lines of points, one per row."""
+    dy, dx = (np.hstack([c[:, 1:2] - c[:, :1], (c[:, 2:] - c[:, :-2]) / 2.0, c[:, -1:] - c[:, -2:-1]]) for c in (y, x))
+    turn = np.diff(np.arctan2(dx, dy), axis=1)
+    rest = np.fmod(turn + math.pi, 2 * math.pi)
+    rest = np.where(rest < 0, np.fmod(rest + 2 * math.pi, 2 * math.pi), rest)
+    step = np.sqrt(np.diff(y, axis=1) ** 2 + np.diff(x, axis=1) ** 2)
+    # added up in the order of the points
+    return np.add.accumulate(step, axis=1)[:, -1], np.abs(np.degrees(rest - math.pi)).max(axis=1)
 
-    A single segment is closed onto itself.
+
+def bridge_lines(
+    ranked: DataFrame, by: Sequence[str] = CURVE, max_deg: float = 1.0, min_gap: float = MIN_GAP_PX, points: bool = False
+) -> DataFrame:
+    """Gaps of ranked segments with ``max_bend``, ``is_valid`` and ``bridge``, the length of the cubic bridge over them.
+
+    All three are null for gaps below ``min_gap``, which need no bridge.  A single segment is closed onto itself.  A bridge has
+    a fixed number of points, so it is drawn and measured in one row; ``points`` adds them as arrays ``y`` and ``x``.
     """
-    wide = gaps(ranked, by).filter(F.round("gap", 9) >= min_gap)
+    is_wide = F.coalesce(F.round("gap", 9) >= min_gap, F.lit(False))
 
     def control(side: str, c: str, sign: float) -> Column:
         size = magnitude(f"{side}_ty", f"{side}_tx")
         return F.col(f"{side}_{c}") + F.lit(sign * TANGENT_SCALE) * F.col("gap") * F.col(f"{side}_t{c}") / size
 
-    t = F.col("idx") / F.lit(float(BRIDGE_POINTS - 1))
-    r = F.lit(1.0) - t
+    corners = [f(c) for c in ("y", "x") for f in (
+        lambda c: F.col(f"end_{c}"), lambda c: control("end", c, 1.0), lambda c: control("next", c, -1.0), lambda c: F.col(f"next_{c}"),
+    )]
+    names = [f"_p{i}" for i in range(8)]
+    told = [*by, "segment", "rank", "length", "next_segment", "gap"]
+    rows = gaps(ranked, by).withColumn("_wide", is_wide)
+    rows = rows.select(*told, "_wide", *[F.when(F.col("_wide"), c).alias(n) for c, n in zip(corners, names)])
+    t = np.arange(BRIDGE_POINTS) / float(BRIDGE_POINTS - 1)
+    r = 1.0 - t
+    weights = (r * r * r, 3.0 * r * r * t, 3.0 * r * t * t, t * t * t)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = [batch.column(n).to_numpy(zero_copy_only=False)[:, None] for n in names]
+            y, x = (sum((w * c for w, c in zip(weights[1:], p[i + 1 : i + 4])), weights[0] * p[i]) for i in (0, 4))
+            length, bend = _measure(y, x)
+            none = ~batch.column("_wide").to_numpy(zero_copy_only=False)
+            out = [*batch.select(told).columns, pa.array(length, mask=none), pa.array(bend, mask=none)]
+            if points:
+                ends = np.arange(0, y.size + 1, BRIDGE_POINTS, dtype=np.int32)
+                out += [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.ravel())) for c in (y, x)]
+            yield pa.RecordBatch.from_arrays(out, [*told, "bridge", "max_bend", *(["y", "x"] if points else [])])
+
+    kinds = dict(rows.dtypes)
+    made = [*[f"`{c}` {kinds[c]}" for c in told], "bridge double", "max_bend double", *(["y array<double>", "x array<double>"] if points else [])]
+    return rows.mapInArrow(run, ", ".join(made)).withColumn("is_valid", F.round("max_bend", 9) <= F.lit(max_deg))
 
-    def bezier(c: str) -> Column:
-        return (
-            r * r * r * F.col(f"end_{c}")
-            + 3.0 * r * r * t * control("end", c, 1.0)
-            + 3.0 * r * t * t * control("next", c, -1.0)
-            + t * t * t * F.col(f"next_{c}")
-        )
 
-    keys = [*by, "segment"]
-    drawn = wide.withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(BRIDGE_POINTS - 1)))).select(
-        *keys, "next_segment", "gap", F.col("idx").cast("long").alias("idx"), bezier("y").alias("y"), bezier("x").alias("x")
-    )
-    verdict = largest_bend(drawn.select(*keys, "idx", "y", "x"), keys, max_deg)
-    return drawn.join(verdict, keys)
+def bridge_gaps(ranked: DataFrame, by: Sequence[str] = CURVE, max_deg: float = 1.0, min_gap: float = MIN_GAP_PX) -> DataFrame:
+    """Points of the cubic bridge over every gap of at least ``min_gap``, with the verdict on its bend."""
+    lines = bridge_lines(ranked, by, max_deg, min_gap, points=True).filter("max_bend IS NOT NULL")
+    told = [*by, "segment", "next_segment", "gap"]
+    rows = lines.select(*told, "max_bend", "is_valid", F.posexplode(F.arrays_zip("y", "x")).alias("idx", "_p"))
+    return rows.select(*told, F.col("idx").cast("long").alias("idx"), "_p.y", "_p.x", "max_bend", "is_valid")
 
 
-def parts_of_outline(ranked: DataFrame, bridges: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
-    """Data and accepted bridge stretches in order around the outline, with their lengths."""
-    keys = [*by, "segment"]
-    spans = cumulative_length(bridges.filter("is_valid").select(*keys, "idx", "y", "x"), keys)
-    spans = spans.groupBy(*keys).agg(F.max("cum").alias("_bridge"))
-    both = ranked.select(*keys, "rank", "length").join(spans, keys, "left")
+def parts_of_outline(lines: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
+    """Data and accepted bridge stretches in order around the outline, with their lengths; ``lines`` come from ``bridge_lines``."""
+    across = F.when(F.col("is_valid"), F.col("bridge"))
     parts = F.array(
         F.struct((F.col("rank") * 2).alias("idx"), F.lit("data").alias("kind"), F.col("length").alias("length")),
-        F.struct((F.col("rank") * 2 + 1).alias("idx"), F.lit("bridge").alias("kind"), F.coalesce("_bridge", F.lit(0.0)).alias("length")),
+        F.struct((F.col("rank") * 2 + 1).alias("idx"), F.lit("bridge").alias("kind"), F.coalesce(across, F.lit(0.0)).alias("length")),
     )
-    return both.select(*by, F.explode(parts).alias("_p")).select(*by, "_p.*")
+    return lines.select(*by, F.explode(parts).alias("_p")).select(*by, "_p.*")
 
 
 def u_range_table(parts: DataFrame, by: Sequence[str] = CURVE) -> DataFrame:
@@ -208,7 +245,8 @@ def bridge(points: DataFrame, trims: DataFrame, max_deg: float = 1.0) -> tuple[D
 
     The trimmed points and the segment table each feed several later steps, so both are materialised once.
     """
-    kept = orientation_filter(cut(trim_ends(points, trims)))
-    ranked = cut(rank_segments(segment_ends(kept)))
-    bridges = cut(bridge_gaps(ranked, max_deg=max_deg).filter("is_valid"))
-    return bridges, u_range_table(parts_of_outline(ranked, bridges))
+    kept = orientation_filter(apart(stored(trim_ends(points, trims))))
+    # numbering reads its rows twice, to choose ranges and to sort
+    ranked = cut(rank_segments(cut(segment_ends(kept))))
+    bridges = bridge_gaps(ranked, max_deg=max_deg).filter("is_valid")
+    return bridges, u_range_table(parts_of_outline(cut(bridge_lines(ranked, max_deg=max_deg))))

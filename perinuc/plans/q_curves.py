@@ -571,9 +571,7 @@ def _(v):
         SELECT {K}, kind, R((upto - len) / total) AS u_start, R(upto / total) AS u_end FROM ru WHERE len > 0""",
 )
 def _(v):
-    ranked = _ranked(v)
-    bridges = cut(br.bridge_gaps(ranked, max_deg=5.0).filter("is_valid"))
-    return br.u_range_table(br.parts_of_outline(ranked, bridges))
+    return br.u_range_table(br.parts_of_outline(cut(br.bridge_lines(_ranked(v), max_deg=5.0))))
 
 
 def _renamed(text: str, tag: str, source: str) -> str:

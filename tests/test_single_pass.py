@@ -1,11 +1,16 @@
 """Rows are made once and travel once, and the results stay the same."""
 
+import math
 import random
 
 import duckdb
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from perinuc import scale as sc
+from perinuc.operators import bridging as br
+from perinuc.operators import curves as cv
 from perinuc.operators import profiles as pf
 from perinuc.plans import registry, views
 
@@ -54,3 +59,56 @@ def test_doubles_round_as_in_sql(spark):
     t = pa.table({"i": list(range(len(values))), "v": pa.array(values, pa.float64())})  # noqa: F841
     want = duckdb.sql(f"SELECT round(v + {registry.NUDGE}, 6) + 0e0 FROM t ORDER BY i").fetchall()
     assert [r.v for r in got] == [w for (w,) in want]
+
+
+def _arcs(spark, n=40):
+    rows = [
+        ("1", "ch1", name, f"segment_0{s}", i, round(50 + 20 * math.sin(2.1 * s + 1.7 * i / n) + 0.01 * (i % 3), 6), round(50 + 20 * math.cos(2.1 * s + 1.7 * i / n), 6))
+        for name in ("a", "b") for s in range(3 if name == "a" else 1) for i in range(n)
+    ]
+    return spark.createDataFrame(rows, "fov_id string, channel string, ne_label string, segment string, idx long, y double, x double")
+
+
+def test_bridges_are_measured_without_a_row_per_point(spark):
+    ranked = br.rank_segments(br.segment_ends(_arcs(spark)))
+    lines = br.bridge_lines(ranked, max_deg=400.0)
+    drawn = br.bridge_gaps(ranked, max_deg=400.0)
+    bends = {(r.ne_label, r.segment): r.max_bend for r in cv.largest_bend(drawn.select(*cv.SEGMENT, "idx", "y", "x"), cv.SEGMENT).collect()}
+    long = cv.cumulative_length(drawn.select(*cv.SEGMENT, "idx", "y", "x"), cv.SEGMENT).groupBy(*cv.SEGMENT).agg(F.max("cum").alias("length"))
+    lengths = {(r.ne_label, r.segment): r.length for r in long.collect()}
+    got = {(r.ne_label, r.segment): r for r in lines.collect()}
+    assert len(got) == len(bends) == 4 and drawn.count() == 200
+    assert {k: r.bridge for k, r in got.items()} == lengths
+    assert {k: r.max_bend for k, r in got.items()} == pytest.approx(bends, abs=1e-9)
+    assert "Generate" not in lines._jdf.queryExecution().toString()
+
+
+def test_narrow_gaps_need_no_bridge(spark):
+    ranked = br.rank_segments(br.segment_ends(_arcs(spark)))
+    lines = br.bridge_lines(ranked, min_gap=1e6)
+    assert [(r.bridge, r.max_bend, r.is_valid) for r in lines.collect()] == [(None, None, None)] * 4
+    assert br.bridge_gaps(ranked, min_gap=1e6).count() == 0
+    assert {(r.kind, r.length > 0) for r in br.parts_of_outline(lines).collect()} == {("data", True), ("bridge", False)}
+
+
+@pytest.mark.parametrize("tile", [1, 7, 40, 100])
+def test_ends_and_trims_do_not_depend_on_tiles(spark, monkeypatch, tile):
+    arcs, keys = _arcs(spark), cv.SEGMENT
+    trims = arcs.select(*cv.CURVE).distinct().withColumn("trim", F.lit(3.0))
+
+    def found():
+        ends = {(r.ne_label, r.segment): tuple(r[4:]) for r in br.segment_ends(arcs).collect()}
+        cut = {(r.ne_label, r.segment, r.idx): (r.y, r.x) for r in br.trim_ends(arcs, trims).collect()}
+        return ends, cut
+
+    want = found()
+    for f in (sc.tiles, sc.neighbours, sc.running_sum):
+        monkeypatch.setattr(f, "__defaults__", tuple(tile if d == sc.TILE else d for d in f.__defaults__))
+    got = found()
+    for a, b in zip(got, want):
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_no_tile_before_the_first(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(5)], "g string, idx long")
+    assert sorted((r._tile, r.idx) for r in sc.tiles(rows, ["g"], "idx", 1, 3).collect()) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (1, 4)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from perinuc.functions.scalars import col
 from perinuc.functions.special import student_p
-from perinuc.scale import join_nulls, positions, quantile_columns, with_key
+from perinuc.scale import join_nulls, positions, quantile_columns, quantiles, stored, with_key
 
 
 def summary_stats(df: DataFrame, by: Sequence[str], cols: Sequence[str], na: str = "propagate") -> DataFrame:
@@ -425,21 +425,24 @@ def compare_qc(results: DataFrame) -> DataFrame:
 
 
 def kept_vs_filtered(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
-    """Mean, sample sd, median and n per metric for all, kept and filtered slices."""
-    groups = F.explode(
-        F.array(F.lit("all"), F.when(F.col("kept"), F.lit("kept")).otherwise(F.lit("filtered")))
-    )
-    tall = df.select(
-        groups.alias("part"),
-        F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics])).alias("_m"),
-    ).select("part", "_m.metric", "_m.v")
-    stats = tall.groupBy("part", "metric").agg(
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("v").alias("n")
-    )
-    mid = quantile_columns(tall.withColumnRenamed("metric", "name"), ["part", "name"], ["v"], {"median": 0.5})
-    return stats.join(
-        mid.select("part", F.col("name").alias("metric"), F.col("v_median").alias("median")), ["part", "metric"]
-    )
+    """Mean, sample sd, median and n per metric for all, kept and filtered slices.
+
+    A slice is one row with a column for each metric; its part decides which columns of the three parts hold a value.
+    """
+    rows = stored(df.select(F.coalesce("kept", F.lit(False)).alias("kept"), *[F.col(m).cast("double").alias(m) for m in metrics]))
+    parts = {"all": F.lit(True), "kept": F.col("kept"), "filtered": ~F.col("kept")}
+    value = {(p, m): f"{p}/{m}" for p in parts for m in metrics}
+    wide = rows.select(*[F.when(parts[p], F.col(m)).alias(c) for (p, m), c in value.items()])
+    numbers = [f(c).alias(f"{n}/{c}") for c in value.values() for n, f in (("mean", F.avg), ("sd", F.stddev_samp), ("n", F.count))]
+    each = [
+        F.struct(F.lit(p).alias("part"), F.lit(m).alias("metric"), *[F.col(f"{n}/{c}").alias(n) for n in ("mean", "sd", "n")])
+        for (p, m), c in value.items()
+    ]
+    stats = wide.agg(*numbers).select(F.explode(F.array(*each)).alias("_s")).select("_s.*").filter("n > 0")
+    mid = quantiles(wide, [], list(value.values()), [0.5])
+    name = F.split("metric", "/")
+    mid = mid.select(name[0].alias("part"), F.array_join(F.slice(name, 2, 2**31 - 1), "/").alias("metric"), F.col("q").alias("median"))
+    return stats.join(mid, ["part", "metric"])
 
 
 def filtered_share(df: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,9 @@ from pyspark.sql import functions as F
 from perinuc import scale as sc
 from perinuc.operators import bridging as br
 from perinuc.operators import curves as cv
+from perinuc.operators import pixels as px
 from perinuc.operators import profiles as pf
+from perinuc.operators import summary as sm
 from perinuc.plans import registry, views
 
 LINES = "fov_id string, i int, y0 double, x0 double, y1 double, x1 double"
@@ -112,3 +115,35 @@ def test_ends_and_trims_do_not_depend_on_tiles(spark, monkeypatch, tile):
 def test_no_tile_before_the_first(spark):
     rows = spark.createDataFrame([("a", i) for i in range(5)], "g string, idx long")
     assert sorted((r._tile, r.idx) for r in sc.tiles(rows, ["g"], "idx", 1, 3).collect()) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (1, 4)]
+
+
+def test_slices_are_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    rng = random.Random(4)
+    rows = [(rng.choice([True, False, None]), rng.gauss(0, 1), rng.choice([None, rng.gauss(5, 2)])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "kept boolean, `a/b` double, c double").withColumn("c", F.udf(count, "double").asNondeterministic()("c"))
+    got = {(r.part, r.metric): (r["mean"], r.sd, r.n, r.median) for r in sm.kept_vs_filtered(df, ["a/b", "c"]).collect()}
+    assert seen.value == 60
+    assert len(got) == 6
+    for (part, metric), found in got.items():
+        own = [r[1 if metric == "a/b" else 2] for r in rows if part == "all" or (part == "kept") == bool(r[0])]
+        own = [x for x in own if x is not None]
+        assert found == pytest.approx((np.mean(own), np.std(own, ddof=1), len(own), np.median(own)))
+
+
+def test_a_part_without_slices_has_no_row(spark):
+    df = spark.createDataFrame([(True, 1.0), (True, 3.0)], "kept boolean, v double")
+    assert sorted((r.part, r.n, r.median) for r in sm.kept_vs_filtered(df, ["v"]).collect()) == [("all", 2, 2.0), ("kept", 2, 2.0)]
+
+
+def test_pixels_are_not_sorted_to_clear_the_border(spark):
+    rows = [("f", n, y, x + 4 * n) for n in range(3) for y in range(1, 4) for x in range(3)]
+    got = px.clear_border(sc.apart(spark.createDataFrame(rows, "fov string, ne_label long, y long, x long")), ["fov"], 5, 11)
+    assert sorted(map(tuple, got.select("fov", "ne_label", "y", "x").collect())) == [r for r in sorted(rows) if r[1] == 1]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

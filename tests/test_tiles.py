@@ -1,6 +1,7 @@
 """Work cut into tiles gives what the whole gives: regions, samples along lines, padded crops, cubic drift, shifts, user functions."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -252,6 +253,72 @@ def test_padded_lines_hold_the_pixels_of_padded_crops(spark, monkeypatch):
     assert {(r.fov_id, r.ne_label, r.y, x): v for r in lines for x, v in enumerate(r["values"])} == want
 
 
+def test_lists_of_crops_draw_the_lines_of_rows(spark, monkeypatch):
+    """Strips of 4 rows, copied beyond 3 boxes; names that come twice, at one place and at several, and nulls."""
+    for name, small in (("STRIP", 4), ("CROWD", 3), ("PADDED", 40)):
+        monkeypatch.setattr(px, name, small)
+    rng = np.random.default_rng(7)
+    dots = [("ab"[i % 2], int(y), int(x), int(v)) for i, (y, x, v) in enumerate(rng.integers(-5, 25, (400, 3)))]
+    dots += [("a", 3, 3, None), ("a", None, 3, 5), ("a", 3, None, 5), (None, 3, 3, 5), ("c", 3, 3, 5)]
+    placed = [("a", "one", 2, 3, 13, 9), ("a", "wide", 0, -4, 2, 20), ("b", "low", -3, 2, 1, 4), ("b", "none", 4, 4, 4, 9), ("b", "back", 9, 4, 4, 9)]
+    placed += [("d", "far", 0, 0, 3, 3), ("a", None, 0, 0, 5, 5), (None, "x", 0, 0, 5, 5), (None, None, None, None, None, None), ("b", "open", 0, 0, None, 5)]
+    twice = [("b", "same", 1, 1, 6, 6)] * 3 + [("b", "part", 2, 2, 9, 9), ("b", "part", None, 2, 9, 9), (None, None, None, None, None, None)]
+    apart = [("a", "two", 0, 0, 6, 4), ("a", "two", 11, 7, 16, 12), ("a", "two", 11, 7, 16, 12), ("a", "two", 3, 3, 3, 3)]
+    frame = "fov_id string, ne_label string, final_top int, final_left int, final_bottom int, final_right int"
+
+    for kind, rows in (("int", placed + twice), ("int", placed + twice + apart), ("double", placed + apart)):
+        pixels = spark.createDataFrame(dots, "fov_id string, y long, x int, value int").withColumn("value", F.col("value").cast(kind))
+        boxes = spark.createDataFrame(rows, frame)
+        plain = px.pad_lines(px.crop(pixels, boxes, ["fov_id"]), boxes, ["fov_id"], 8, 7)
+        lists = px.crop(pixels, boxes, ["fov_id"], lists=True)
+        got = px.pad_lines(lists, boxes, ["fov_id"], 8, 7)
+        key = lambda r: (r.fov_id, r.ne_label, r.y, tuple(r["values"]))
+        want = Counter(map(key, plain.collect()))
+        assert got.dtypes == plain.dtypes and Counter(map(key, got.collect())) == want
+        if kind == "int":
+            texts = px.pad_lines(lists, boxes, ["fov_id"], 8, 7, sep=",").collect()
+            assert Counter(map(key, texts)) == Counter({(*k[:3], tuple(",".join(map(str, k[3])))): n for k, n in want.items()})
+        else:
+            with pytest.raises(ValueError):
+                px.pad_lines(lists, boxes, ["fov_id"], 8, 7, sep=",")
+
+
+def test_joined_numbers_of_any_length():
+    rng = np.random.default_rng(3)
+    kinds = [0, 0, 0, 5, -1, 9, 10, -10, 123456, 2**63 - 1, -(2**63)]
+    for _ in range(300):
+        widths = rng.integers(0, 6, rng.integers(0, 9))
+        cuts = np.append(0, np.cumsum(widths)).astype(np.int32)
+        values = rng.choice(np.array(kinds), int(cuts[-1]))
+        want = [",".join(map(str, values[a:b].tolist())) for a, b in zip(cuts[:-1], cuts[1:])]
+        assert px._joined(values, cuts, ",").to_pylist() == want
+
+
+def test_padded_rows_shuffle_pixels_but_no_copies_of_them(spark, tmp_path):
+    """Every pixel lies in many boxes; what failed was the disk for their copies, grouped by box."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    part = [(k, k * 7 % 50 + 1) for k in range(30)]
+    items = [(i * 37 % 500, i * 11 % 30 * 75 + i % 75, i % 3, float(i % 4 + 1), i * 1.5) for i in range(600)]
+    spark.createDataFrame(part, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(items, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("j18_padded_rows", "j18_pad_crops"):
+        df = entry.queries()[name](spark, str(tmp_path))
+        want = con.execute(entry.oracle_sql()[name])
+        assert sorted(d[0] for d in want.description) == sorted(df.columns)
+        assert Counter(map(tuple, df.select(*[d[0] for d in want.description]).collect())) == Counter(want.fetchall())
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        between = plan.split("MapInArrow")
+        assert len(between) == 3 and "Exchange" not in between[1]
+        # the rows of the table once, pixels and boxes once
+        assert plan.count("Exchange hashpartitioning(fov_id") <= 3 and "collect_list(struct(y" not in plan
+
+
 def test_tile_sums_find_left_neighbours():
     import pandas as pd
 
